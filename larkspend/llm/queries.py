@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, packing, pii, quality
 
 
 def _documents(operator, *more):
@@ -10,9 +10,13 @@ def _documents(operator, *more):
 
 
 QUERIES = {
+    "op2_mixing": _documents(mixing.op2_mixing),
+    "op3_pii": _documents(pii.op3_pii),
+    "op6_packing": _documents(packing.op6_packing),
     "op8_quality": _documents(quality.op8_quality),
 }
 
 ORACLE_SQL = {
+    "op2_mixing": mixing.OP2_SQL,
     "op8_quality": quality.OP8_SQL,
 }
