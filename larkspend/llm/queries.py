@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality
+from . import langid, mixing, packing, pii, quality, toxicity
 
 
 def _documents(operator, *more):
@@ -12,8 +12,10 @@ def _documents(operator, *more):
 QUERIES = {
     "op2_mixing": _documents(mixing.op2_mixing),
     "op3_pii": _documents(pii.op3_pii),
+    "op4_langid": _documents(langid.op4_langid),
     "op6_packing": _documents(packing.op6_packing),
     "op8_quality": _documents(quality.op8_quality),
+    "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
 }
 
 ORACLE_SQL = {
