@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from ._text import WORD
 from .langid import held_out
 
 #: Bound of the classifier's training sample, in labelled rows, and of its features.
@@ -36,11 +35,13 @@ CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 OTHER = len(LETTERS) + 1  # letters of no class of their own
 CLASSES = OTHER + 1  # 0: whatever isn't a letter
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
-COST_LEET, COST_DROP, COST_REPEAT = 1.0, 2.0, 0.5
+COST_LEET, COST_DROP, COST_REPEAT = 1.0, 6.0, 0.5
 BEAM = 64
 
 _EDGE = re.compile(r"^[^\w$@!|+(€]+|[^\w$@!]+$")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,40}(?!\w)")
+# a cheap look at the bytes before the search above: three single signs in a row
+_SINGLES = re.compile(rb"(?<![\w\x80-\xff])[\w\x80-\xff]{1,2}[ .\-_*][\w\x80-\xff]{1,2}[ .\-_*][\w\x80-\xff]{1,2}(?![\w\x80-\xff])")
 _LONG = re.compile(r"(.)\1\1")
 
 
@@ -141,20 +142,21 @@ class Reader:
 
     def __init__(self, model: np.ndarray, value):
         self.model, self.value = model, value
-        self.cache: dict[str, frozenset] = {}
-        self.words = re.compile(WORD).findall
+        self.cache: dict[bytes, frozenset] = {}
 
-    def __call__(self, text: str | None) -> set:
+    def __call__(self, text: bytes | None) -> set:
+        """``text`` is UTF-8; the white space that splits bytes is just that which separates words."""
         if not text:
             return set()
         low = text.lower()
-        words = set(self.words(low))
-        words.update(restored for m in _SPACED.finditer(low) for restored in self.joined(m[0]))
+        words = set(low.split())
+        if _SINGLES.search(low):
+            words.update(restored.encode() for m in _SPACED.finditer(text.decode().lower()) for restored in self.joined(m[0]))
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
         for w in words.difference(cache):
-            cache[w] = self.value(restore(w, self.model))
+            cache[w] = self.value(restore(w.decode().lower(), self.model))
         return set().union(*map(cache.__getitem__, words))
 
     def joined(self, spaced: str) -> list[str]:
@@ -182,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
         read = Reader(model, lambda w: frozenset(features_of(w)))
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
-                texts = batch.column(0).slice(low, 64).to_pylist()
+                texts = batch.column(0).slice(low, 64).cast(pa.binary()).to_pylist()
                 got = [sorted(read(x)) for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f for x in got for f in x], pa.string()), pa.array([y for x, y in zip(got, batch.column(1).slice(low, 64).to_pylist(), strict=True) for _ in x], pa.int32())], ["feature", "toxic"]
@@ -204,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(model, lambda w: frozenset(index[f] for f in features_of(w) if f in index))
         for batch in batches:
-            got = [sorted(read(x)) for x in batch.column(0).to_pylist()]
+            got = [sorted(read(x)) for x in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1)], ["own", "toxic"])
 
     data = Counter((tuple(r["own"]), int(r["toxic"] > 0)) for r in train.mapInArrow(present, "own array<int>, toxic int").collect())
@@ -235,7 +237,7 @@ def score(docs: DataFrame, model: np.ndarray, weights: dict[str, float], interce
         for batch in batches:
             scores, words = [], []
             for low in range(0, batch.num_rows, 256):
-                for text in batch.column(where).slice(low, 256).to_pylist():
+                for text in batch.column(where).slice(low, 256).cast(pa.binary()).to_pylist():
                     own = read(text)
                     x = intercept + math.fsum(weights[f] for f in own)
                     scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
