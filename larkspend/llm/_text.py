@@ -79,10 +79,15 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of bytes; equal bytes give equal hashes wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
+    return range_hashes(_BYTE[data], starts, ends)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of a uint64 array, by one running sum of values times powers."""
+    up, down = _powers(len(values) + 1)
+    total = np.empty(len(values) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    np.cumsum(values * up[: len(values)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, pii, quality, toxicity
+from . import langid, mixing, packing, pii, quality, spans, topk, toxicity
 
 
 def _documents(operator, *more):
@@ -13,12 +13,15 @@ QUERIES = {
     "op2_mixing": _documents(mixing.op2_mixing),
     "op3_pii": _documents(pii.op3_pii),
     "op4_langid": _documents(langid.op4_langid),
+    "op5_topk": lambda spark, sf_dir: topk.op5_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op6_packing": _documents(packing.op6_packing),
     "op8_quality": _documents(quality.op8_quality),
+    "op9_spans": _documents(spans.op9_spans),
     "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op5_topk": topk.OP5_SQL,
     "op8_quality": quality.OP8_SQL,
 }
