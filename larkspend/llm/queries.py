@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, pii, quality, spans, topk, toxicity
+from . import langid, lm, mixing, packing, pii, quality, spans, topk, toxicity
 
 
 def _documents(operator, *more):
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_langid": _documents(langid.op4_langid),
     "op5_topk": lambda spark, sf_dir: topk.op5_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op6_packing": _documents(packing.op6_packing),
+    "op7_lm": _documents(lm.op7_lm),
     "op8_quality": _documents(quality.op8_quality),
     "op9_spans": _documents(spans.op9_spans),
     "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
