@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mixing, packing, pii, quality, spans, topk, toxicity
+from . import langid, lm, mixing, ngram_join, packing, pii, quality, spans, topk, toxicity
 
 
 def _documents(operator, *more):
@@ -10,6 +10,7 @@ def _documents(operator, *more):
 
 
 QUERIES = {
+    "op1_ngram_join": _documents(ngram_join.op1_ngram_join),
     "op2_mixing": _documents(mixing.op2_mixing),
     "op3_pii": _documents(pii.op3_pii),
     "op4_langid": _documents(langid.op4_langid),
