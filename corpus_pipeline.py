@@ -1,8 +1,75 @@
-"""The corpus pipeline (stages are added as their operators come)."""
+"""A corpus pipeline of five stages over ``documents``: language, near duplicates, personal data, mix, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's
+``docs``; all but the last return the columns of ``documents``. Stages read no other table than what they are given.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspend.llm import langid, mixing, ngram_join, packing, pii
+
+#: A language is rejected as unclear below this pooled probability.
+LEAST_SCORE = 0.4
+#: Near duplicates: words in a shingle, and the Jaccard similarity in percent from which documents are linked.
+SHINGLE_WORDS, LEAST_PERCENT = 5, 80
+
+#: No SQL can express the network, the span classifier or the dynamic program; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a recognised language; a missing ``lang`` is filled with it."""
+    found = langid.predict(docs, *langid.fit(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id; of rows that share a doc_id the longest."""
+    groups = ngram_join.similar_groups(docs, SHINGLE_WORDS, LEAST_PERCENT, 100)
+    dropped = groups.where("component_id <> doc_id").select("doc_id")
+    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1):
+        last = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text").desc_nulls_last())
+        docs = docs.withColumn("__n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(last))).where("__n = 1").drop("__n")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each span of personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each repeat."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("personal data", personal_data),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, written in the folder that executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    base = f"{base}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
