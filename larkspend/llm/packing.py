@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._text import WORD
-
 WINDOW = 2048
 END_ID = 1
 #: A run is closed after so many ids, and ends a sequence; what it holds in memory doesn't grow with the table.
 RUN_TOKENS = 1 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
+#: Letters that stay one piece each under the tokenizer's normaliser, and signs that form a piece of their own after them.
+_LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#*$%&<>]*)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -41,28 +41,54 @@ def tokenizer_path() -> str:
 
 
 class WordIds:
-    """Ids of texts, word by word: this vocabulary's tokens never span white space, so words can be cached."""
+    """Ids of texts, word by word: this vocabulary's tokens never span white space, so words can be cached.
+
+    Words are kept as UTF-8 bytes, whose ``split()`` knows just the six white-space signs that separate words here.
+    New words of Latin letters are encoded many at a time, as one line; each of them ends with an end-of-word id.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.words = re.compile(WORD).findall
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split = [self.words(x) if x else [] for x in texts]
+        split = [x.split() if x else [] for x in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for low in range(0, len(new), 4096):
-            part = new[low : low + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+        self.learn(list(set().union(*split).difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in split]
 
+    def learn(self, new: list[bytes]) -> None:
+        lines, others, parts = [], [], []
+        for word in new:
+            m = _LETTERS_AND_SIGNS.fullmatch(word.decode())
+            if m:
+                parts.append((word, m[1].lower().encode(), m[2].encode()))
+            else:
+                others.append(word)
+        lines = list({x for _, x, _ in parts}.difference(self.known))
+        others += {x for _, _, x in parts if x}.difference(self.known)
+        for low in range(0, len(lines), 1000):
+            part = lines[low : low + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != len(part):
+                others += part
+                continue
+            data, at = ids.tobytes(), (4 * stops).tolist()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *at], at)), strict=True))
+        for word in others:
+            self.known[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        for word, letters, signs in parts:
+            self.known[word] = self.known[letters] + (self.known[signs] if signs else b"")
+
     def ends(self) -> np.ndarray:
         """Ids that end a sentence."""
         return np.array([i for i in map(self.tokenizer.token_to_id, (".</w>", "!</w>", "?</w>")) if i is not None], np.uint32)
@@ -144,7 +170,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
         first = TaskContext.get().partitionId() << 40
         ids, data, held = [], [], 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             for low in range(0, len(keys), 256):
                 for key, got in zip(keys[low : low + 256], words(texts.slice(low, 256).to_pylist()), strict=True):
                     ids.append(key)
