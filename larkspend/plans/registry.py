@@ -1,4 +1,306 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and their SQL equivalents."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and their SQL equivalents.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Outputs are flat, doubles are rounded to six digits and times are epoch milliseconds, so that they can be compared.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import analytics, decide, enrich, evaluation, features, latency, views
+from ..policy import DEFAULT, ORIGINAL
+from ..schemas import TRANSACTION
+from ..sources import labelled, quarantine, tables
+from . import demo_data as demo
+from .oracle import EVERY, NOW_MS
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo.transactions(demo.events(spark, sf_dir))
+
+
+def _profiles(txns: DataFrame) -> DataFrame:
+    return enrich.card_profiles(demo.cards(txns), demo.customers(txns))
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    txns = _txns(spark, sf_dir)
+    return enrich.enrich(txns, _profiles(txns), demo.merchants(txns))
+
+
+def _decisions(spark: SparkSession, sf_dir: str, policy=DEFAULT) -> DataFrame:
+    return decide.decide(_enriched(spark, sf_dir), policy, evaluated_at_ms=NOW_MS)
+
+
+def _judged(spark: SparkSession, sf_dir: str, policy=DEFAULT) -> DataFrame:
+    """Decisions with their period."""
+    made = _decisions(spark, sf_dir, policy)
+    period = demo.with_period(_txns(spark, sf_dir)).select(F.col("transaction_id").alias("txn_id"), "period")
+    return made.join(period, "txn_id")
+
+
+def txn_event_time(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    i = F.col("event_id")
+    raw = demo.events(spark, sf_dir).select("event_id", (i % 4).alias("src_partition"), i.alias("seq"), F.timestamp_millis(F.when(i % 7 == 0, None).when(i % 11 == 0, -5).otherwise(ms)).alias("event_time"), F.timestamp_millis(F.when(i % 77 == 0, -1).otherwise(ms + 250)).alias("ingest_time"))
+    return tables.with_event_time(raw).select("event_id", "src_partition", F.unix_millis("ts").alias("ts_ms"))
+
+
+def latest_reference(spark, sf_dir):
+    versions = demo.events(spark, sf_dir).select("user_id", "event_id", F.round("value", 6).alias("value"), "event_type", F.when(F.col("event_type") != "error", F.col("event_type")).alias("live"))
+    return tables.latest(versions, "user_id", "event_id", "live").select("user_id", "event_type", "value", "event_id")
+
+
+def card_profiles(spark, sf_dir):
+    return _profiles(_txns(spark, sf_dir)).drop("currency")
+
+
+def enriched(spark, sf_dir):
+    x, p, m = "transaction", "card_profile", "merchant"
+    cols = [F.col(f"{x}.transaction_id").alias("txn_id"), *(F.col(f"{x}.{c}") for c in ("card_id", "merchant_id", "amount_minor", "t")), F.round(f"{x}.lat", 6).alias("lat"), F.round(f"{x}.lon", 6).alias("lon")]
+    cols += [F.col(p).isNotNull().alias("has_profile"), *(F.col(f"{p}.{c}") for c in ("status", "daily_limit_minor", "risk_tier")), F.col(m).isNotNull().alias("has_merchant"), F.col(f"{m}.mcc"), F.col(f"{m}.country")]
+    return _enriched(spark, sf_dir).select(*cols)
+
+
+def asof_reference(spark, sf_dir):
+    raw = demo.events(spark, sf_dir)
+    versions = raw.where("event_id % 3 = 0").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("version"))
+    rows = raw.where("event_id % 3 <> 0").select("event_id", "user_id", F.col("event_id").alias("seq"))
+    return tables.as_of(rows, versions, "user_id", "event_id").select("event_id", "user_id", "version")
+
+
+def nearby_merchants(spark, sf_dir):
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    shops = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.alias("merchant_id"), (s * 37 % 1200 / 10.0 - 60.0).alias("lat"), (s * 91 % 3600 / 10.0 - 180.0).alias("lon"))
+    homes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c.alias("card_id"), (c * 53 % 1100 / 10.0 - 55.0).alias("home_lat"), (c * 17 % 3600 / 10.0 - 180.0).alias("home_lon"))
+    return _round(enrich.nearby_merchants(homes, shops), "km")
+
+
+def _feed(spark, sf_dir):
+    return _txns(spark, sf_dir).withColumnRenamed("transaction_id", "txn_id")
+
+
+def velocity_attempts(spark, sf_dir):
+    return features.attempt_counts(_feed(spark, sf_dir)).select("txn_id", "card_id", "t", "attempts_60s")
+
+
+def card_testing(spark, sf_dir):
+    got = features.small_attempts(_feed(spark, sf_dir))
+    return got.select("txn_id", "small_10m", "small_merchants_10m", ((F.col("small_10m") >= 4) & (F.col("small_merchants_10m") >= 3)).alias("card_testing"))
+
+
+def static_rules(spark, sf_dir):
+    return features.static_rules(_enriched(spark, sf_dir)).withColumnRenamed("transaction_id", "txn_id")
+
+
+def decisions(spark, sf_dir):
+    return _decisions(spark, sf_dir).select("txn_id", "card_id", "merchant_id", "t", "amount_minor", "decision", "score", F.size("reasons").alias("n_reasons"))
+
+
+def decision_reasons(spark, sf_dir):
+    return decide.reasons(_decisions(spark, sf_dir)).drop("detail")
+
+
+def _state(spark, sf_dir):
+    return decide.final_state(_decisions(spark, sf_dir))
+
+
+def _filled(state):
+    return state.fillna({"spend_day": -1, "spent_minor": -1, "last_lat": -999.0, "last_lon": -999.0, "last_seen": -1, "last_place": "?"})
+
+
+def decision_state(spark, sf_dir):
+    return _round(_filled(_state(spark, sf_dir)), "last_lat", "last_lon")
+
+
+def state_after_sweep(spark, sf_dir):
+    """The sweep 5,000 s before the feed's last accepted transaction."""
+    state = _state(spark, sf_dir)
+    now = state.agg(F.max("last_seen")).first()[0] - 5_000_000
+    return _filled(decide.evict(state, now)).select("card_id", "spend_day", "spent_minor", "last_seen")
+
+
+def merchant_windows_final(spark, sf_dir):
+    return _round(analytics.final_windows(_decisions(spark, sf_dir)), "decline_rate")
+
+
+def merchant_windows_late(spark, sf_dir):
+    """Arrival in the order of ids, which isn't that of time."""
+    return _round(analytics.final_windows(_decisions(spark, sf_dir), ordered=False, order="txn_id"), "decline_rate")
+
+
+def merchant_windows_latest12(spark, sf_dir):
+    return _round(analytics.latest_windows(_decisions(spark, sf_dir), NOW_MS), "decline_rate")
+
+
+def card_risk_view(spark, sf_dir):
+    txns = _txns(spark, sf_dir)
+    now = txns.agg(F.max("t")).first()[0]
+    return _round(views.card_risk(_profiles(txns), _state(spark, sf_dir), txns.select("card_id", "t"), now), "last_lat", "last_lon")
+
+
+def decision_totals(spark, sf_dir):
+    return _round(views.verdict_totals(_decisions(spark, sf_dir)), "share")
+
+
+def rule_totals(spark, sf_dir):
+    return _round(views.rule_totals(decide.reasons(_decisions(spark, sf_dir))), "bar")
+
+
+def feed_snapshot(spark, sf_dir):
+    made = _decisions(spark, sf_dir).withColumn("evaluated_at_ms", F.col("t") + 40)
+    return views.feed(made).select("txn_id", "card_id", "decision", "score", "evaluated_at_ms")
+
+
+def feed_tail(spark, sf_dir):
+    made = _decisions(spark, sf_dir).select("txn_id", (F.col("card_id") % 6).alias("src_partition"), F.struct("t", "txn_id").alias("src_offset"))
+    return views.feed_tail(made).select("txn_id", "src_partition", "position")
+
+
+_RATES = ("precision", "recall", "false_positive_rate", "base_rate", "money_stopped", "f1")
+
+
+def _both(spark, sf_dir):
+    return evaluation.by_period(_judged(spark, sf_dir))
+
+
+def confusion(spark, sf_dir):
+    return _round(evaluation.confusion(_both(spark, sf_dir)), *_RATES)
+
+
+def rule_stats(spark, sf_dir):
+    return _round(evaluation.rule_stats(_both(spark, sf_dir)), "precision", "lift", "fraud_share")
+
+
+def card_episodes(spark, sf_dir):
+    return evaluation.episodes(_both(spark, sf_dir), "t", "txn_id")
+
+
+def fraud_catch_summary(spark, sf_dir):
+    return evaluation.catch_summary(card_episodes(spark, sf_dir))
+
+
+def dataset_summary(spark, sf_dir):
+    return _round(evaluation.dataset_summary(_both(spark, sf_dir)), "base_rate")
+
+
+def verdict_distribution(spark, sf_dir):
+    return evaluation.verdict_distribution(_both(spark, sf_dir))
+
+
+def policy_comparison(spark, sf_dir):
+    rows = None
+    for name, policy in (("default", DEFAULT), ("original", ORIGINAL)):
+        one = _both_of(spark, sf_dir, policy).withColumn("policy", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    return _round(evaluation.compare_policies(evaluation.confusion(rows, "policy"), "original"), "precision", "recall", "fewer_wrong_declines")
+
+
+def _both_of(spark, sf_dir, policy):
+    return evaluation.by_period(_judged(spark, sf_dir, policy))
+
+
+def latency_summary(spark, sf_dir):
+    sent = demo.events(spark, sf_dir).select(F.col("event_id").alias("txn_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("sent_ms"))
+    decided = sent.where("txn_id % 50 <> 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("txn_id", (F.col("sent_ms") + F.col("txn_id") * 7919 % 1000 + F.col("k") * 500).alias("decided_ms"))
+    return latency.summary(latency.match(sent, decided))
+
+
+def replay_shift(spark, sf_dir):
+    return tables.replay(_feed(spark, sf_dir), NOW_MS).select("txn_id", "t")
+
+
+def first_n(spark, sf_dir):
+    return tables.first_rows(_feed(spark, sf_dir), 500, "t", "txn_id").select("txn_id", "card_id", "t")
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspend-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def dlq_split(spark, sf_dir):
+    i = F.col("event_id")
+    whole = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("card_id"), (i % 13).cast("string").alias("merchant_id"), F.lit(100).alias("amount_minor")))
+    value = F.when(i % 10 == 0, F.concat(F.lit('{"this is": not json '), i)).when(i % 15 == 1, F.regexp_replace(whole, '"amount_minor":100', '"other":1')).otherwise(whole)
+    records = demo.events(spark, sf_dir).select(F.lit(None).cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit("transactions").alias("src_topic"), (i % 4).alias("src_partition"), i.alias("src_offset"), F.col("ts").cast("timestamp").alias("src_timestamp"))
+    good, bad = quarantine.split(records, TRANSACTION)
+    return good.select("src_partition", "src_offset", F.lit("good").alias("outcome")).unionByName(bad.select("src_partition", "src_offset", F.col("exception_class").alias("outcome")))
+
+
+def schema_evolution(spark, sf_dir):
+    i = F.col("event_id")
+    raw = demo.events(spark, sf_dir).select(i.cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("card_id"), F.lit("m").alias("merchant_id"), F.lit(1).cast("long").alias("amount_minor"), F.col("event_type").alias("device_fingerprint"), F.when(i % 3 == 0, "USD").alias("currency"), i)
+    old = raw.where(i % 2 == 0).drop("device_fingerprint", "currency")
+    new = raw.where(i % 2 == 1).withColumn("not_known_yet", F.lit(1))
+    read = tables.evolve(old, TRANSACTION).unionByName(tables.evolve(new, TRANSACTION))
+    return read.select("transaction_id", "device_fingerprint", "currency")
+
+
+def csv_ingest(spark, sf_dir):
+    """Payments written as CSV files of two periods in the shared folder, then read back as a user would."""
+    i = F.col("event_id")
+    raw = demo.events(spark, sf_dir).select(
+        i.alias("_c0"), F.col("user_id").alias("cc_num"), F.concat(F.lit("fraud_m"), i % 9).alias("merchant"), F.lit("misc").alias("category"), F.col("value").cast("decimal(18,3)").alias("amt"), F.lit(1.5).alias("lat"), F.lit(2.5).alias("long"), i.alias("trans_num"),
+        F.expr("unix_millis(cast(ts as timestamp)) div 1000").alias("unix_time"), F.lit(1.0).alias("merch_lat"), F.lit(2.0).alias("merch_long"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("is_fraud"),
+    )
+    folder, rows = _shared_folder(spark), None
+    for name, part in (("paymentsTrain", raw.where("event_id < 700")), ("paymentsTest", raw.where("event_id >= 700"))):
+        part.write.option("header", True).csv(f"{folder}/{name}")
+        got = labelled.transactions(labelled.read(spark, f"{folder}/{name}")).withColumn("period", F.lit(name))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows.select("transaction_id", "card_id", "merchant_id", "amount_minor", "t", "labelled_fraud", "period")
+
+
+def _stream(spark, sf_dir, sink: str) -> str:
+    """Decisions of the whole feed by the stateful stream, as Parquet in the shared folder."""
+    from ..streaming import decisions as stream
+
+    txns = _txns(spark, sf_dir)
+    folder = _shared_folder(spark)
+    # the feed as files, as a stream finds them
+    txns.drop("source_day").write.parquet(f"{folder}/feed")
+    profiles, shops = _profiles(txns), demo.merchants(txns)
+    live = spark.readStream.schema(txns.drop("source_day").schema).parquet(f"{folder}/feed")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, stream.STATE_STORE)
+    try:
+        made = stream.decide_stream(enrich.enrich(live, profiles, shops))
+        made.writeStream.format("parquet").option("path", f"{folder}/{sink}").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return f"{folder}/{sink}"
+
+
+def stream_decisions(spark, sf_dir):
+    made = spark.read.parquet(_stream(spark, sf_dir, "decisions"))
+    return made.select("txn_id", "card_id", "merchant_id", "t", "amount_minor", "decision", "score", F.size("reasons").alias("n_reasons"))
+
+
+def stream_merchant_windows(spark, sf_dir):
+    from ..streaming import windows
+
+    path = _stream(spark, sf_dir, "decisions")
+    made = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    windows.final_windows(made, f"{path}-windows", f"{path}-windows-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _round(spark.read.parquet(f"{path}-windows"), "decline_rate")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        txn_event_time, latest_reference, card_profiles, enriched, asof_reference, nearby_merchants, velocity_attempts, card_testing, static_rules, decisions, decision_reasons, decision_state, state_after_sweep,
+        merchant_windows_final, merchant_windows_late, merchant_windows_latest12, card_risk_view, decision_totals, rule_totals, feed_snapshot, feed_tail, confusion, rule_stats, card_episodes, fraud_catch_summary,
+        dataset_summary, verdict_distribution, policy_comparison, latency_summary, replay_shift, first_n, dlq_split, schema_evolution, csv_ingest, stream_decisions, stream_merchant_windows,
+    )
+}
+ORACLE_SQL = {k: EVERY[k] for k in QUERIES}

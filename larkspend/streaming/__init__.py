@@ -1 +1 @@
-"""streaming of the card-risk engine."""
+"""Structured Streaming forms of the decision engine and the merchant windows."""
