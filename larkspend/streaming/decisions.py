@@ -18,6 +18,11 @@ _CARD = "day long, spent long, lat double, lon double, seen long, place string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _order(value):
+    """A struct compares by its fields."""
+    return tuple(value.values()) if isinstance(value, dict) else tuple(value) if isinstance(value, tuple) else value
+
+
 class Decider(StatefulProcessor):
     """Folds a card's new rows, in ``seq`` order inside a batch. ``t`` of late rows is theirs: nothing is filtered by
     watermark, every transaction gets a decision. With ``ttl_ms``, what a card hasn't used for so long is dropped."""
@@ -34,9 +39,10 @@ class Decider(StatefulProcessor):
         kept = self.card.get() if self.card.exists() else None
         card = Card() if kept is None else Card(kept[0], kept[1] or 0, kept[2], kept[3], kept[4], kept[5])
         card.log = [(r[0], r[1], r[2]) for r in self.log.get()] if self.log.exists() else []
-        feed = pd.concat(list(rows)).sort_values(["seq", "txn_id"], kind="stable")
+        feed = pd.concat(list(rows))
+        records = feed.astype(object).where(feed.notna(), None).to_dict("records")
         out = []
-        for r in feed.astype(object).where(feed.notna(), None).to_dict("records"):
+        for r in sorted(records, key=lambda r: (_order(r["seq"]), r["txn_id"])):
             verdict, score, hits = step(card, Row(int(r["t"]), int(r["amount_minor"]), str(r["merchant_id"]), r["currency"], r["lat"], r["lon"], r["status"], None if r["daily_limit"] is None else int(r["daily_limit"]), r["tier"], bool(r["known"]), r["country"], r["category"]), self.policy)
             out.append([r["txn_id"], key[0], r["merchant_id"], r["t"], r["amount_minor"], r["labelled_fraud"], verdict, score, [{"rule": a, "score": b, "detail": c} for a, b, c in hits]])
         self.card.update((card.day, card.spent, card.lat, card.lon, card.seen, card.place))
