@@ -14,6 +14,7 @@ several pieces, whatever its length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ._text import LOWER, blocks, span_hashes, word_spans
+
 WINDOW = 2048
 END_ID = 1
 #: A run is closed after so many ids, and ends a sequence; what it holds in memory doesn't grow with the table.
 RUN_TOKENS = 1 << 20
-CACHE_WORDS = 800_000
-#: Letters that stay one piece each under the tokenizer's normaliser, and signs that form a piece of their own after them.
-_LETTERS_AND_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|#*$%&<>]*)")
+CACHE_WORDS = 1_500_000
+#: Words that the tokenizer's normaliser and pattern leave in one piece (its lower-casing is done here).
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -40,54 +43,148 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b".,!?;:|#*$%&<")] = True  # not ">", with which special tokens end
+_LETTER = np.zeros(256, bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+
+
+def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of bytes whose ids don't depend on each other, and how many stand before each text (n + 1 values): words,
+    without up to four signs at the end of a Latin letter, which are a span of their own."""
+    starts, ends, per_doc = word_spans(data, at)
+    tail = np.zeros(len(starts), np.int64)
+    for j in range(1, 6):
+        more = (tail == j - 1) & (ends - starts > j)
+        more[more] = _SIGN[data[ends[more] - j]]
+        tail[more] = j
+    tail[tail > 4] = 0
+    core = ends - tail
+    last = data[core - 1]
+    latin = (last >= 0x80) & (core - starts > 1)
+    latin[latin] = (data[core[latin] - 2] == 0xC3) & (last[latin] != 0x97) & (last[latin] != 0xB7)
+    cut = (tail > 0) & (_LETTER[last] | latin)
+    before = np.concatenate([[0], np.cumsum(cut)])
+    place = np.arange(len(starts)) + before[:-1]
+    out = np.empty((2, len(starts) + before[-1]), np.int64)
+    out[0, place], out[1, place] = starts, np.where(cut, core, ends)
+    out[0, place[cut] + 1], out[1, place[cut] + 1] = core[cut], ends[cut]
+    return out[0], out[1], per_doc + before[per_doc]
+
+
 class WordIds:
     """Ids of texts, word by word: this vocabulary's tokens never span white space, so words can be cached.
 
-    Words are kept as UTF-8 bytes, whose ``split()`` knows just the six white-space signs that separate words here.
-    New words of Latin letters are encoded many at a time, as one line; each of them ends with an end-of-word id.
+    Words are looked up by 64-bit hash in an open-addressing table of arrays, all words of a block at once. New words
+    of Latin letters are encoded many at a time, by the tokenizer's own model without the normaliser and pattern, which
+    change nothing in them; each of them ends with an end-of-word id. Other words are encoded one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        plain = json.loads(self.tokenizer.to_str())
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True
+        self.end = np.array([end_id], np.uint32)
+        self.clear()
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        split = [x.split() if x else [] for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self.learn(list(set().union(*split).difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
-
-    def learn(self, new: list[bytes]) -> None:
-        lines, others, parts = [], [], []
-        for word in new:
-            m = _LETTERS_AND_SIGNS.fullmatch(word.decode())
-            if m:
-                parts.append((word, m[1].lower().encode(), m[2].encode()))
+    def clear(self) -> None:
+        """Word 0 is the end of a text."""
+        self.slots = np.zeros(1 << (2 * CACHE_WORDS - 1).bit_length(), np.uint64)
+        self.word = np.zeros(len(self.slots), np.int32)
+        self.count, self.used = 1, 1
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.flat[:1] = self.end
+        self.start = np.zeros(CACHE_WORDS + (1 << 20), np.int64)
+        self.size = np.ones(len(self.start), np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of the word of each hash, or -1."""
+        mask = np.uint64(len(self.slots) - 1)
+        out = np.full(len(h), -1, np.int64)
+        at, rest = (h & mask).astype(np.int64), None
+        while True:
+            there = self.slots[at]
+            mine = h if rest is None else h[rest]
+            hit = there == mine
+            found = self.word[at[hit]]
+            if rest is None:
+                out[hit] = found
             else:
-                others.append(word)
-        lines = list({x for _, x, _ in parts}.difference(self.known))
-        others += {x for _, _, x in parts if x}.difference(self.known)
-        for low in range(0, len(lines), 1000):
-            part = lines[low : low + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.last[ids]) + 1
-            if len(stops) != len(part):
-                others += part
-                continue
-            data, at = ids.tobytes(), (4 * stops).tolist()
-            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *at], at)), strict=True))
-        for word in others:
-            self.known[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for word, letters, signs in parts:
-            self.known[word] = self.known[letters] + (self.known[signs] if signs else b"")
+                out[rest[hit]] = found
+            go = ~hit & (there != 0)
+            if not go.any():
+                return out
+            rest = np.flatnonzero(go) if rest is None else rest[go]
+            at = (at[go] + 1) & int(mask)
+
+    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """New words by hash with their ids."""
+        new = np.frombuffer(b"".join(ids), "<u4")
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        low = self.count
+        self.flat[self.used : self.used + len(new)] = new
+        self.size[low : low + len(ids)] = sizes
+        self.start[low : low + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.count, self.used = low + len(ids), self.used + len(new)
+        number = np.arange(low, self.count)
+        mask = len(self.slots) - 1
+        at = (h & np.uint64(mask)).astype(np.int64)
+        while len(h):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = h[free]
+            won = free & (self.slots[at] == h)
+            self.word[at[won]] = number[won]
+            h, number, at = h[~won], number[~won], (at[~won] + 1) & mask
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian uint32 ids of each word."""
+        found: dict[int, bytes] = {}
+        good = [i for i, w in enumerate(words) if _LATIN(w)]
+        lines = [good[i : i + 200] for i in range(0, len(good), 200)]
+        texts = [b" ".join([words[i] for i in line]).decode().lower() for line in lines]
+        for line, got in zip(lines, self.plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(stops) == len(line):
+                data = ids.tobytes()
+                found.update(zip(line, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        return [found[i] if i in found else np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for i, w in enumerate(words)]
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids of all texts with their ends, their lengths) of blocks of texts."""
+        for low, high, data, at in blocks(column):
+            data = LOWER[data]
+            starts, ends, per_doc = pieces(data, at)
+            h = span_hashes(data, starts, ends)
+            h[h == 0] = 1
+            number = self.find(h)
+            if (number < 0).any():
+                if self.count + len(h) >= len(self.start):
+                    self.clear()
+                    number[:] = -1
+                miss = np.flatnonzero(number < 0)
+                new, first = np.unique(h[miss], return_index=True)
+                whole = data.tobytes()
+                self.add(new, self.encode([whole[a:b] for a, b in zip(starts[miss[first]].tolist(), ends[miss[first]].tolist(), strict=True)]))
+                number[miss] = self.find(h[miss])
+            words = np.zeros(len(h) + high - low, np.int64)
+            inside = np.ones(len(words), bool)
+            stop = per_doc[1:] + np.arange(high - low)
+            inside[stop] = False
+            words[inside] = number
+            sizes = self.size[words]
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            flat = self.flat[np.repeat(self.start[words] - total[:-1], sizes) + np.arange(total[-1])]
+            yield low, high, flat, np.diff(np.concatenate([[0], total[stop + 1]]))
 
     def ends(self) -> np.ndarray:
         """Ids that end a sentence."""
@@ -143,13 +240,10 @@ def best_cuts(points: np.ndarray, cost: np.ndarray, window: int) -> np.ndarray:
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, sentence_penalty: int = 8, cut_penalty: int = 48, run_tokens: int = RUN_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence; ``with_ids`` adds its ids."""
     path = path or tokenizer_path()
-    end = np.array([end_id], "<u4").tobytes()
-    cache: dict[str, WordIds] = {}
 
-    def run(ids: list, data: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
-        lengths = np.array([len(x) // 4 for x in data], np.int64)
-        flat = np.frombuffer(b"".join(data), "<u4")
-        stops = np.flatnonzero(np.isin(flat, cache["words"].ends())) + 1
+    def run(ids: list, parts: list[tuple[np.ndarray, np.ndarray]], stop_ids: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
+        flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        stops = np.flatnonzero(np.isin(flat, stop_ids)) + 1
         cuts = best_cuts(*cut_points(lengths, stops, window, sentence_penalty, cut_penalty), window)
         ends = np.cumsum(lengths)
         marks = np.union1d(cuts, ends)
@@ -166,22 +260,22 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
         return pa.RecordBatch.from_arrays(columns, names), first + len(cuts) - 1
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = cache["words"] = WordIds(path)
+        words = WordIds(path, end_id)
+        stop_ids = words.ends()
         first = TaskContext.get().partitionId() << 40
-        ids, data, held = [], [], 0
+        ids, parts, held = [], [], 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for low in range(0, len(keys), 256):
-                for key, got in zip(keys[low : low + 256], words(texts.slice(low, 256).to_pylist()), strict=True):
-                    ids.append(key)
-                    data.append(got + end)
-                    held += len(got) // 4 + 1
-                    if held >= run_tokens:
-                        out, first = run(ids, data, first)
-                        yield out
-                        ids, data, held = [], [], 0
+            keys = batch.column(0).to_pylist()
+            for low, high, flat, lengths in words(batch.column(1)):
+                ids += keys[low:high]
+                parts.append((flat, lengths))
+                held += len(flat)
+                if held >= run_tokens:
+                    out, first = run(ids, parts, stop_ids, first)
+                    yield out
+                    ids, parts, held = [], [], 0
         if ids:
-            yield run(ids, data, first)[0]
+            yield run(ids, parts, stop_ids, first)[0]
 
     return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA + (", ids array<int>" if with_ids else ""))
 
