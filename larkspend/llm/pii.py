@@ -239,7 +239,11 @@ def op3_pii(docs: DataFrame) -> DataFrame:
     all_spans = F.array_sort(F.filter("spans", lambda x: x["pattern"].endswith("1") | x["pattern"].isin(good)))
     name = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(all_spans, lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"], x["end"])), ",")
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(N_BASE)]
+
+    def count(k: int):
+        return F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [count(k) for k in range(N_BASE)]
     return found.select("doc_id", *counts, "base_sha256", text.alias("spans"))
 
 
