@@ -2,7 +2,7 @@
 
 Documents are taken in the order of their rows, partition by partition, without a shuffle, in runs of bounded length.
 In each run, windows are cut where padding plus penalties are least: at document ends (free), at sentence ends
-(``sentence_penalty``), or inside a sentence that has no such place (``cut_penalty``). With positions p of possible
+(``sentence_penalty``), or every sixteenth of a window inside a longer sentence (``cut_penalty``). With positions p of possible
 cuts, best[j] = penalty[j] + min over i with 0 < p[j] - p[i] <= window of best[i] + padding(p[j] - p[i]); since padding
 is window - (p[j] - p[i]), the minimum runs over best[i] + p[i] in a sliding window, which a monotone queue gives in
 constant time. Lengths that are powers of two need no padding and are tried beside it.
@@ -31,7 +31,7 @@ WINDOW = 2048
 END_ID = 1
 #: A run is closed after so many ids, and ends a sequence; what it holds in memory doesn't grow with the table.
 RUN_TOKENS = 1 << 20
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 #: Words that the tokenizer's normaliser and pattern leave in one piece (its lower-casing is done here).
 _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -84,10 +84,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        plain = json.loads(self.tokenizer.to_str())
+        with open(path, encoding="utf-8") as file:
+            plain = json.load(file)
         level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
         self.plain = Tokenizer.from_str(json.dumps(plain))
+        del plain
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for k, i in vocabulary.items() if k.endswith("</w>")]] = True
@@ -150,8 +152,8 @@ class WordIds:
         found: dict[int, bytes] = {}
         good = [i for i, w in enumerate(words) if _LATIN(w)]
         lines = [good[i : i + 200] for i in range(0, len(good), 200)]
-        texts = [b" ".join([words[i] for i in line]).decode().lower() for line in lines]
-        for line, got in zip(lines, self.plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        for line in lines:
+            got = self.plain.encode_batch_fast([b" ".join([words[i] for i in line]).decode().lower()], add_special_tokens=False)[0]
             ids = np.array(got.ids, "<u4")
             stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(stops) == len(line):
@@ -161,7 +163,7 @@ class WordIds:
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids of all texts with their ends, their lengths) of blocks of texts."""
-        for low, high, data, at in blocks(column):
+        for low, high, data, at in blocks(column, 1 << 19):
             data = LOWER[data]
             starts, ends, per_doc = pieces(data, at)
             h = span_hashes(data, starts, ends)
@@ -196,8 +198,9 @@ def cut_points(lengths: np.ndarray, sentence_ends: np.ndarray, window: int, sent
     ends = np.cumsum(lengths)
     total = int(ends[-1])
     at = np.union1d(np.concatenate([[0], ends]), sentence_ends)
-    gaps = np.flatnonzero(np.diff(at) > window)
-    hard = [np.arange(at[g] + window, at[g + 1], window) for g in gaps] + [total - (1 << np.arange(window.bit_length()))]
+    step = max(1, window // 16)
+    gaps = np.flatnonzero(np.diff(at) > step)
+    hard = [np.arange(at[g] + step, at[g + 1], step) for g in gaps] + [total - (1 << np.arange(window.bit_length()))]
     hard = np.concatenate(hard)
     hard = np.setdiff1d(hard[hard > 0], at)
     points = np.concatenate([at, hard])
