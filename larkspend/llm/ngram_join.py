@@ -11,11 +11,14 @@ each fragment on its own and summed per pair. Before that, three exact filters l
 3. *Rarest first.* Inside the prefixes, n-grams are ordered by how many representatives have them; as at least l of
    them are shared, all but l - 1 of the most frequent suffice, which leaves out what many texts share.
 
-A list of representatives that share an n-gram isn't expanded into pairs. Its smallest id is the hub; only pairs with a
-hub are counted. What links to the hub leaves the list; the rest gets a new hub. Jaccard distance is a metric: a
-document x not linked to a hub h can only link to a document y that is if |d(h, x) - d(h, y)| <= 1 - t, and these pairs
-are counted at the end unless x and y are connected by then. So every link either is found or joins documents which are
-already in one group, and hub pairs grow with a group's size, not with its square.
+A list of representatives that share an n-gram isn't expanded into pairs. The one with the smallest share of n-grams
+of its own is the hub; only pairs with a hub are counted. What is within twice the distance of a link leaves the list,
+and so does what has so many n-grams of its own that no other set in the list is small enough for it; the rest gets a new
+hub. After ``HUB_ROUNDS`` hubs, what is left is paired where n-grams of their own leave a link possible. Jaccard distance
+is a metric, so a document that links to the hub cannot link to one that stayed. Documents near a hub that don't link to
+it are compared with others around it only where the three sizes and overlaps allow a link (``around_hubs``) and both
+aren't connected yet. So every link either is found or joins documents which are already in one group, and the pairs that
+are counted grow with a group's size, not with its square.
 
 Defined results: a null or empty text, or one without words, has the empty set, is linked with nothing and is its own
 group; a text of fewer words than an n-gram has its whole sequence as its one n-gram; rows that share a doc_id are one
@@ -42,7 +45,7 @@ BROADCAST_IDS = 1_000_000
 #: Fragments in which the overlaps of pairs are counted.
 FRAGMENTS = 4
 #: Rounds of hubs, after which what is left of the lists is paired directly.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 4
 
 
 def sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -166,24 +169,80 @@ def segments(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, size long, fragment int, grams array<long>, prefix array<long>")
 
 
-def lists(cut: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, id): for each representative the rarest of its prefix n-grams that it has to share, without those that
-    no other representative has."""
-    flat = cut.where("fragment = 0").select("id", "size", F.size("prefix").alias("length"), F.explode("prefix").alias("gram"))
-    often = flat.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+def bodies(cut: DataFrame, often: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, size, common, key): of each representative, how many n-grams others have too, if that leaves a link
+    possible; ``key`` puts the one with the smallest share of n-grams of its own first."""
+    common_grams = cut.select("id", "size", F.explode("grams").alias("gram")).join(often, "gram").groupBy("id", "size").agg(F.count("*").alias("common"))
+    own = F.floor((F.col("size") - F.col("common")) * 1_000_000 / F.col("size"))
+    return common_grams.where(den * F.col("common") >= num * F.col("size")).withColumn("key", own * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+
+
+def may_link(common, size, other_size, num: int, den: int) -> Column:
+    """An overlap of at most ``common`` can still be enough for sets of these sizes."""
+    return (num + den) * common >= num * (size + other_size)
+
+
+def lists(cut: DataFrame, often: DataFrame, body: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, id, size, common, key): for each representative the rarest of its prefix n-grams that it has to share,
+    without those that no other representative has."""
+    flat = cut.where("fragment = 0").select("id", F.size("prefix").alias("length"), F.explode("prefix").alias("gram"))
     mine = Window.partitionBy("id")
     ranked = flat.join(often, "gram").withColumn("alone", F.col("length") - F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("n", "gram")))
-    return ranked.where(F.col("alone") + F.col("rank") <= F.col("length") - common(F.col("size"), num, den) + 1).select("gram", "id")
+    ranked = ranked.join(body, "id")
+    return ranked.where(F.col("alone") + F.col("rank") <= F.col("length") - common(F.col("size"), num, den) + 1).select("gram", "id", "size", "common", "key")
 
 
-def count_overlaps(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, distance, linked) of the pairs (a, b) with any n-gram in common: partial counts in each fragment, summed."""
+def _both(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both sides' segments, a row a fragment in which both have n-grams."""
     left = cut.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "fragment", F.col("grams").alias("grams_b"))
     right = cut.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "fragment", F.col("grams").alias("grams_a"))
-    partial = pairs.join(left, "b").join(right, ["a", "fragment"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
+    return pairs.join(left, "b").join(right, ["a", "fragment"])
+
+
+def count_overlaps(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, size_a, size_b, inter, distance, linked) of the pairs (a, b) with any n-gram in common: partial counts in
+    each fragment, summed."""
+    partial = _both(pairs, cut).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("inter")).where("inter > 0")
     union = F.col("size_a") + F.col("size_b") - F.col("inter")
-    return total.select("a", "b", (1 - F.col("inter") / union).alias("distance"), (den * F.col("inter") >= num * union).alias("linked"))
+    return total.withColumn("distance", 1 - F.col("inter") / union).withColumn("linked", den * F.col("inter") >= num * union)
+
+
+def around_hubs(stars: DataFrame, group: DataFrame, cut: DataFrame, often: DataFrame, body: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that may link although one of them, x, is near a hub h without linking to it, and y is not far off.
+
+    x and y share at most min(i(h, x), i(h, y)) n-grams of the hub. Either that is enough, for a y smaller than the hub,
+    or they share n-grams that the hub lacks: at least c of those of x, so the rarest of them but c - 1 meet one of y's.
+    """
+    slack = 1 - num / den + 1e-9
+    own = group.select(F.col("id").alias("b"), F.col("component").alias("group"))
+    near = stars.where(~F.col("linked") & (F.col("distance") <= 2 * slack))
+    hubs = near.select("a").distinct()
+    attached = stars.where(F.col("distance") <= 3 * slack).join(hubs, "a", "left_semi").join(own, "b", "left").join(body.select(F.col("id").alias("b"), "common"), "b")
+    attached = checkpoint(attached.select("a", "b", F.col("size_b").alias("size"), "size_a", "inter", "distance", "linked", "common", F.coalesce("group", "b").alias("group")))
+    # a hub all of whose documents are one group has no work left
+    mixed = attached.groupBy("a").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.min("size").alias("least_size")).where("g0 <> g1").select("a", "least_size")
+    attached = attached.join(mixed, "a")
+    smallest = F.greatest(F.col("least_size"), _least(F.col("size"), num, den))
+    x = attached.where(~F.col("linked") & (F.col("distance") <= 2 * slack) & may_link(F.col("common"), F.col("size"), F.col("least_size"), num, den))
+    x = x.withColumn("need", F.greatest(F.lit(1), F.ceil(num * (F.col("size") + smallest) / (num + den)) - F.col("inter")))
+    fields = ("size", "inter", "distance", "common", "group")
+    x = x.select("a", F.col("b").alias("x"), "need", "least_size", *(F.col(f).alias(f"{f}_x") for f in fields))
+    y = attached.select("a", F.col("b").alias("y"), "size_a", *(F.col(f).alias(f"{f}_y") for f in fields))
+    may = (F.col("x") != F.col("y")) & (F.col("group_x") != F.col("group_y")) & (F.abs(F.col("distance_x") - F.col("distance_y")) <= slack)
+    sizes = (F.col("size_x"), F.col("size_y"), num, den)
+    may &= may_link(F.least("common_x", "common_y"), *sizes)
+
+    inside = x.where(may_link(F.col("inter_x"), F.col("size_x"), F.col("least_size"), num, den)).join(y.where("size_y < size_a"), "a").where(may & may_link(F.least("inter_x", "inter_y"), *sizes))
+
+    other = _both(attached.select("a", "b"), cut).select("a", "b", F.explode(F.array_except("grams_b", "grams_a")).alias("gram")).join(often, "gram")
+    each = Window.partitionBy("a", "b")
+    ranked = other.withColumn("rank", F.row_number().over(each.orderBy("n", "gram"))).withColumn("all", F.count("*").over(each))
+    ranked = checkpoint(ranked.select("a", "b", "gram", "rank", "all"))
+    rare = ranked.select("a", F.col("b").alias("x"), "gram", "rank", "all").join(x, ["a", "x"]).where(F.col("rank") <= F.col("all") - F.col("need") + 1)
+    outside = rare.join(ranked.select("a", F.col("b").alias("y"), "gram").join(y, ["a", "y"]), ["a", "gram"]).where(may)
+    pairs = inside.select("x", "y").union(outside.select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -203,43 +262,36 @@ def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     member = printed.join(classes, "print").select("id", "rep")
     cut = checkpoint(segments(pick(rows, classes.select(F.col("rep").alias("id"))), words, num, den))
 
-    todo, links, seen = checkpoint(lists(cut, num, den)), [], []
-    size_of = cut.where("fragment = 0").select("id", "size")
+    often = checkpoint(cut.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    body = checkpoint(bodies(cut, often, num, den))
+    todo, links, seen = checkpoint(lists(cut, often, body, num, den)), [], []
+    least = lambda x, y: may_link(F.least(f"common_{x}", f"common_{y}"), F.col(f"size_{x}"), F.col(f"size_{y}"), num, den)
     for turn in range(HUB_ROUNDS + 1):
-        hubs = checkpoint(todo.groupBy("gram").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+        hubs = checkpoint(todo.groupBy("gram").agg(F.min_by("id", "key").alias("hub"), F.min("size").alias("least_size"), F.count("*").alias("n")).where("n > 1"))
         if not hubs.head(1):
             break
         if turn < HUB_ROUNDS:
-            near = todo.join(hubs.select("gram", "hub"), "gram").where("id <> hub")
+            near = todo.join(hubs.select("gram", "hub", "least_size"), "gram").where("id <> hub")
             pairs = near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         else:
             group = components(_union(links))
-            known = todo.join(hubs.select("gram"), "gram", "left_semi").join(group, "id", "left").select("gram", "id", F.coalesce("component", "id").alias("group"))
-            x, y = known.select("gram", F.col("id").alias("a"), F.col("group").alias("ga")), known.select("gram", F.col("id").alias("b"), F.col("group").alias("gb"))
-            pairs = x.join(y, "gram").where("a < b and ga <> gb").select("a", "b").distinct()
-        fits = pairs.join(size_of.toDF("a", "na"), "a").join(size_of.toDF("b", "nb"), "b").where((den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na")))
-        counted = checkpoint(count_overlaps(fits.select("a", "b") if turn == HUB_ROUNDS else pairs, cut, num, den))
-        seen.append(counted)
+            known = todo.join(hubs.select("gram"), "gram", "left_semi").join(group, "id", "left").withColumn("group", F.coalesce("component", "id"))
+            x, y = (known.select("gram", F.col("id").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("size", "common", "group"))) for c in ("a", "b"))
+            pairs = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & least("a", "b")).select("a", "b").distinct()
+        counted = checkpoint(count_overlaps(pairs, cut, num, den))
         links.append(counted.where("linked").select("a", "b"))
         if turn == HUB_ROUNDS:
             break
-        gone = counted.where("linked").select(F.col("a").alias("hub"), F.col("b").alias("id"))
-        todo = checkpoint(near.join(gone, ["hub", "id"], "left_anti").select("gram", "id"))
+        seen.append(counted)
+        gone = counted.where(F.col("distance") <= 2 * (1 - num / den + 1e-9)).select(F.col("a").alias("hub"), F.col("b").alias("id"))
+        stay = near.where(may_link(F.col("common"), F.col("size"), F.col("least_size"), num, den))
+        todo = checkpoint(stay.join(gone, ["hub", "id"], "left_anti").select("gram", "id", "size", "common", "key"))
 
     if links:
         group = checkpoint(components(_union(links)))
-        stars = _union(seen)
-        slack = 1 - num / den + 1e-9
-        # documents near a hub but not connected with it, against those linked to the hub
-        at = lambda name: group.toDF(name, f"{name}_group")
-        near = stars.where(~F.col("linked") & (F.col("distance") <= 2 * slack)).join(at("a"), "a", "left").join(at("b"), "b", "left")
-        near = near.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", F.col("b").alias("x"), F.col("distance").alias("dx"), F.coalesce("b_group", "b").alias("gx"))
-        near = checkpoint(near)
-        if near.head(1):
-            tied = stars.where("linked").select("a", F.col("b").alias("y"), F.col("distance").alias("dy"))
-            pairs = near.join(tied, "a").where(F.abs(F.col("dx") - F.col("dy")) <= slack).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-            fits = pairs.join(size_of.toDF("a", "na"), "a").join(size_of.toDF("b", "nb"), "b").where((den * F.col("na") >= num * F.col("nb")) & (den * F.col("nb") >= num * F.col("na"))).select("a", "b")
-            more = checkpoint(count_overlaps(fits, cut, num, den)).where("linked").select("a", "b")
+        pairs = checkpoint(around_hubs(_union(seen), group, cut, often, body, num, den))
+        if pairs.head(1):
+            more = checkpoint(count_overlaps(pairs, cut, num, den)).where("linked").select("a", "b")
             group = checkpoint(components(_union([*links, more])))
         member = member.join(group.toDF("rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     else:
