@@ -19,12 +19,21 @@ LEAST_SCORE = 0.4
 #: Near duplicates: words in a shingle, and the Jaccard similarity in percent from which documents are linked.
 SHINGLE_WORDS, LEAST_PERCENT = 5, 80
 
+#: Rows of whole texts that move between Spark and Python at once; Spark's default of 10,000 holds too much of a corpus
+#: in an executor's memory outside its heap.
+BATCH_ROWS = 1000
+
 #: No SQL can express the network, the span classifier or the dynamic program; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a recognised language; a missing ``lang`` is filled with it."""
+    _small_batches(spark)
     found = langid.predict(docs, *langid.fit(docs))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -32,6 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id; of rows that share a doc_id the longest."""
+    _small_batches(spark)
     groups = ngram_join.similar_groups(docs, SHINGLE_WORDS, LEAST_PERCENT, 100)
     dropped = groups.where("component_id <> doc_id").select("doc_id")
     if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1):
@@ -42,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind."""
+    _small_batches(spark)
     return pii.redact(docs)
 
 
@@ -52,6 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in windows."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 

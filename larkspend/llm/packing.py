@@ -30,8 +30,10 @@ from ._text import LOWER, blocks, span_hashes, word_spans
 WINDOW = 2048
 END_ID = 1
 #: A run is closed after so many ids, and ends a sequence; what it holds in memory doesn't grow with the table.
-RUN_TOKENS = 1 << 20
-CACHE_WORDS = 600_000
+RUN_TOKENS = 1 << 19
+#: Texts are looked up in blocks of about so many bytes, and so many words are remembered.
+BLOCK_BYTES = 1 << 18
+CACHE_WORDS = 400_000
 #: Words that the tokenizer's normaliser and pattern leave in one piece (its lower-casing is done here).
 _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -96,14 +98,15 @@ class WordIds:
         self.end = np.array([end_id], np.uint32)
         self.clear()
 
-    def clear(self) -> None:
-        """Word 0 is the end of a text."""
-        self.slots = np.zeros(1 << (2 * CACHE_WORDS - 1).bit_length(), np.uint64)
+    def clear(self, room: int = 0) -> None:
+        """Empty tables, with room for so many words at least. Word 0 is the end of a text."""
+        most = max(CACHE_WORDS, room)
+        self.slots = np.zeros(1 << (2 * most - 1).bit_length(), np.uint64)
         self.word = np.zeros(len(self.slots), np.int32)
         self.count, self.used = 1, 1
         self.flat = np.zeros(1 << 20, np.uint32)
         self.flat[:1] = self.end
-        self.start = np.zeros(CACHE_WORDS + (1 << 20), np.int64)
+        self.start = np.zeros(most + BLOCK_BYTES, np.int64)
         self.size = np.ones(len(self.start), np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -163,7 +166,7 @@ class WordIds:
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids of all texts with their ends, their lengths) of blocks of texts."""
-        for low, high, data, at in blocks(column, 1 << 19):
+        for low, high, data, at in blocks(column, BLOCK_BYTES):
             data = LOWER[data]
             starts, ends, per_doc = pieces(data, at)
             h = span_hashes(data, starts, ends)
@@ -171,7 +174,7 @@ class WordIds:
             number = self.find(h)
             if (number < 0).any():
                 if self.count + len(h) >= len(self.start):
-                    self.clear()
+                    self.clear(len(h))
                     number[:] = -1
                 miss = np.flatnonzero(number < 0)
                 new, first = np.unique(h[miss], return_index=True)
