@@ -15,3 +15,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A checkpoint of ``df`` in partitions of about ``rows`` rows or more, so that small tables don't make as many
+    shuffle files as large ones."""
+    kept = checkpoint(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import checkpoint
+from ._store import checkpoint, compact
 from ._text import LOWER, blocks, mix, range_hashes, run_hashes, span_hashes, word_spans
 
 #: Ids up to so many are broadcast to pick rows (8 MB); more are joined by a shuffle.
@@ -45,7 +45,7 @@ BROADCAST_IDS = 1_000_000
 #: Fragments in which the overlaps of pairs are counted.
 FRAGMENTS = 4
 #: Rounds of hubs, after which what is left of the lists is paired directly.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 3
 
 
 def sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -193,9 +193,17 @@ def lists(cut: DataFrame, often: DataFrame, body: DataFrame, num: int, den: int)
 
 
 def _both(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both sides' segments, a row a fragment in which both have n-grams."""
-    left = cut.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "fragment", F.col("grams").alias("grams_b"))
-    right = cut.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "fragment", F.col("grams").alias("grams_a"))
+    """Pairs (a, b) with both sides' segments, a row a fragment in which both have n-grams.
+
+    Segments of other documents are filtered out where they are, by the pairs' ids, if these are few enough to
+    broadcast; so only what is compared is shuffled."""
+    if pairs.count() <= BROADCAST_IDS:
+        a, b = (F.broadcast(pairs.select(F.col(c).alias("id")).distinct()) for c in ("a", "b"))
+        left_cut, right_cut = cut.join(b, "id", "left_semi"), cut.join(a, "id", "left_semi")
+    else:
+        left_cut = right_cut = cut
+    left = left_cut.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "fragment", F.col("grams").alias("grams_b"))
+    right = right_cut.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "fragment", F.col("grams").alias("grams_a"))
     return pairs.join(left, "b").join(right, ["a", "fragment"])
 
 
@@ -219,7 +227,7 @@ def around_hubs(stars: DataFrame, group: DataFrame, cut: DataFrame, often: DataF
     near = stars.where(~F.col("linked") & (F.col("distance") <= 2 * slack))
     hubs = near.select("a").distinct()
     attached = stars.where(F.col("distance") <= 3 * slack).join(hubs, "a", "left_semi").join(own, "b", "left").join(body.select(F.col("id").alias("b"), "common"), "b")
-    attached = checkpoint(attached.select("a", "b", F.col("size_b").alias("size"), "size_a", "inter", "distance", "linked", "common", F.coalesce("group", "b").alias("group")))
+    attached = compact(attached.select("a", "b", F.col("size_b").alias("size"), "size_a", "inter", "distance", "linked", "common", F.coalesce("group", "b").alias("group")))
     # a hub all of whose documents are one group has no work left
     mixed = attached.groupBy("a").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.min("size").alias("least_size")).where("g0 <> g1").select("a", "least_size")
     attached = attached.join(mixed, "a")
@@ -238,7 +246,7 @@ def around_hubs(stars: DataFrame, group: DataFrame, cut: DataFrame, often: DataF
     other = _both(attached.select("a", "b"), cut).select("a", "b", F.explode(F.array_except("grams_b", "grams_a")).alias("gram")).join(often, "gram")
     each = Window.partitionBy("a", "b")
     ranked = other.withColumn("rank", F.row_number().over(each.orderBy("n", "gram"))).withColumn("all", F.count("*").over(each))
-    ranked = checkpoint(ranked.select("a", "b", "gram", "rank", "all"))
+    ranked = compact(ranked.select("a", "b", "gram", "rank", "all"))
     rare = ranked.select("a", F.col("b").alias("x"), "gram", "rank", "all").join(x, ["a", "x"]).where(F.col("rank") <= F.col("all") - F.col("need") + 1)
     outside = rare.join(ranked.select("a", F.col("b").alias("y"), "gram").join(y, ["a", "y"]), ["a", "gram"]).where(may)
     pairs = inside.select("x", "y").union(outside.select("x", "y"))
@@ -263,36 +271,35 @@ def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     cut = checkpoint(segments(pick(rows, classes.select(F.col("rep").alias("id"))), words, num, den))
 
     often = checkpoint(cut.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    body = checkpoint(bodies(cut, often, num, den))
-    todo, links, seen = checkpoint(lists(cut, often, body, num, den)), [], []
+    body = compact(bodies(cut, often, num, den))
+    todo, links, seen = compact(lists(cut, often, body, num, den)), [], []
     least = lambda x, y: may_link(F.least(f"common_{x}", f"common_{y}"), F.col(f"size_{x}"), F.col(f"size_{y}"), num, den)
     for turn in range(HUB_ROUNDS + 1):
-        hubs = checkpoint(todo.groupBy("gram").agg(F.min_by("id", "key").alias("hub"), F.min("size").alias("least_size"), F.count("*").alias("n")).where("n > 1"))
+        hubs = compact(todo.groupBy("gram").agg(F.min_by("id", "key").alias("hub"), F.min("size").alias("least_size"), F.count("*").alias("n")).where("n > 1"))
         if not hubs.head(1):
             break
         if turn < HUB_ROUNDS:
             near = todo.join(hubs.select("gram", "hub", "least_size"), "gram").where("id <> hub")
             pairs = near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         else:
-            group = components(_union(links))
-            known = todo.join(hubs.select("gram"), "gram", "left_semi").join(group, "id", "left").withColumn("group", F.coalesce("component", "id"))
-            x, y = (known.select("gram", F.col("id").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("size", "common", "group"))) for c in ("a", "b"))
-            pairs = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & least("a", "b")).select("a", "b").distinct()
-        counted = checkpoint(count_overlaps(pairs, cut, num, den))
+            known = todo.join(hubs.select("gram"), "gram", "left_semi")
+            x, y = (known.select("gram", F.col("id").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("size", "common"))) for c in ("a", "b"))
+            pairs = x.join(y, "gram").where((F.col("a") < F.col("b")) & least("a", "b")).select("a", "b").distinct()
+        counted = compact(count_overlaps(compact(pairs), cut, num, den))
         links.append(counted.where("linked").select("a", "b"))
         if turn == HUB_ROUNDS:
             break
         seen.append(counted)
         gone = counted.where(F.col("distance") <= 2 * (1 - num / den + 1e-9)).select(F.col("a").alias("hub"), F.col("b").alias("id"))
         stay = near.where(may_link(F.col("common"), F.col("size"), F.col("least_size"), num, den))
-        todo = checkpoint(stay.join(gone, ["hub", "id"], "left_anti").select("gram", "id", "size", "common", "key"))
+        todo = compact(stay.join(gone, ["hub", "id"], "left_anti").select("gram", "id", "size", "common", "key"))
 
     if links:
-        group = checkpoint(components(_union(links)))
-        pairs = checkpoint(around_hubs(_union(seen), group, cut, often, body, num, den))
+        group = components(_union(links))
+        pairs = compact(around_hubs(_union(seen), group, cut, often, body, num, den))
         if pairs.head(1):
-            more = checkpoint(count_overlaps(pairs, cut, num, den)).where("linked").select("a", "b")
-            group = checkpoint(components(_union([*links, more])))
+            more = compact(count_overlaps(pairs, cut, num, den)).where("linked").select("a", "b")
+            group = components(_union([*links, more]))
         member = member.join(group.toDF("rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     else:
         member = member.select("id", F.col("rep").alias("component"))

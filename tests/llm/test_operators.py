@@ -104,6 +104,19 @@ def test_ngram_join_repeated_and_missing_ids(spark):
     assert sorted((r[0] or 0, r[1], r[2] or 0) for r in rows) == [(0, 0, 0), (0, 2, 0), (1, 4, 1), (2, 4, 1)]
 
 
+@pytest.mark.parametrize("rows", [20, 100_000])
+def test_components(spark, rows):
+    """A long chain, a star, a cycle and a self-loop, in many partitions and in one."""
+    from larkspend.llm._graph import components
+
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 230)] + [(300, 301), (301, 302), (302, 300), (400, 400)]
+    random.Random(1).shuffle(edges)
+    found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6), rows).collect()}
+    want = {i: 100 for i in range(100, 161)} | {i: 7 for i in (7, *range(200, 230))} | {300: 300, 301: 300, 302: 300}
+    assert found == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_mixing(spark):
     r = random.Random(2)
     texts = [None if i % 41 == 0 else "w " * r.randint(0, 60) for i in range(600)]
@@ -266,6 +279,17 @@ def test_packing(spark):
     assert packing.op6_packing(docs.where("false")).count() == 0
 
 
+def test_words_outgrow_the_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 100)
+    texts = [" ".join(vocabulary(n, n)) for n in (30, 400, 3, 90, 2000)]
+    want = [[*Tokenizer.from_file(packing.tokenizer_path()).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    got_ids = [x.tolist() for _, _, flat, sizes in packing.WordIds(packing.tokenizer_path())(pa.array(texts)) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    assert got_ids == want
+
+
 def test_packing_is_optimal():
     """The monotone queue against the plain recursion over all pairs of places."""
     r = np.random.default_rng(1)
