@@ -1,9 +1,12 @@
 """Substring deduplication over sliding spans of sentences.
 
-A sentence ends with a word that ends in ``.``, ``!`` or ``?``, at a line end, or with its text. From every sentence on,
-the shortest run of at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words (or one sentence of ``LONE_WORDS``
-words) is hashed on its words, A-Z lower-cased. Runs are joined over the whole corpus: the occurrence in the smallest
-doc_id, and there the first, stays; sentences covered by any other occurrence are removed.
+A sentence ends with a word that ends in ``.``, ``!`` or ``?``, at a line end, or with its text. A passage is
+a run of at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, or one sentence of ``LONE_WORDS`` words. The
+shortest runs that start at each sentence, the shortest that end at each, and the lone sentences are hashed on their
+words, A-Z lower-cased: a passage's sentence that the run from the passage's start doesn't reach has a run that ends at
+it inside the passage, so these runs cover whatever any longer passage covers. Runs are joined over the whole corpus: the
+occurrence in the smallest doc_id, and there the first, stays; sentences covered by any other occurrence are removed.
+A longer passage is found sentence by sentence, so its copies have to end their sentences at the same words.
 
 Hashes are pre-aggregated before they are shuffled, and the join back is an equi-join whose hot keys adaptive execution
 can split, so a passage that a third of the corpus shares is no group of rows anywhere.
@@ -47,14 +50,17 @@ def sentence_runs(data: np.ndarray, at: np.ndarray, min_sentences: int = MIN_SEN
     last = np.flatnonzero(stop) + 1  # word after each sentence
     first = np.concatenate([[0], last[:-1]])
     doc_sentence = np.searchsorted(first, per_doc)
-    limit = doc_sentence[np.searchsorted(doc_sentence, np.arange(len(first)), "right")]  # sentence after the text's last
-    enough = np.searchsorted(last, first + min_words) + 1
-    until = np.maximum(enough, np.arange(len(first)) + min_sentences)
-    lone = last - first >= lone_words
-    until[lone] = np.flatnonzero(lone) + 1
-    run = np.flatnonzero(until <= limit)
-    h = range_hashes(span_hashes(low, starts, ends), first[run], last[until[run] - 1])
-    return starts[first], ends[last - 1], doc_sentence, run, until[run], h
+    here = np.arange(len(first))
+    text = np.searchsorted(doc_sentence, here, "right")
+    begin, limit = doc_sentence[text - 1], doc_sentence[text]  # the text's first sentence, and that after its last
+    until = np.maximum(np.searchsorted(last, first + min_words) + 1, here + min_sentences)
+    since = np.minimum(np.searchsorted(first, last - min_words, "right") - 1, here + 1 - min_sentences)
+    ahead, back, lone = until <= limit, since >= begin, last - first >= lone_words
+    run = np.concatenate([here[ahead], since[back], here[lone]])
+    after = np.concatenate([until[ahead], here[back] + 1, here[lone] + 1])
+    run, after = np.divmod(np.unique(run * (len(first) + 1) + after), len(first) + 1)
+    h = range_hashes(span_hashes(low, starts, ends), first[run], last[after - 1])
+    return starts[first], ends[last - 1], doc_sentence, run, after, h
 
 
 def run_hashes_of(docs: DataFrame, **sizes) -> DataFrame:

@@ -370,6 +370,34 @@ def test_spans(spark):
     assert all(rows[i]["text"] == texts[i] for i in (0, 1, 2, 4, 5, 6, 8, 21, 22))
 
 
+def brute_spans(texts):
+    """The sentences left of each text, if every run of sentences is compared with every other."""
+    cut = [re.findall(r"\S[^.]*\.", t) for t in texts]
+    seen, gone = {}, [set() for _ in texts]
+    for i, own in enumerate(cut):
+        for a, b in itertools.combinations(range(len(own) + 1), 2):
+            n = len(words(" ".join(own[a:b])))
+            if (b - a >= 2 and n >= 16) or (b - a == 1 and n >= 40):
+                if seen.setdefault(tuple(own[a:b]), (i, a)) != (i, a):
+                    gone[i].update(range(a, b))
+    return [[x for j, x in enumerate(own) if j not in bad] for own, bad in zip(cut, gone, strict=True)]
+
+
+def test_spans_of_any_sentence_lengths(spark):
+    r = random.Random(12)
+    fresh = itertools.count()
+    sentence = lambda n: " ".join(f"w{next(fresh)}" for _ in range(n)) + "."
+    passages = [[sentence(n) for n in sizes] for sizes in ((45, 39), (30, 6, 7), (7, 6, 30), (3, 50, 2), (6, 6, 6), (40,), (39, 45, 1), (1,) * 16, (8, 7))]
+    passages += [[sentence(r.choice([1, 3, 8, 20, 45])) for _ in range(r.randint(1, 6))] for _ in range(30)]
+    texts = [" ".join(itertools.chain([sentence(5)], p, [sentence(r.randint(1, 20))] * (k % 2))) for _ in range(2) for k, p in enumerate(passages)]
+    texts += [" ".join(x for p in r.sample(passages, 3) for x in p[r.randint(0, 1) :]) for _ in range(30)]
+    texts.append(" ".join(passages[1] + [sentence(4)] + passages[1] + passages[0]))
+    rows = got(spans.op9_spans(documents(spark, texts)))
+    expected = brute_spans(texts)
+    assert [words(rows[i]["text"]) for i in range(len(texts))] == [words(" ".join(x)) for x in expected]
+    assert words(rows[len(passages)]["text"]) == words(expected[len(passages)][0]) and len(expected[len(passages)]) == 1
+
+
 def test_toxicity(spark):
     r, v = random.Random(7), vocabulary(500, 2)
     bad, texts, toxic = ["nasty", "horrid", "vileone"], [], []
