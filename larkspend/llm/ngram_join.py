@@ -18,12 +18,17 @@ hub. After ``HUB_ROUNDS`` hubs, what is left is paired where n-grams of their ow
 is a metric, so a document that links to the hub cannot link to one that stayed. Documents near a hub that don't link to
 it are compared with others around it only where the three sizes and overlaps allow a link (``around_hubs``) and both
 aren't connected yet. So every link either is found or joins documents which are already in one group, and the pairs that
-are counted grow with a group's size, not with its square.
+are counted for the groups grow with a group's size, not with its square.
+
+Numbers of links (``degrees``) need every pair of a group. As links never leave a group, each group's representatives are
+cut into blocks, each pair of blocks is one task that multiplies their incidence matrices and returns one number a
+representative; copies count by their number. No pair becomes a row, but the work of a group grows with the square of its
+number of different sets.
 
 Defined results: a null or empty text, or one without words, has the empty set, is linked with nothing and is its own
 group; a text of fewer words than an n-gram has its whole sequence as its one n-gram; rows that share a doc_id are one
 document, whose text is the longest of them (the greatest if several are); a row without a doc_id is listed with its set's
-size and a null group; an empty table gives an empty table; extra columns are ignored. Results depend on hashes only
+size, a null group and a null number of links; an empty table gives an empty table; extra columns are ignored. Results depend on hashes only
 through collisions of 64 bits.
 """
 
@@ -46,6 +51,10 @@ BROADCAST_IDS = 1_000_000
 FRAGMENTS = 4
 #: Rounds of hubs, after which what is left of the lists is paired directly.
 HUB_ROUNDS = 3
+#: Representatives and n-grams in one block of a group, about, for numbers of links.
+BLOCK_ROWS, BLOCK_GRAMS = 1000, 1_000_000
+#: N-grams that are columns of a matrix at once.
+COLUMNS = 4096
 
 
 def sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -253,8 +262,48 @@ def around_hubs(stars: DataFrame, group: DataFrame, cut: DataFrame, often: DataF
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: groups of documents connected by links of Jaccard similarity num / den or more."""
+def link_counts(group: DataFrame, classes: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, others): how many documents of other classes each representative in ``group`` links to."""
+    own = cut.where("fragment = 0").select("id", "size").join(group.select("id", "component"), "id").join(classes.select(F.col("rep").alias("id"), "copies"), "id")
+    own = compact(own)
+    per = own.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_GRAMS)).alias("blocks"))
+    own = compact(own.join(per, "component").select("id", "component", "copies", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
+    few = own.count() <= BROADCAST_IDS // 4
+    placed = cut.join(F.broadcast(own), "id") if few else pick(cut, own).join(own, "id")
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = placed.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "id", "block", "size", "copies", "grams")
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, at, index = np.unique(table["id"].to_numpy(), return_index=True, return_inverse=True)
+        size, copies, block = (table[c].to_numpy()[at].astype(np.int64) for c in ("size", "copies", "block"))
+        grams = table["grams"].combine_chunks()
+        owner = np.repeat(index, grams.value_lengths().to_numpy(zero_copy_only=False))
+        _, gram, n = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = n[gram] > 1
+        owner, gram = owner[shared], (np.cumsum(n > 1) - 1)[gram[shared]]
+        order = np.argsort(gram, kind="stable")
+        owner, gram = owner[order], gram[order]
+        first, last = table["left"][0].as_py(), table["right"][0].as_py()
+        rows, columns = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        inter = np.zeros((len(rows), len(columns)), np.float32)
+        for low in range(0, int(gram[-1]) + 1 if len(gram) else 0, COLUMNS):
+            a, b = np.searchsorted(gram, (low, low + COLUMNS))
+            has = np.zeros((len(ids), COLUMNS), np.float32)
+            has[owner[a:b], gram[a:b] - low] = 1
+            inter += has[rows] @ has[columns].T
+        inter = inter.astype(np.int64)
+        linked = den * inter >= num * (size[rows][:, None] + size[columns] - inter)
+        if first == last:
+            np.fill_diagonal(linked, False)
+            return pa.table({"rep": ids[rows], "others": linked @ copies[columns]})
+        return pa.table({"rep": np.concatenate([ids[rows], ids[columns]]), "others": np.concatenate([linked @ copies[columns], copies[rows] @ linked])})
+
+    return sent.groupBy("component", "left", "right").applyInArrow(count, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+
+
+def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, degrees: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: groups of documents connected by links of Jaccard similarity num / den or more;
+    with ``degrees`` also n_links, the number of documents that each one links to."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     nameless = rows.where("id is null")
     rows = rows.where("id is not null")
@@ -267,7 +316,8 @@ def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
     alive = meta.where((F.col("size") > 0) & (F.col("shared") >= common(F.col("size"), num, den)))
     printed = checkpoint(prints(pick(rows, alive), words))
     classes = printed.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = printed.join(classes, "print").select("id", "rep")
+    classes = checkpoint(classes) if degrees else classes
+    member = printed.join(classes, "print").select("id", "rep", "copies")
     cut = checkpoint(segments(pick(rows, classes.select(F.col("rep").alias("id"))), words, num, den))
 
     often = checkpoint(cut.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
@@ -300,17 +350,23 @@ def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
         if pairs.head(1):
             more = compact(count_overlaps(pairs, cut, num, den)).where("linked").select("a", "b")
             group = components(_union([*links, more]))
-        member = member.join(group.toDF("rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+        if degrees:
+            found = group.toDF("id", "component").join(link_counts(group, classes, cut, num, den).withColumnRenamed("rep", "id"), "id")
+        else:
+            found = group.toDF("id", "component").withColumn("others", F.lit(0).cast("long"))
+        member = member.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     else:
-        member = member.select("id", F.col("rep").alias("component"))
-    result = meta.join(member, "id", "left").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        member = member.withColumn("component", F.col("rep")).withColumn("others", F.lit(0).cast("long"))
+    member = member.select("id", F.coalesce("component", "rep").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    result = meta.join(member, "id", "left").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(x) for x in sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(0)], ["doc_id", "n_shingles", "component_id"])
 
-    return result.union(nameless.mapInArrow(sizes, "doc_id long, n_shingles long, component_id long"))
+    result = result.union(nameless.mapInArrow(sizes, "doc_id long, n_shingles long, component_id long").withColumn("n_links", F.lit(None).cast("long")))
+    return result if degrees else result.drop("n_links")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -321,4 +377,4 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def op1_ngram_join(docs: DataFrame) -> DataFrame:
-    return similar_groups(docs)
+    return similar_groups(docs, degrees=True)

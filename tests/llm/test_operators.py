@@ -98,6 +98,25 @@ def test_ngram_join_rounds_run_out(spark, monkeypatch):
     assert {i: (x["n_shingles"], x["component_id"]) for i, x in rows.items()} == brute_groups(texts, 4, 85, 100)
 
 
+@pytest.mark.parametrize("rows,columns", [(1000, 4096), (7, 64)])
+def test_ngram_join_numbers_of_links(spark, monkeypatch, rows, columns):
+    """Numbers of links in groups of near copies, with exact copies, against all pairs; also over several blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    r, v = random.Random(19), vocabulary(2000, 5)
+    base, texts = r.choices(v, k=150), odd_texts()
+    for i in range(40):
+        one = list(base)
+        for _ in range(i % 9):
+            one[r.randrange(150)] = r.choice(v)
+        texts += [" ".join(one)] * (1 + i % 3)
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} - {()}) for w in (words(lower(t or "")) for t in texts)]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 85 * len(x | y)
+    found = got(ngram_join.op1_ngram_join(documents(spark, texts)))
+    want = [sum(linked(x, y) for y in sets) - bool(x) for x in sets]
+    assert [found[i]["n_links"] for i in range(len(texts))] == want and len(set(want)) > 5
+
+
 def test_ngram_join_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e"), (None, None)], "doc_id long, text string")
     rows = sorted(ngram_join.op1_ngram_join(df).collect(), key=str)
