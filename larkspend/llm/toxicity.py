@@ -1,7 +1,10 @@
 """Toxicity after noisy-channel deobfuscation.
 
 Words that look disguised (leetspeak, symbols inside, long repetitions, letters set apart) become lattices of characters;
-a Viterbi search under a character trigram model, counted over all texts, finds the likeliest restored spelling. A
+a Viterbi search under a character trigram model, counted over all texts, finds the likeliest restored spelling. A word
+of more than ``LONG_WORD`` characters is split at inner signs that stand for no letter, and each part is restored,
+whatever its length; a word with one or no letter is restored if all its other signs can stand for letters, unless it is
+a number. A
 logistic regression over restored words and their beginnings, trained on labelled rows, scores the document.
 
 Defined results: a null text is empty and gets the score of a text without any feature; rows are scored one by one, so
@@ -37,11 +40,15 @@ CLASSES = OTHER + 1  # 0: whatever isn't a letter
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
 COST_LEET, COST_DROP, COST_REPEAT = 1.0, 6.0, 0.5
 BEAM = 64
+#: A longer word is several words joined by signs.
+LONG_WORD = 40
 
 _EDGE = re.compile(r"^[^\w$@!|+(€]+|[^\w$@!]+$")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,40}(?!\w)")
 # a cheap look at the bytes before the search above: three single signs in a row
 _SINGLES = re.compile(rb"(?<![\w\x80-\xff])[\w\x80-\xff]{1,2}[ .\-_*][\w\x80-\xff]{1,2}[ .\-_*][\w\x80-\xff]{1,2}(?![\w\x80-\xff])")
+# signs that stand for no letter
+_JOINT = re.compile(r"(?:(?![@$!|+€(])[\W_])+")
 _LONG = re.compile(r"(.)\1\1")
 
 
@@ -89,9 +96,10 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
 
 def decode(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[str, float]:
     """Viterbi: the likeliest string through the lattice's positions, each a list of (string, cost), and its score."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # pieces are linked backwards, so that long words take time in proportion to their length
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, text) in best.items():
             for piece, cost in options:
                 s, x, y = score - cost, a, b
@@ -100,10 +108,19 @@ def decode(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[s
                     s += model[x, y, k]
                     x, y = y, k
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, text + piece)
+                    new[x, y] = (s, (text, piece))
         best = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:BEAM])
-    score, text = max((s + model[a, b, 0], t) for (a, b), (s, t) in best.items())
-    return text, float(score)
+    ends = [(s + model[a, b, 0], t) for (a, b), (s, t) in best.items()]
+    score = max(s for s, _ in ends)
+    return max(_joined(t) for s, t in ends if s == score), float(score)
+
+
+def _joined(link: tuple | None) -> str:
+    pieces = []
+    while link:
+        link, piece = link
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
 def lattice_of(word: str) -> list[list[tuple[str, float]]]:
@@ -115,7 +132,8 @@ def lattice_of(word: str) -> list[list[tuple[str, float]]]:
             # a run may stand for one or two letters
             out.append([(c, 0.0 if n == 1 else COST_REPEAT)] + ([(c * 2, 0.0 if n == 2 else COST_REPEAT)] if n > 1 else []))
         else:
-            out.append([(x, COST_LEET) for x in LEET.get(c, "")] + [("", COST_DROP if c in LEET else 0.5)])
+            mapped = [(x * k, COST_LEET + (0.0 if n == k else COST_REPEAT)) for x in LEET.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
+            out.append(mapped + [("", COST_DROP if c in LEET else 0.5)])
     return out
 
 
@@ -127,11 +145,19 @@ def restore(word: str, model: np.ndarray) -> str:
     core = bare.strip("!?.,;:-_'\"()[]*")
     if core.isalpha() and not bare.startswith(("$", "@")):
         return restore(core, model) if core != word else core
-    if len(bare) > 40 or sum(map(str.isalpha, bare)) < 2:
+    if bare.isdigit() or sum(map(str.isalpha, bare)) < 2 and not all(c in LEET or c.isalpha() for c in bare):
         return ""
     return decode(lattice_of(bare), model)[0]
 
 
+def restored(word: str, model: np.ndarray) -> list[str]:
+    """The words that a lower-case word without white space stands for, without disguise."""
+    bare = _EDGE.sub("", word)
+    if len(bare) <= LONG_WORD or bare.isalpha():
+        return [restore(word, model)]
+    return [restore(x, model) for x in _JOINT.split(bare) if x]
+
+
 def features_of(word: str) -> list[str]:
     """The word and its beginnings, which inflected forms share."""
     return [word, *(f"{word[:n]}~" for n in (4, 5) if len(word) > n)] if len(word) > 2 else []
@@ -156,7 +182,7 @@ class Reader:
             self.cache.clear()
         cache = self.cache
         for w in words.difference(cache):
-            cache[w] = self.value(restore(w.decode().lower(), self.model))
+            cache[w] = frozenset().union(*map(self.value, restored(w.decode().lower(), self.model)))
         return set().union(*map(cache.__getitem__, words))
 
     def joined(self, spaced: str) -> list[str]:

@@ -445,6 +445,19 @@ def test_restoring():
     assert toxicity.restore("i.d.o", model) == "ido" and toxicity.restore("$t0p", model) == "stop"
 
 
+def test_restoring_long_and_letterless_words(spark):
+    texts = ["you are such an ass and a stupid nasty person"] * 200 + ["quite ordinary words of a text"] * 100
+    model = toxicity.trigram_model(toxicity.trigram_counts(documents(spark, texts)))
+    read = toxicity.Reader(model, lambda w: frozenset([w]))
+    assert all(read(x.encode()) == {"ass"} for x in ("a$$", "a55", "@$$"))
+    for sign in "_-./":
+        assert {"stupid", "nasty"} <= read(sign.join("you are such a stupid and n@sty and ordinary person".split()).encode())
+    assert read("你好".encode() * 15 + "，".encode() + "该死".encode() * 12) == {"你好" * 15, "该死" * 12}
+    assert read(b"stu" + b"p" * 60 + b"1d") & {"stupid", "stuppid"}
+    assert read(b"?! ... -- #") <= {""}
+    assert len(toxicity.restore("a1" * 20_000, model)) >= 20_000
+
+
 def test_every_operator_is_registered():
     assert sorted(queries.QUERIES, key=lambda x: int(x[2:].split("_")[0])) == [n for n in queries.QUERIES if re.match(r"op\d+_", n)] or len(queries.QUERIES) == 10
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
