@@ -1,12 +1,14 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on windows of a bounded sample of labelled documents
-(``train_docs`` a language, ``windows`` a document) and is small enough to travel with the tasks. Prediction cuts every
-whole text into windows of ``STEPS`` bytes, runs thousands of windows side by side, labels every byte from the forward
-and the backward state there, and averages the bytes' probabilities over the document.
+(at most ``train_docs`` of each of the ``MAX_LANGS`` most frequent languages, ``windows`` a document) and is small enough
+to travel with the tasks. Prediction runs over every whole text, many texts side by side; one of more than ``WINDOW``
+bytes is read in several windows, each of which starts ``CONTEXT`` bytes early on either side, so that states are warm
+where it counts. Every byte is labelled from the forward and the backward state there, and the bytes' probabilities are
+averaged over the document.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any labelled training row, all
-rows are ``und``; an empty table gives an empty table; repeated rows repeat their results; a null doc_id is not held
+rows are ``und``; rarer languages than the ``MAX_LANGS`` most frequent aren't learned; an empty table gives an empty table; repeated rows repeat their results; a null doc_id is not held
 out; extra columns don't reach the result. Ties go to the language that sorts first.
 """
 
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
@@ -25,10 +27,15 @@ from ._text import blocks
 
 HIDDEN = 8
 STEPS = 64
+WINDOW = 1024
+CONTEXT = 64
+MAX_LANGS = 256
 TRAIN_DOCS = 400
 TRAIN_WINDOWS = 6
 ROUNDS = 350
 BATCH = 192
+#: Bytes read side by side, and windows at most.
+TOGETHER = 1 << 20
 SIDE_BY_SIDE = 2048
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -147,13 +154,14 @@ def _run(p: dict, d: str, x: np.ndarray, mask: np.ndarray, states: np.ndarray) -
 
 
 def byte_probabilities(p: dict, x: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(step, probabilities (classes, windows)) for every step; 0 beyond a window's size."""
-    mask = (np.arange(STEPS)[:, None] < size).astype(np.float32) if size.min() < STEPS else None
+    """(step, probabilities (classes, windows)) for every step of windows x (windows, steps); 0 beyond a window's size."""
+    steps = x.shape[1]
+    mask = (np.arange(steps)[:, None] < size).astype(np.float32) if size.min() < steps else None
     x = x.T.astype(np.intp)
-    back, fore = (np.empty((STEPS, HIDDEN, x.shape[1]), np.float32) for _ in "bf")
+    back, fore = (np.empty((steps, HIDDEN, x.shape[1]), np.float32) for _ in "bf")
     _run(p, "b", x, mask, back)
     _run(p, "f", x, mask, fore)
-    for t in range(STEPS):
+    for t in range(steps):
         prob = p["out"][:, :HIDDEN] @ fore[t]
         prob += p["out"][:, HIDDEN:] @ back[t]
         prob += p["bias"]
@@ -165,30 +173,49 @@ def byte_probabilities(p: dict, x: np.ndarray, size: np.ndarray) -> Iterator[tup
         yield t, prob
 
 
-def _windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, start and size of each window of a block, and its bytes padded at the end."""
+def windows_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and size of each window of a block of texts, and where the part that counts begins and ends in it:
+    all of the window but its context."""
     lengths = np.diff(at)
-    count = -(-lengths // STEPS)
+    count = -(-lengths // WINDOW)
     doc = np.repeat(np.arange(len(lengths)), count)
-    start = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * STEPS
-    return doc, start, np.minimum(STEPS, at[doc + 1] - start), np.concatenate([data, np.zeros(STEPS, np.uint8)])
+    core = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    stop = np.minimum(core + WINDOW, at[doc + 1])
+    start = np.maximum(core - CONTEXT, at[doc])
+    return doc, start, np.minimum(stop + CONTEXT, at[doc + 1]) - start, core - start, stop - start
+
+
+def window_probabilities(p: dict, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(windows, step, probabilities (classes, windows)), 0 where a step of a window doesn't count; windows of like size
+    are read side by side."""
+    _, start, size, first, last = windows_of(at)
+    padded = np.concatenate([data, np.zeros(WINDOW + 2 * CONTEXT, np.uint8)])
+    order, low = np.argsort(-size, kind="stable"), 0
+    while low < len(order):
+        steps = int(size[order[low]])
+        own = order[low : low + max(1, min(SIDE_BY_SIDE, TOGETHER // steps))]
+        low += len(own)
+        counts = (np.arange(steps)[:, None] >= first[own]) & (np.arange(steps)[:, None] < last[own])
+        for t, prob in byte_probabilities(p, padded[start[own, None] + np.arange(steps)], size[own]):
+            yield own, t, prob if counts[t].all() else prob * counts[t]
 
 
 def document_probabilities(p: dict, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(documents, classes): means over each document's bytes."""
-    doc, start, size, padded = _windows(data, at)
+    doc = windows_of(at)[0]
     total = np.zeros((len(at) - 1, len(p["bias"])))
-    # full windows first: they need no mask
-    order = np.argsort(-size, kind="stable")
-    full = int((size == STEPS).sum())
-    parts = [order[i : min(i + SIDE_BY_SIDE, full)] for i in range(0, full, SIDE_BY_SIDE)] + [order[i : i + SIDE_BY_SIDE] for i in range(full, len(order), SIDE_BY_SIDE)]
-    for own in parts:
-        x = padded[start[own, None] + np.arange(STEPS)]
-        pooled = np.zeros((len(p["bias"]), len(own)), np.float32)
-        for _, prob in byte_probabilities(p, x, size[own]):
-            pooled += prob
+    now, pooled = None, np.zeros((0, 0))
+
+    def add() -> None:
         for k, row in enumerate(pooled):
-            total[:, k] += np.bincount(doc[own], row, len(total))
+            total[:, k] += np.bincount(doc[now], row, len(total))
+
+    for own, _, prob in window_probabilities(p, data, at):
+        if own is not now:
+            add()
+            now, pooled = own, np.zeros_like(prob)
+        pooled += prob
+    add()
     return total / np.maximum(np.diff(at), 1)[:, None]
 
 
@@ -197,11 +224,12 @@ def byte_labels(p: dict, langs: list[str], text: str) -> list[tuple[int, int, st
     data = np.frombuffer(text.encode(), np.uint8)
     if not len(data):
         return []
-    _, start, size, padded = _windows(data, np.array([0, len(data)]))
-    labels = np.zeros((len(start), STEPS), int)
-    for t, prob in byte_probabilities(p, padded[start[:, None] + np.arange(STEPS)], size):
-        labels[:, t] = prob.argmax(0)
-    flat = labels.reshape(-1)[: len(data)]
+    at = np.array([0, len(data)])
+    _, start, _, first, last = windows_of(at)
+    flat = np.zeros(len(data), int)
+    for own, t, prob in window_probabilities(p, data, at):
+        here = (t >= first[own]) & (t < last[own])
+        flat[start[own[here]] + t] = prob[:, here].argmax(0)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1, [len(flat)]])
     return [(int(a), int(b), langs[flat[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -211,34 +239,30 @@ def held_out(mod: int, remainder: int, doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, windows: int = TRAIN_WINDOWS, rounds: int = ROUNDS) -> tuple[list[str], dict]:
-    """Languages and network, from rows that aren't held out. The driver gets at most about ``train_docs * windows``
-    windows of ``STEPS`` bytes a language: rows are kept by a hash of their text, below a limit set from each language's
-    count, and windows are cut where the rows are."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(4, 2)).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    langs = sorted(counts)
+    """Languages and network, from rows that aren't held out. The driver gets at most ``train_docs * windows`` windows of
+    ``STEPS`` bytes a language and at most ``MAX_LANGS`` languages: a coarse cut, row by row, leaves about four times as
+    many rows as wanted, and of these the first by a hash of id and text stay. Windows are cut where the rows are."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(4, 2)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], {}
-    share = None
-    for k in langs:
-        limit = min(1.0, train_docs / counts[k])
-        share = F.when(F.col("lang") == k, limit) if share is None else share.when(F.col("lang") == k, limit)
-    kept = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * train_docs / r["count"])) for r in counts], "lang string, share double")
+    kept = rows.withColumn("draw", F.rand(4)).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text", "h")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(1).to_pylist():
                 data = text.encode()
-                if LETTER.search(text):
-                    for at in sorted({len(data) * i // windows for i in range(windows)}) if len(data) > windows * STEPS else range(0, len(data), STEPS):
-                        out.append((lang, data[at : at + STEPS]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "bytes"])
+                places = sorted({len(data) * i // windows for i in range(windows)}) if len(data) > windows * STEPS else range(0, len(data), STEPS)
+                out.append([data[at : at + STEPS] for at in places])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.binary())), batch.column(2)], ["lang", "bytes", "h"])
 
-    got = sorted((r["lang"], bytes(r["bytes"])) for r in kept.mapInArrow(cut, "lang string, bytes binary").collect())
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "bytes"))
+    few = kept.mapInArrow(cut, "lang string, bytes array<binary>, h long").withColumn("nth", nth).where(F.col("nth") <= train_docs)
+    got = sorted((r["lang"], bytes(w)) for r in few.select("lang", "bytes").collect() for w in r["bytes"])
     index = {k: i for i, k in enumerate(langs)}
-    if not got:
-        return [], {}
     return langs, train([w for _, w in got], np.array([index[k] for k, _ in got]), len(langs), rounds)
 
 

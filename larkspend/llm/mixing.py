@@ -7,13 +7,13 @@ give each bucket's offset, and a running sum inside a bucket gives each document
 whole epochs plus a rest: each document is taken once an epoch, and the rest cuts at its exact word in the next one.
 
 Defined results: a null text has size 0 and a document without words is taken with 0 words; null sources are one
-source; a table without words gives targets of 0; equal doc_ids share a key and stand by size; extra columns are
-ignored by ``shares``.
+source; a table without words gives targets of 0; equal doc_ids share a key and stand by size; rows without a doc_id have
+their text's hash instead; extra columns are ignored by ``shares`` and pass through ``mixed_documents``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import checkpoint
@@ -38,25 +38,41 @@ def targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return per.select("source", "source_size", F.round(F.least(most * F.col("source_size").cast("double"), F.col("level") * F.col("weight")), 6).alias("target"))
 
 
-def shares(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``."""
-    sizes = docs.select("doc_id", "source", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0)).cast("long").alias("size"))
-    # ids and numbers only, so that texts are read once
-    sizes = checkpoint(sizes.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
-    buckets = max(1, min(1 << 20, sizes.count() // BUCKET_ROWS))
-    sizes = sizes.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)))
-    sizes = sizes.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
-    sums = sizes.groupBy("name", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
+def _order_key(seed: str) -> Column:
+    """Hash-random, from the id; rows without one are told apart by their texts."""
+    own = F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), own)))
+
+
+def _size() -> Column:
+    return F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0)).cast("long")
+
+
+def shares(docs: DataFrame, most: int = MOST_EPOCHS, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of ``docs``; ``keep`` names columns that go along."""
+    own = docs.select(F.struct("doc_id", *keep).alias("__row"), F.col("doc_id").alias("id"), "source", _size().alias("size"), _order_key(seed).alias("key"))
+    sizes = own.select("source", "size", "key")
+    # numbers only, so that the statistics read texts once; without ``keep`` they are all that is needed
+    if not keep:
+        own = checkpoint(own)
+        sizes = own.select("source", "size", "key")
+    else:
+        sizes = checkpoint(sizes)
+    buckets = max(1, min(1 << 24, sizes.count() // BUCKET_ROWS))
+    bucket = F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * buckets / (1 << 24))
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    sums = sizes.groupBy(name.alias("name"), "source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    goal = targets(sizes, most).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("name"), "source_size", "target")
+    goal = targets(sizes, most).select(name.alias("name"), "source_size", "target")
     offsets = offsets.join(goal, "name").select("name", "bucket", "offset", "source_size", "target")
-    place = F.col("offset") + F.coalesce(F.sum("size").over(Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("offset") + F.coalesce(F.sum("size").over(Window.partitionBy("name", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     budget = F.floor(F.col("target") + 0.5)
-    placed = sizes.join(offsets, ["name", "bucket"]).withColumn("place", place)
+    placed = own.withColumn("name", name).withColumn("bucket", bucket).join(offsets, ["name", "bucket"]).withColumn("place", place)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    numbers = placed.select("__row", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return numbers if keep else numbers.select("__row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_mixing(docs: DataFrame) -> DataFrame:
@@ -64,29 +80,28 @@ def op2_mixing(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document once for each whole repeat, and cut after its last
-    taken word where the budget ends inside it. Rows that share a doc_id share its decision.
-
-    The shares are pre-aggregated to one row a doc_id, so that the join back cannot multiply rows.
-    """
-    share = shares(docs, most).groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
+    """The mix itself, with the columns of ``docs``: a row once for each whole repeat, and cut after its last taken word
+    where the budget ends inside it. Rows stay whole on their way through the prefix sums, so each keeps its own share,
+    also where rows have the same doc_id or none."""
     names = docs.columns
-    joined = docs.join(share.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    whole = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    rest = F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(0).cast("int")
+    joined = shares(docs, most, keep=tuple(x for x in names if x != "doc_id"))
+    size, taken = F.col("size"), F.col("taken")
+    whole = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
+    rest = F.when(size > 0, taken % size).otherwise(0).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    one = joined.withColumn("__part", F.explode(copies))
-    cut = F.expr(r"array_join(slice(filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> ''), 1, greatest(__part, 0)), ' ')")
-    text = F.when(F.col("__part") < 0, F.col("text")).otherwise(cut)
-    one = one.withColumn("text", text)
+    one = joined.select("__row", F.explode(copies).alias("__part"))
+    old = F.col("__row.text")
+    cut = F.expr(r"array_join(slice(filter(split(coalesce(__row.text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> ''), 1, greatest(__part, 0)), ' ')")
+    text = F.when(F.col("__part") < 0, old).otherwise(cut)
+    made = {"text": text}
     if "n_chars" in names:
-        one = one.withColumn("n_chars", F.when(F.col("__part") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return one.select(*names)
+        made["n_chars"] = F.when(F.col("__part") < 0, F.col("__row.n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return one.select(*(made.get(x, F.col(f"__row.`{x}`")).alias(x) for x in names))
 
 
 OP2_SQL = r"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    md5('mix:' || coalesce(cast(doc_id as varchar), 'null')) as key from documents),
+    md5('mix:' || coalesce(cast(doc_id as varchar), 'null:' || md5(coalesce(text, '')))) as key from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from s),
 l as (select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level from w

@@ -25,11 +25,13 @@ cut into blocks, each pair of blocks is one task that multiplies their incidence
 representative; copies count by their number. No pair becomes a row, but the work of a group grows with the square of its
 number of different sets.
 
+Copies of one text meet in one task nowhere: prefix n-grams that a batch repeats are sent once, classes are counted with
+partial sums, and what a class knows goes back to its copies by a broadcast of the few classes with many of them.
+
 Defined results: a null or empty text, or one without words, has the empty set, is linked with nothing and is its own
-group; a text of fewer words than an n-gram has its whole sequence as its one n-gram; rows that share a doc_id are one
-document, whose text is the longest of them (the greatest if several are); a row without a doc_id is listed with its set's
-size, a null group and a null number of links; an empty table gives an empty table; extra columns are ignored. Results depend on hashes only
-through collisions of 64 bits.
+group; a text of fewer words than an n-gram has its whole sequence as its one n-gram; every row takes part on its own,
+also where rows share a doc_id or have none, and a group's id is the smallest doc_id in it (null if it has none); an empty
+table gives an empty table; extra columns are ignored. Results depend on hashes only through collisions of 64 bits.
 """
 
 from __future__ import annotations
@@ -42,11 +44,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import checkpoint, compact
+from ._store import checkpoint, compact, placed
 from ._text import LOWER, blocks, mix, range_hashes, run_hashes, span_hashes, word_spans
 
 #: Ids up to so many are broadcast to pick rows (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Keys of more rows than this, and than one in so many of all rows, are joined apart; so there are never more than
+#: HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+#: Id of a key that a batch has in several documents.
+NOBODY = -(1 << 63)
 #: Fragments in which the overlaps of pairs are counted.
 FRAGMENTS = 4
 #: Rounds of hubs, after which what is left of the lists is paired directly.
@@ -91,7 +98,12 @@ def _as_longs(values: np.ndarray) -> pa.Array:
 
 
 def shared_prefixes(docs: DataFrame, words: int, num: int, den: int, fragments: int) -> DataFrame:
-    """(id, size, shared) of each document: its set's size and how many of its prefix n-grams others have too."""
+    """(id, size, shared) of each document: its set's size and how many of its prefix n-grams others have too.
+
+    A key that several documents of a batch have is known to be shared there; it is sent once, for other batches, so
+    that what a frequent n-gram sends grows with the number of batches."""
+    bits = 16 if fragments <= 1 << 16 else 24
+    width = 8 - bits // 8
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,40 +115,57 @@ def shared_prefixes(docs: DataFrame, words: int, num: int, den: int, fragments:
                 prefix = [x[: prefix_length(len(x), num, den)] for x in own]
                 doc = np.repeat(np.arange(len(own)), [len(x) for x in prefix])
                 key = np.concatenate([*prefix, np.zeros(0, np.uint64)])
-                fragment = ((key & np.uint64(0xFFFF)).astype(np.int64) * fragments) >> 16
+                key, first, index, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                local = np.bincount(doc[n[index] > 1], minlength=len(own))
+                doc = np.where(n > 1, -1, doc[first])
+                fragment = ((key & np.uint64((1 << bits) - 1)).astype(np.int64) * fragments) >> bits
                 order = np.argsort(fragment, kind="stable")
                 bounds = np.searchsorted(fragment[order], np.arange(fragments + 1)).tolist()
-                rows = [(low % fragments, b"", ids.tobytes(), sizes.tobytes())]
+                rows = [(low % fragments, b"", ids.tobytes(), np.concatenate([sizes, local]).tobytes())]
                 for f, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     if b > a:
                         take = order[a:b]
-                        # six bytes of each key: the other two choose the fragment
-                        wide = np.ascontiguousarray((key[take] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+                        # the lowest bytes of a key choose the fragment, the others are sent
+                        wide = np.ascontiguousarray((key[take] >> np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, :width])
                         docs_here, index = np.unique(doc[take], return_inverse=True)
-                        rows.append((f, wide.tobytes(), ids[docs_here].tobytes(), index.astype(np.uint16).tobytes()))
+                        rows.append((f, wide.tobytes(), np.where(docs_here < 0, NOBODY, ids[docs_here]).tobytes(), index.astype(np.uint16).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["fragment", "keys", "ids", "index"])
 
     def count(table: pa.Table) -> pa.Table:
-        keys, ids, sizes = [np.zeros((0, 6), np.uint8)], [np.zeros(0, np.int64)], [(np.zeros(0, np.int64),) * 2]
+        keys, ids, sizes = [np.zeros((0, width), np.uint8)], [np.zeros(0, np.int64)], [(np.zeros(0, np.int64),) * 3]
         for k, i, x in zip(table["keys"].to_pylist(), table["ids"].to_pylist(), table["index"].to_pylist(), strict=True):
             own = np.frombuffer(i, np.int64)
             if k:
-                keys.append(np.frombuffer(k, np.uint8).reshape(-1, 6))
+                keys.append(np.frombuffer(k, np.uint8).reshape(-1, width))
                 ids.append(own[np.frombuffer(x, np.uint16)])
             else:
-                sizes.append((own, np.frombuffer(x, np.int64)))
+                sizes.append((own, *np.frombuffer(x, np.int64).reshape(2, -1)))
         narrow = np.concatenate(keys)
         wide = np.zeros((len(narrow), 8), np.uint8)
-        wide[:, :6] = narrow
+        wide[:, :width] = narrow
         _, index, n = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
-        found, shared = np.unique(np.concatenate(ids)[n[index] > 1], return_counts=True)
-        meta, size = (np.concatenate([x[j] for x in sizes]) for j in (0, 1))
-        return pa.table({"id": np.concatenate([meta, found]), "size": np.concatenate([size, np.zeros(len(found), np.int64)]), "shared": np.concatenate([np.zeros(len(meta), np.int64), shared.astype(np.int64)])})
+        owner = np.concatenate(ids)
+        found, shared = np.unique(owner[(n[index] > 1) & (owner != NOBODY)], return_counts=True)
+        meta, size, local = (np.concatenate([x[j] for x in sizes]) for j in (0, 1, 2))
+        return pa.table({"id": np.concatenate([meta, found]), "size": np.concatenate([size, np.zeros(len(found), np.int64)]), "shared": np.concatenate([local, shared.astype(np.int64)])})
 
     sent = docs.mapInArrow(send, "fragment int, keys binary, ids binary, index binary")
     return sent.groupBy("fragment").applyInArrow(count, "id long, size long, shared long").groupBy("id").agg(F.max("size").alias("size"), F.sum("shared").alias("shared"))
 
 
+def join_any(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``many`` with the row of ``one`` that has its ``key``, whatever share of ``many`` a key holds: the rows of the few
+    keys with very many rows stay where they are and look their key up in a broadcast table."""
+    most = max(HOT_ROWS, many.count() // HOT_KEYS)
+    hot = many.groupBy(key).count().where(F.col("count") > most).select(key)
+    hot = checkpoint(one.join(F.broadcast(hot), key, "left_semi"))
+    if not hot.head(1):
+        return many.join(one, key)
+    keys = F.broadcast(hot.select(key))
+    rest = many.join(keys, key, "left_anti").join(one.join(keys, key, "left_anti"), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` (id, text) whose id is among ``ids``."""
     ids = ids.select(F.col("id").alias("__id"))
@@ -301,23 +330,17 @@ def link_counts(group: DataFrame, classes: DataFrame, cut: DataFrame, num: int,
     return sent.groupBy("component", "left", "right").applyInArrow(count, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
 
 
-def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, degrees: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id: groups of documents connected by links of Jaccard similarity num / den or more;
-    with ``degrees`` also n_links, the number of documents that each one links to."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    nameless = rows.where("id is null")
-    rows = rows.where("id is not null")
-    if rows.select("id").groupBy("id").count().where("count > 1").head(1):
-        rows = rows.groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fragments = min(1 << 16, max(parts, rows.count() // 20_000))
+def groups(rows: DataFrame, words: int, num: int, den: int, degrees: bool) -> DataFrame:
+    """id, n_shingles, component_id, n_links of ``rows`` (id, text) with unique ids; without ``degrees``, numbers of links
+    count equal sets only."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fragments = min(1 << 24, max(parts, rows.count() // 20_000))
     meta = checkpoint(shared_prefixes(rows, words, num, den, fragments))
 
     alive = meta.where((F.col("size") > 0) & (F.col("shared") >= common(F.col("size"), num, den)))
     printed = checkpoint(prints(pick(rows, alive), words))
     classes = printed.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = checkpoint(classes) if degrees else classes
-    member = printed.join(classes, "print").select("id", "rep", "copies")
+    classes = checkpoint(classes)
     cut = checkpoint(segments(pick(rows, classes.select(F.col("rep").alias("id"))), words, num, den))
 
     often = checkpoint(cut.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
@@ -350,23 +373,39 @@ def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 10
         if pairs.head(1):
             more = compact(count_overlaps(pairs, cut, num, den)).where("linked").select("a", "b")
             group = components(_union([*links, more]))
+        known = group.toDF("rep", "component")
         if degrees:
-            found = group.toDF("id", "component").join(link_counts(group, classes, cut, num, den).withColumnRenamed("rep", "id"), "id")
+            known = known.join(link_counts(group, classes, cut, num, den), "rep")
         else:
-            found = group.toDF("id", "component").withColumn("others", F.lit(0).cast("long"))
-        member = member.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+            known = known.withColumn("others", F.lit(0).cast("long"))
+        classes = checkpoint(classes.join(known, "rep", "left"))
     else:
-        member = member.withColumn("component", F.col("rep")).withColumn("others", F.lit(0).cast("long"))
-    member = member.select("id", F.coalesce("component", "rep").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    result = meta.join(member, "id", "left").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        classes = classes.withColumn("component", F.col("rep")).withColumn("others", F.lit(0).cast("long"))
+    classes = classes.select("print", F.coalesce("component", "rep").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    member = join_any(printed, classes, "print").select("id", "component", "n_links")
+    return meta.join(member, "id", "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(x) for x in sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(0)], ["doc_id", "n_shingles", "component_id"])
 
-    result = result.union(nameless.mapInArrow(sizes, "doc_id long, n_shingles long, component_id long").withColumn("n_links", F.lit(None).cast("long")))
-    return result if degrees else result.drop("n_links")
+def similar_groups(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, degrees: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: groups of documents connected by links of Jaccard similarity num / den or more;
+    with ``degrees`` also n_links, the number of documents that each one links to."""
+    own, plain = placed(docs.select("doc_id", "text"))
+    found = groups(own.select(F.col("__place").alias("id"), "text"), words, num, den, degrees)
+    if plain:
+        found = found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+    else:
+        ids = own.select(F.col("__place").alias("id"), "doc_id")
+        firsts = ids.select(F.col("id").alias("component_id"), F.col("doc_id").alias("__first"))
+        found = join_any(checkpoint(found.join(ids, "id")), firsts, "component_id").select("doc_id", "n_shingles", F.col("__first").alias("component_id"), "n_links")
+    return found if degrees else found.drop("n_links")
+
+
+def without_repeats(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Of each group the row with the smallest doc_id; one of them, where rows share that id or none has any."""
+    own, _ = placed(docs)
+    found = groups(own.select(F.col("__place").alias("id"), "text"), words, num, den, False)
+    gone = found.where("component_id <> id").select(F.col("id").alias("__place"))
+    return own.join(gone, "__place", "left_anti").select(*docs.columns)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Documents are taken in the order of their rows, partition by partition, without a shuffle, in runs of bounded length.
 In each run, windows are cut where padding plus penalties are least: at document ends (free), at sentence ends
-(``sentence_penalty``), or every sixteenth of a window inside a longer sentence (``cut_penalty``). With positions p of possible
+(``sentence_penalty``), or every sixteenth of a window inside a sentence that is longer than one (``cut_penalty``). With positions p of possible
 cuts, best[j] = penalty[j] + min over i with 0 < p[j] - p[i] <= window of best[i] + padding(p[j] - p[i]); since padding
 is window - (p[j] - p[i]), the minimum runs over best[i] + p[i] in a sliding window, which a monotone queue gives in
 constant time. Lengths that are powers of two need no padding and are tried beside it.
@@ -34,6 +34,8 @@ RUN_TOKENS = 1 << 19
 #: Texts are looked up in blocks of about so many bytes, and so many words are remembered.
 BLOCK_BYTES = 1 << 18
 CACHE_WORDS = 400_000
+#: What special tokens begin with; they are told by their case, so words that hold it keep theirs.
+SPECIAL = b"<|"
 #: Words that the tokenizer's normaliser and pattern leave in one piece (its lower-casing is done here).
 _LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -167,8 +169,11 @@ class WordIds:
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids of all texts with their ends, their lengths) of blocks of texts."""
         for low, high, data, at in blocks(column, BLOCK_BYTES):
-            data = LOWER[data]
+            raw, data = data, LOWER[data]
             starts, ends, per_doc = pieces(data, at)
+            for place in np.flatnonzero((raw[:-1] == SPECIAL[0]) & (raw[1:] == SPECIAL[1])).tolist():
+                own = int(np.searchsorted(starts, place, "right")) - 1
+                data[starts[own] : ends[own]] = raw[starts[own] : ends[own]]
             h = span_hashes(data, starts, ends)
             h[h == 0] = 1
             number = self.find(h)
@@ -199,13 +204,9 @@ class WordIds:
 def cut_points(lengths: np.ndarray, sentence_ends: np.ndarray, window: int, sentence_penalty: int, cut_penalty: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a sequence may end, from 0 to the run's end, and the penalty of each."""
     ends = np.cumsum(lengths)
-    total = int(ends[-1])
     at = np.union1d(np.concatenate([[0], ends]), sentence_ends)
     step = max(1, window // 16)
-    gaps = np.flatnonzero(np.diff(at) > step)
-    hard = [np.arange(at[g] + step, at[g + 1], step) for g in gaps] + [total - (1 << np.arange(window.bit_length()))]
-    hard = np.concatenate(hard)
-    hard = np.setdiff1d(hard[hard > 0], at)
+    hard = np.concatenate([np.zeros(0, np.int64), *(np.arange(at[g] + step, at[g + 1], step) for g in np.flatnonzero(np.diff(at) > window))])
     points = np.concatenate([at, hard])
     cost = np.concatenate([np.where(np.isin(at, ends) | (at == 0), 0, sentence_penalty), np.full(len(hard), cut_penalty)])
     order = np.argsort(points, kind="stable")

@@ -1,7 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-``text_statistics`` adds counts for each text; ``cascade`` orders any rules by what a sample shows and evaluates them
-so that a row which one rule rejects never reaches the later ones.
+``text_statistics`` adds counts for each text; ``rule_order`` orders rules by what a sample shows, and ``cascade``
+evaluates them so that a row which one rule rejects never reaches the later ones, nor the passes over its text that only
+these make. A rule's cost is what the sample's rows make it read: its passes over the text times the text's bytes, plus
+one for the comparison; unlike times of such small jobs it is the same on every run. Rejection is counted over the rows
+that the rules chosen before it let through.
 
 Defined results: a null text counts as empty (no words, no lines); an empty table gives an empty table; rows are judged
 one by one, so repeated rows repeat their results; columns of the input that aren't named stay out of the result of
@@ -10,8 +13,8 @@ one by one, so repeated rows repeat their results; columns of the input that are
 
 from __future__ import annotations
 
-import time
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,52 +55,70 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def extra_rules(text: str = "text") -> dict[str, Column]:
-    """Rules beyond the two of ``base_failed``: a true value rejects. They need the columns of ``text_statistics``."""
+@dataclass(frozen=True)
+class Rule:
+    """A true ``rejects`` rejects the row, a null one doesn't. ``passes``: how often it reads the text anew."""
+
+    rejects: Column
+    passes: float = 0.0
+
+
+def base_rules() -> dict[str, Rule]:
+    """The two rules of ``base_failed``. Rules need the columns of ``text_statistics``."""
+    return {"few_words": Rule(F.col("n_words") < MIN_WORDS), "repeated_words": Rule(100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))}
+
+
+def extra_rules(text: str = "text") -> dict[str, Rule]:
+    """Rules beyond them."""
     whole = F.coalesce(F.col(text), F.lit(""))
     upper = F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", ""))
     letters = F.length(F.regexp_replace(whole, r"[^\p{L}]+", ""))
+    # few letters, or most of them capitals; letters are counted once for both
+    shares = F.transform(F.array(letters), lambda n: (100 * n < 50 * F.col("word_chars")) | (100 * upper > 50 * n))
     return {
-        "symbols": 100 * F.col("n_symbols") > 10 * F.col("n_words"),
-        "duplicate_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_word_lines"),
-        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")),
-        "capitals": 100 * upper > 50 * letters,
-        "few_letters": 100 * letters < 50 * F.col("word_chars"),
-        "ellipses": 100 * F.size(F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) > 30 * F.greatest(F.col("n_word_lines"), F.lit(1)),
+        "symbols": Rule(100 * F.col("n_symbols") > 10 * F.col("n_words")),
+        "duplicate_lines": Rule(100 * F.col("n_dup_lines") > 30 * F.col("n_word_lines")),
+        "word_length": Rule((F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
+        "letters": Rule(F.get(shares, F.lit(0)), 2),
+        "ellipses": Rule(100 * F.size(F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"(\.\.\.|…)\s*$"))) > 30 * F.greatest(F.col("n_word_lines"), F.lit(1)), 1),
     }
 
 
-def rule_order(sample: DataFrame, rules: Mapping[str, Column]) -> list[tuple[str, float, float]]:
-    """(name, seconds, share of rows rejected), best rejection per cost first. Runs one aggregate per rule over the
-    sample; only its time and one number reach the driver. The order never changes a verdict, only its cost."""
-    rows = sample.count()
-    found = []
-    for name, rule in rules.items():
-        began = time.perf_counter()
-        rejected = sample.agg(F.sum(F.when(rule, 1).otherwise(0))).first()[0] or 0
-        found.append((name, max(time.perf_counter() - began, 1e-4), rejected / max(rows, 1)))
-    return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
-
-
-def cascade(rows: DataFrame, rules: Mapping[str, Column], order: list[str], verdict: str = "kept") -> DataFrame:
-    """Adds ``verdict``: false if a rule holds. Branches of one CASE are evaluated lazily, in ``order``. A rule that is
-    null doesn't reject."""
+def rule_order(sample: DataFrame, rules: Mapping[str, Rule], text: str = "text") -> list[tuple[str, float, float]]:
+    """(name, cost, share of the rows left that it rejects), best rejection per cost first. One job over the sample; the
+    driver gets a row for each combination of verdicts. The order never changes a verdict, only its cost."""
+    seen = sample.select(*(F.coalesce(r.rejects, F.lit(False)).alias(n) for n, r in rules.items()), F.coalesce(F.octet_length(text), F.lit(0)).alias("__bytes"))
+    rows = seen.groupBy(*rules).agg(F.count("*").alias("__n"), F.sum("__bytes").alias("__b")).collect()
+    left, found = list(rules), []
+    while left:
+        n, size = (sum(r[x] for r in rows) for x in ("__n", "__b"))
+        cost = {name: 1 + rules[name].passes * size / max(n, 1) for name in left}
+        share = {name: sum(r["__n"] for r in rows if r[name]) / max(n, 1) for name in left}
+        best = min(left, key=lambda name: (-share[name] / cost[name], cost[name]))
+        found.append((best, cost[best], share[best]))
+        left.remove(best)
+        rows = [r for r in rows if not r[best]]
+    return found
+
+
+def cascade(rows: DataFrame, rules: Mapping[str, Rule], order: list[str], verdict: str = "kept") -> DataFrame:
+    """Adds ``verdict``: false if a rule rejects. Branches of one CASE are evaluated lazily, in ``order``."""
     chain = None
     for name in order:
-        chain = F.when(rules[name], False) if chain is None else chain.when(rules[name], False)
+        chain = F.when(rules[name].rejects, False) if chain is None else chain.when(rules[name].rejects, False)
     return rows.withColumn(verdict, F.lit(True) if chain is None else chain.otherwise(True))
 
 
 def op8_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row."""
     docs = docs.select("doc_id", "text")
-    base = {"few_words": F.col("n_words") < MIN_WORDS, "repeated_words": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")}
+    base = base_rules()
     rules = base | extra_rules()
     # about sample_rows rows, by a fixed seed: enough to rank rules, whatever the table's size
-    sample = text_statistics(docs.sample(min(1.0, sample_rows / max(docs.count(), 1)), seed=8)).persist()
+    sample = text_statistics(docs.sample(min(1.0, sample_rows / max(docs.count(), 1)), seed=8))
     order = [name for name, _, _ in rule_order(sample, rules)]
-    sample.unpersist()
-    judged = cascade(text_statistics(docs).withColumn("base_failed", base["few_words"] | base["repeated_words"]), rules, order)
+    failed = base["few_words"].rejects | base["repeated_words"].rejects
+    judged = cascade(text_statistics(docs).withColumn("base_failed", failed), rules, order)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

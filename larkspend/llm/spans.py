@@ -5,15 +5,16 @@ a run of at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, or one se
 shortest runs that start at each sentence, the shortest that end at each, and the lone sentences are hashed on their
 words, A-Z lower-cased: a passage's sentence that the run from the passage's start doesn't reach has a run that ends at
 it inside the passage, so these runs cover whatever any longer passage covers. Runs are joined over the whole corpus: the
-occurrence in the smallest doc_id, and there the first, stays; sentences covered by any other occurrence are removed.
+occurrence in the smallest doc_id (null last), and there the first, stays; sentences covered by any other occurrence are removed.
 A longer passage is found sentence by sentence, so its copies have to end their sentences at the same words.
 
 Hashes are pre-aggregated before they are shuffled, and the join back is an equi-join whose hot keys adaptive execution
 can split, so a passage that a third of the corpus shares is no group of rows anywhere.
 
-Defined results: a null text stays null and has no sentences; a text all of whose sentences go becomes empty; rows that
-share a doc_id count as one place, so copies under one id all stay; a null doc_id counts as the largest one; an empty
-table gives an empty table; other columns pass through ``remove_repeats`` unchanged.
+Defined results: a null text stays null and has no sentences; a text all of whose sentences go becomes empty; every row
+has a place of its own, so of rows that share a doc_id, or have none, one keeps what they share, whichever it is among
+rows that also share their text; an empty table gives an empty table; other columns pass through ``remove_repeats``
+unchanged.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from ._store import placed
 from ._text import LOWER, blocks, range_hashes, span_hashes, word_spans
 
 MIN_SENTENCES = 2
 MIN_WORDS = 16
 LONE_WORDS = 40
-LAST_ID = (1 << 63) - 1
 
 
 def sentence_runs(data: np.ndarray, at: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS):
@@ -64,7 +65,7 @@ def sentence_runs(data: np.ndarray, at: np.ndarray, min_sentences: int = MIN_SEN
 
 
 def run_hashes_of(docs: DataFrame, **sizes) -> DataFrame:
-    """(id, hash) of the first occurrence of each run in each row."""
+    """(id, hash) of the first occurrence of each run in each row; its ``__place`` is its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,18 +79,19 @@ def run_hashes_of(docs: DataFrame, **sizes) -> DataFrame:
                 own = once[new]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[low:high][doc[own]]), pa.array(h[own].view(np.int64))], ["id", "hash"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), "text").mapInArrow(run, "id long, hash long")
+    return docs.select(F.col("__place").alias("id"), "text").mapInArrow(run, "id long, hash long")
 
 
 def remove_repeats(docs: DataFrame, **sizes) -> DataFrame:
     """``docs`` with repeated sentences taken out of ``text``, and n_sentences, n_removed and removed (spans of the
     old text in code points), which replace columns of these names."""
+    names = [x for x in docs.columns if x not in ("n_sentences", "n_removed", "removed")]
+    docs, _ = placed(docs.select(*names))
     runs = run_hashes_of(docs, **sizes)
     shared = runs.groupBy("hash").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("hash", "first_id")
     later = runs.join(shared, "hash").where("id <> first_id").groupBy("id").agg(F.collect_set("hash").alias("__drop")).withColumnRenamed("id", "__id")
-    names = [x for x in docs.columns if x not in ("n_sentences", "n_removed", "removed")]
     where = names.index("text")
-    joined = docs.select(*names).join(later, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) == F.col("__id"), "left").drop("__id")
+    joined = docs.join(later, F.col("__place") == F.col("__id"), "left").select(*names, "__drop")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

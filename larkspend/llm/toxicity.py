@@ -1,10 +1,10 @@
 """Toxicity after noisy-channel deobfuscation.
 
 Words that look disguised (leetspeak, symbols inside, long repetitions, letters set apart) become lattices of characters;
-a Viterbi search under a character trigram model, counted over all texts, finds the likeliest restored spelling. A word
-of more than ``LONG_WORD`` characters is split at inner signs that stand for no letter, and each part is restored,
-whatever its length; a word with one or no letter is restored if all its other signs can stand for letters, unless it is
-a number. A
+a Viterbi search under a character trigram model, counted over all texts, finds the likeliest restored spelling. Signs
+between letters may be dropped or end a word, so the search also says which words a joined or spaced spelling holds. A
+word with one or no letter is restored if all its other signs can stand for letters, unless it is a number. Neither words
+nor runs of set-apart letters have a longest length: the search is linear in it. A
 logistic regression over restored words and their beginnings, trained on labelled rows, scores the document.
 
 Defined results: a null text is empty and gets the score of a text without any feature; rows are scored one by one, so
@@ -39,16 +39,17 @@ OTHER = len(LETTERS) + 1  # letters of no class of their own
 CLASSES = OTHER + 1  # 0: whatever isn't a letter
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
 COST_LEET, COST_DROP, COST_REPEAT = 1.0, 6.0, 0.5
+#: What it costs that a sign between letters is dropped or ends a word: where letters stand alone or in pairs on both
+#: sides, and beside LONG or more letters; and that a gap between letters set apart ends one.
+COST_SIGN, COST_LONG, COST_APART = (0.5, 1.0), (1.0, 0.0), 2.0
+LONG = 3
 BEAM = 64
-#: A longer word is several words joined by signs.
-LONG_WORD = 40
 
 _EDGE = re.compile(r"^[^\w$@!|+(€]+|[^\w$@!]+$")
-_SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,40}(?!\w)")
+_SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,}(?!\w)")
 # a cheap look at the bytes before the search above: three single signs in a row
 _SINGLES = re.compile(rb"(?<![\w\x80-\xff])[\w\x80-\xff]{1,2}[ .\-_*][\w\x80-\xff]{1,2}[ .\-_*][\w\x80-\xff]{1,2}(?![\w\x80-\xff])")
-# signs that stand for no letter
-_JOINT = re.compile(r"(?:(?![@$!|+€(])[\W_])+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LONG = re.compile(r"(.)\1\1")
 
 
@@ -104,7 +105,7 @@ def decode(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[s
             for piece, cost in options:
                 s, x, y = score - cost, a, b
                 for c in piece:
-                    k = CLASS.get(c, OTHER)
+                    k = 0 if c == " " else CLASS.get(c, OTHER)
                     s += model[x, y, k]
                     x, y = y, k
                 if (x, y) not in new or s > new[x, y][0]:
@@ -124,8 +125,9 @@ def _joined(link: tuple | None) -> str:
 
 
 def lattice_of(word: str) -> list[list[tuple[str, float]]]:
-    """One position for each run of equal characters: kept, mapped, shortened or dropped."""
+    """One position for each run of equal characters: kept, mapped, shortened, dropped or, inside, the end of a word."""
     out = []
+    beside = {x for m in _LETTERS.finditer(word) if m.end() - m.start() >= LONG for x in m.span()}
     for m in re.finditer(r"(.)\1*", word, re.S):
         c, n = m[1], len(m[0])
         if c.isalpha():
@@ -133,29 +135,27 @@ def lattice_of(word: str) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0 if n == 1 else COST_REPEAT)] + ([(c * 2, 0.0 if n == 2 else COST_REPEAT)] if n > 1 else []))
         else:
             mapped = [(x * k, COST_LEET + (0.0 if n == k else COST_REPEAT)) for x in LEET.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
-            out.append(mapped + [("", COST_DROP if c in LEET else 0.5)])
+            drop, end = COST_LONG if m.end() in beside or m.start() in beside else COST_SIGN
+            inside = 0 < m.start() and m.end() < len(word)
+            if inside and word[m.start() - 1].isalpha() and word[m.start() - 1] not in CLASS and c not in LEET:
+                out.append([(" ", 0.0)])  # the model knows nothing of such letters
+                continue
+            out.append(mapped + [("", COST_DROP if c in LEET else drop)] + ([(" ", end)] if inside and not c.isdigit() else []))
     return out
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """A lower-case word without disguise; ordinary words come back at once, stripped of the signs around them."""
+def restore(word: str, model: np.ndarray) -> list[str]:
+    """The words that a lower-case word without white space stands for; an ordinary one comes back at once, stripped of
+    the signs around it."""
     bare = _EDGE.sub("", word)
     if bare.isalpha():
-        return decode(lattice_of(bare), model)[0] if _LONG.search(bare) else bare
+        return decode(lattice_of(bare), model)[0].split() if _LONG.search(bare) else [bare]
     core = bare.strip("!?.,;:-_'\"()[]*")
     if core.isalpha() and not bare.startswith(("$", "@")):
-        return restore(core, model) if core != word else core
+        return restore(core, model) if core != word else [core]
     if bare.isdigit() or sum(map(str.isalpha, bare)) < 2 and not all(c in LEET or c.isalpha() for c in bare):
-        return ""
-    return decode(lattice_of(bare), model)[0]
-
-
-def restored(word: str, model: np.ndarray) -> list[str]:
-    """The words that a lower-case word without white space stands for, without disguise."""
-    bare = _EDGE.sub("", word)
-    if len(bare) <= LONG_WORD or bare.isalpha():
-        return [restore(word, model)]
-    return [restore(x, model) for x in _JOINT.split(bare) if x]
+        return []
+    return decode(lattice_of(bare), model)[0].split()
 
 
 def features_of(word: str) -> list[str]:
@@ -177,20 +177,23 @@ class Reader:
         low = text.lower()
         words = set(low.split())
         if _SINGLES.search(low):
-            words.update(restored.encode() for m in _SPACED.finditer(text.decode().lower()) for restored in self.joined(m[0]))
+            words.update(found.encode() for m in _SPACED.finditer(text.decode().lower()) for found in self.joined(m[0]))
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cache = self.cache
         for w in words.difference(cache):
-            cache[w] = frozenset().union(*map(self.value, restored(w.decode().lower(), self.model)))
+            cache[w] = frozenset().union(*map(self.value, restore(w.decode().lower(), self.model)))
         return set().union(*map(cache.__getitem__, words))
 
     def joined(self, spaced: str) -> list[str]:
-        """Letters set apart, read as one word where the model likes that better than single letters."""
+        """Letters set apart, read as words where the model likes that better than single letters."""
         letters = [c for c in spaced if c.isalnum()]
-        text, score = decode([p for c in letters for p in lattice_of(c)], self.model)
+        lattice = lattice_of(letters[0])
+        for c in letters[1:]:
+            lattice += [[("", 0.0), (" ", COST_APART)], *lattice_of(c)]
+        text, score = decode(lattice, self.model)
         apart = sum(self.model[0, 0, k := CLASS.get(c, OTHER if c.isalpha() else 0)] + self.model[0, k, 0] for c in letters)
-        return [text] if score > apart else []
+        return text.split() if score > apart else []
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -198,7 +201,9 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # ids only; ``rows`` bounds what is broadcast
     train = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(train.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    joined = docs.select("doc_id", "text").join(F.broadcast(train.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
+    # of rows that share an id one trains, so that ``rows`` bounds texts too
+    return joined.groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("v")).select("v.text", "v.toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[str, float], float]:
