@@ -6,13 +6,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspend.llm import langid, mixing, ngram_join, packing, pii
+from larkspend.llm._store import shared_folder
 
 #: A language is rejected as unclear below this pooled probability.
 LEAST_SCORE = 0.4
@@ -27,8 +27,12 @@ BATCH_ROWS = 1000
 ORACLE_SQL = None
 
 
+BATCH_OPTION = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Spark reads the option when a stage's result is written, after the stage has returned; ``run`` sets it back."""
+    spark.conf.set(BATCH_OPTION, str(BATCH_ROWS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +44,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; of rows that share a doc_id the longest."""
+    """Of each group of linked documents the one with the smallest doc_id; every row takes part, also where rows share a
+    doc_id or have none."""
     _small_batches(spark)
-    groups = ngram_join.similar_groups(docs, SHINGLE_WORDS, LEAST_PERCENT, 100)
-    dropped = groups.where("component_id <> doc_id").select("doc_id")
-    if docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").head(1):
-        last = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.col("text").desc_nulls_last())
-        docs = docs.withColumn("__n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(last))).where("__n = 1").drop("__n")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.without_repeats(docs, SHINGLE_WORDS, LEAST_PERCENT, 100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,10 +78,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, written in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{base}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    before = spark.conf.get(BATCH_OPTION, None)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
+    finally:
+        spark.conf.unset(BATCH_OPTION) if before is None else spark.conf.set(BATCH_OPTION, before)
     return docs
