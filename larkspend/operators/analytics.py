@@ -18,30 +18,35 @@ def _counts(rows: DataFrame) -> DataFrame:
     return per.withColumn("window_end", F.col("window_start") + WINDOW_MS).withColumn("decline_rate", ratio(F.col("declined"), F.col("total")))
 
 
-def in_grace(decisions: DataFrame, order: str = "seq", bucket_rows: int = 100_000) -> DataFrame:
+def in_grace(decisions: DataFrame, order: str = "seq", bucket_rows: int = 100_000, feed: DataFrame | None = None) -> DataFrame:
     """Rows that arrive before their window closes: stream time is the running maximum of event time in arrival order.
 
-    ``order`` is a long. The maximum runs inside ranges of it and, over one row a range, before them, so no task sees
+    ``order`` is a long. ``feed`` (order, t of the same rows) gives the clock where decisions are dear to make twice. The
+    maximum runs inside ranges of it and, over one row a range, before them, so no task sees
     the whole feed.
     """
     rows = decisions.withColumn("__bucket", F.floor(F.col(order) / bucket_rows))
     before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = rows.groupBy("__bucket").agg(F.max("t").alias("__top")).withColumn("__before", F.max("__top").over(before)).drop("__top")
+    clock = rows if feed is None else feed.withColumn("__bucket", F.floor(F.col(order) / bucket_rows))
+    earlier = clock.groupBy("__bucket").agg(F.max("t").alias("__top")).withColumn("__before", F.max("__top").over(before)).drop("__top")
     inside = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     now = F.greatest(F.max("t").over(inside), F.col("__before"))
     end = (F.floor(F.col("t") / WINDOW_MS) + 1) * WINDOW_MS
     return rows.join(earlier, "__bucket").withColumn("__now", now).where(end + GRACE_MS > F.col("__now")).drop("__now", "__before", "__bucket")
 
 
-def final_windows(decisions: DataFrame, ordered: bool = True, order: str = "seq") -> DataFrame:
+def final_windows(decisions: DataFrame, ordered: bool = True, order: str = "seq", feed: DataFrame | None = None) -> DataFrame:
     """One row a merchant and closed window. A feed in event-time order has no late rows, so it needs no running
-    maximum and the count is a single shuffle of pre-aggregated rows."""
-    kept = decisions if ordered else in_grace(decisions, order)
-    now = decisions.agg(F.max("t").alias("__now"))
+    maximum and the count is a single shuffle of pre-aggregated rows. ``feed`` gives the clock, as in ``in_grace``."""
+    kept = decisions if ordered else in_grace(decisions, order, feed=feed)
+    now = (decisions if feed is None else feed).agg(F.max("t").alias("__now"))
     return _counts(kept).crossJoin(F.broadcast(now)).where(F.col("window_end") + GRACE_MS <= F.col("__now")).drop("__now")
 
 
-def latest_windows(decisions: DataFrame, now_ms: int, held: int = HELD) -> DataFrame:
-    """Per merchant the ``held`` latest windows, open ones too, newest first, and whether each is closed at ``now_ms``."""
+def latest_windows(decisions: DataFrame, now_ms: int, held: int = HELD, merchant_id=None) -> DataFrame:
+    """Per merchant the ``held`` latest windows, open ones too, newest first, and whether each is closed at ``now_ms``.
+    A ``merchant_id`` looks that merchant up."""
+    if merchant_id is not None:
+        decisions = decisions.where(F.col("merchant_id") == merchant_id)
     rank = F.row_number().over(Window.partitionBy("merchant_id").orderBy(F.desc("window_start")))
     return _counts(decisions).withColumn("position", rank).where(F.col("position") <= held).withColumn("closed", F.col("window_end") + GRACE_MS <= now_ms)

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_km
+from ..sources.shared import kept
 
 #: Merchants up to so many rows are replicated; more are joined by a shuffle.
 REPLICATE_ROWS = 200_000
 NEAR_KM = 50.0
 LEAST_NEAR = 3
+#: How much wider each circle is, and half of the way around the earth.
+GROWTH = 4.0
+EARTH_KM = 20_040.0
 
 
 def card_profiles(cards: DataFrame, customers: DataFrame) -> DataFrame:
@@ -26,33 +30,47 @@ def enrich(transactions: DataFrame, profiles: DataFrame, merchants: DataFrame) -
     txn = transactions.select(F.col("card_id").alias("__card"), F.col("merchant_id").alias("__merchant"), F.struct(*transactions.columns).alias("transaction")).where("transaction.transaction_id is not null")
     cards = profiles.select(F.col("card_id").alias("__card"), F.struct(*profiles.columns).alias("card_profile"))
     shops = merchants.select(F.col("merchant_id").alias("__merchant"), F.struct(*merchants.columns).alias("merchant"))
-    if not merchants.isStreaming and len(merchants.select(F.lit(1)).head(REPLICATE_ROWS + 1)) <= REPLICATE_ROWS:
+    if not merchants.isStreaming and merchants.limit(REPLICATE_ROWS + 1).count() <= REPLICATE_ROWS:
         shops = F.broadcast(shops)
     return txn.join(cards, "__card", "left").join(shops, "__merchant", "left").select("transaction", "card_profile", "merchant")
 
 
+def within(homes: DataFrame, shops: DataFrame, radius_km: float) -> DataFrame:
+    """card_id, merchant_id, km of all merchants within ``radius_km`` of a card's home: an equi-join on the cells of a grid
+    about as wide as the radius. Each home looks at the cells around it, more of them towards the poles."""
+    step = min(90.0, radius_km / 110.0)
+    wide = max(1, int(360 / step))
+    lat_cell, lon_cell = lambda y: F.floor(y / step), lambda x: F.floor((x + 180.0) * wide / 360.0)
+    there = shops.select("merchant_id", F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon")).withColumn("y", lat_cell(F.col("m_lat"))).withColumn("x", F.pmod(lon_cell(F.col("m_lon")), F.lit(wide)))
+    # cells that the radius can span at the home's farthest latitude, on either side
+    reach = F.cos(F.radians(F.least(F.abs(F.col("home_lat")) + step, F.lit(90.0))))
+    span = F.least(F.lit(wide // 2), F.ceil(step * wide / 360.0 / F.greatest(F.lit(1e-6), reach)))
+    columns = F.array_distinct(F.transform(F.sequence(lon_cell(F.col("home_lon")) - span, lon_cell(F.col("home_lon")) + span), lambda x: F.pmod(x, F.lit(wide))))
+    around = homes.withColumn("y", F.explode(F.sequence(lat_cell(F.col("home_lat")) - 1, lat_cell(F.col("home_lat")) + 1))).withColumn("x", F.explode(columns))
+    km = haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("m_lat"), F.col("m_lon"))
+    return around.join(there, ["x", "y"]).withColumn("km", km).where(F.col("km") <= radius_km).select("card_id", "merchant_id", "km")
+
+
 def nearby_merchants(cards: DataFrame, merchants: DataFrame, near_km: float = NEAR_KM, least: int = LEAST_NEAR) -> DataFrame:
     """card_id, merchant_id, km, rank: merchants within ``near_km`` of the card's home, or the ``least`` nearest.
 
-    Candidates come from an equi-join on cells of a latitude-longitude grid (each home looks at the cells around it,
-    wider towards the poles). Only cards with too few of them look at all merchants, in a second join.
+    Cards that find too few look again in a circle ``GROWTH`` times as wide, round by round, until it holds enough or all
+    of the earth; a round's circle held too few one round before, so it rarely holds many.
     """
-    step = near_km / 110.0
-    lat_cell, lon_cell = lambda x: F.floor(x / step), lambda x: F.floor(x / 5.0)
-    shops = merchants.select("merchant_id", F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon")).withColumn("y", lat_cell(F.col("m_lat"))).withColumn("x", lon_cell(F.col("m_lon")))
-    homes = cards.select("card_id", "home_lat", "home_lon").where("home_lat is not null and home_lon is not null")
-    # degrees of longitude that near_km can span at the home's latitude, on either side
-    span = F.least(F.lit(36), F.ceil(step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.abs(F.col("home_lat")) + step, F.lit(90.0))))) / 5.0))
-    around = homes.withColumn("y", F.explode(F.sequence(lat_cell(F.col("home_lat")) - 1, lat_cell(F.col("home_lat")) + 1))).withColumn("x", F.explode(F.sequence(lon_cell(F.col("home_lon")) - span, lon_cell(F.col("home_lon")) + span)))
-    around = around.withColumn("x", F.pmod(F.col("x") + 36, F.lit(72)) - 36).distinct()
-    km = haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("m_lat"), F.col("m_lon"))
-    near = around.join(shops, ["x", "y"]).withColumn("km", km).where(F.col("km") <= near_km).select("card_id", "merchant_id", "km")
-    enough = near.groupBy("card_id").count().where(F.col("count") >= least).select("card_id")
     rank = F.row_number().over(Window.partitionBy("card_id").orderBy("km", "merchant_id"))
-    few = homes.join(enough, "card_id", "left_anti")
-    # one task a slice of cards keeps the nearest of a replicated merchant list, which is checked to be small
-    all_shops = shops.select("merchant_id", "m_lat", "m_lon")
-    if len(merchants.select(F.lit(1)).head(REPLICATE_ROWS + 1)) <= REPLICATE_ROWS:
-        all_shops = F.broadcast(all_shops)
-    nearest = few.crossJoin(all_shops).withColumn("km", km).select("card_id", "merchant_id", "km").withColumn("rank", rank).where(F.col("rank") <= least)
-    return near.join(enough, "card_id", "left_semi").withColumn("rank", rank).unionByName(nearest)
+    left = cards.select("card_id", "home_lat", "home_lon").where("home_lat is not null and home_lon is not null")
+    shops = merchants.select("merchant_id", "lat", "lon").where("lat is not null and lon is not null")
+    found, radius = None, near_km
+    while True:
+        last = radius >= EARTH_KM
+        got = within(left, shops, radius).withColumn("rank", rank).withColumn("__n", F.count("*").over(Window.partitionBy("card_id")))
+        enough = got if last else got.where(F.col("__n") >= least)
+        # beyond the first circle only the nearest count
+        enough = kept((enough if radius == near_km else enough.where(F.col("rank") <= least)).drop("__n"))
+        found = enough if found is None else found.unionByName(enough)
+        if last:
+            return found
+        left = kept(left.join(enough.select("card_id").distinct(), "card_id", "left_anti"))
+        if not left.head(1):
+            return found
+        radius = min(radius * GROWTH, EARTH_KM)

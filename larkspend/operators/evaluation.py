@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import dollars, percentage, ratio, thousands
 
 OVERALL = "**all**"
 
@@ -75,8 +75,15 @@ def compare_policies(confusions: DataFrame, original: str) -> DataFrame:
     """Declined operating point of each policy and period, with the change of good customers declined against the
     original policy."""
     declined = confusions.where("point = 'declined'").select("policy", "period", "tp", "fp", "precision", "recall")
-    first = declined.where(F.col("policy") == original).select("period", F.col("fp").alias("__fp"))
-    return declined.join(F.broadcast(first), "period").withColumn("fewer_wrong_declines", F.when(F.col("__fp") > 0, 1 - F.col("fp") / F.col("__fp"))).drop("__fp")
+    first = F.max(F.when(F.col("policy") == original, F.col("fp"))).over(Window.partitionBy("period"))
+    return declined.withColumn("__fp", first).where("__fp is not null").withColumn("fewer_wrong_declines", F.when(F.col("__fp") > 0, 1 - F.col("fp") / F.col("__fp"))).drop("__fp")
+
+
+def summary(dataset: DataFrame, declined: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Per period the headline figures as texts: counts with thousands separators, shares, money."""
+    caught = lambda df, name: df.select("period", percentage(F.col("recall")).alias(f"{name}_recall"), percentage(F.col("precision")).alias(f"{name}_precision"), dollars(F.col("caught_minor")).alias(f"{name}_caught"))
+    rows = dataset.select("period", thousands(F.col("transactions")).alias("transactions"), thousands(F.col("frauds")).alias("frauds"), percentage(F.col("base_rate")).alias("base_rate"), dollars(F.col("fraud_minor")).alias("fraud"))
+    return rows.join(caught(declined, "declined"), "period").join(caught(flagged, "flagged"), "period")
 
 
 def report(decisions: DataFrame, *order: str) -> dict[str, DataFrame]:

@@ -1,11 +1,16 @@
-"""Attempt counts as window expressions, for feeds in event-time order, and the rules that need no verdict."""
+"""Attempt counts, for feeds in event-time order, and the rules that need no verdict."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..policy import HIGH_RISK, TESTING_BELOW_MINOR, TESTING_MS, VELOCITY_MS
+from ..policy import HIGH_RISK, VELOCITY_MS
+from .kernel import Small
 
 
 def attempt_counts(rows: DataFrame, order: str = "txn_id") -> DataFrame:
@@ -18,13 +23,23 @@ def attempt_counts(rows: DataFrame, order: str = "txn_id") -> DataFrame:
 
 def small_attempts(rows: DataFrame, order: str = "txn_id") -> DataFrame:
     """Adds small_10m and small_merchants_10m: attempts below the testing amount in the last ten minutes, this one
-    included, and their merchants."""
-    frame = Window.partitionBy("card_id").orderBy("t").rangeBetween(-TESTING_MS, 0)
-    own = F.collect_list(F.when(F.col("amount_minor") < TESTING_BELOW_MINOR, F.struct("t", F.col(order).alias("o"), F.col("merchant_id").alias("m")))).over(frame)
-    rows = rows.withColumn("__own", own)
-    arrived = F.expr(f"filter(__own, x -> x.t < t or x.o <= {order})")
-    rows = rows.withColumn("__own", arrived)
-    return rows.withColumn("small_10m", F.size("__own").cast("long")).withColumn("small_merchants_10m", F.size(F.array_distinct(F.transform("__own", lambda x: x["m"]))).cast("long")).drop("__own")
+    included, and their merchants. One pass over each card's rows in order of time with a sliding count, so that a burst on
+    one card costs no more than its rows."""
+    names = rows.columns
+    card, t, amount, merchant = (names.index(c) for c in ("card_id", "t", "amount_minor", "merchant_id"))
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, small = object(), Small()
+        for batch in batches:
+            out = []
+            for key, *row in zip(*(batch.column(j).to_pylist() for j in (card, t, amount, merchant)), strict=True):
+                if key != now:
+                    now, small = key, Small()
+                out.append(small.add(*row) if row[0] is not None else (0, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[j] for x in out], pa.int64()) for j in (0, 1))], [*names, "small_10m", "small_merchants_10m"])
+
+    schema = StructType(list(rows.schema.fields)).add("small_10m", "long").add("small_merchants_10m", "long")
+    return rows.repartition("card_id").sortWithinPartitions("card_id", "t", order).mapInArrow(slide, schema)
 
 
 def risk_category(merchant: str = "merchant", transaction: str = "transaction") -> Column:

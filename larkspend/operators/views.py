@@ -14,7 +14,7 @@ TAIL = 40
 
 
 def card_risk(profiles: DataFrame, state: DataFrame, attempts: DataFrame, now_ms: int, card_id=None) -> DataFrame:
-    """Profile, today's spend, last location, recent activity and latest decision; a card of which none is known has
+    """Profile, today's spend, last location, recent activity and latest decision with its rules; a card of which none is known has
     no row. ``attempts``: card_id, t of every transaction; a ``card_id`` is pushed into every side."""
     if card_id is not None:
         profiles, state, attempts = (x.where(F.col("card_id") == card_id) for x in (profiles, state, attempts))
@@ -25,7 +25,7 @@ def card_risk(profiles: DataFrame, state: DataFrame, attempts: DataFrame, now_ms
     spent = F.when(F.col("spend_day") == now_ms // DAY_MS, F.col("spent_minor")).otherwise(0)
     return joined.select(
         "card_id", "status", "risk_tier", "daily_limit_minor", spent.alias("spent_today"), F.when(F.col("daily_limit_minor").isNotNull(), F.greatest(F.lit(0), F.col("daily_limit_minor") - spent)).alias("remaining"),
-        "last_lat", "last_lon", "last_seen", "last_place", F.coalesce("attempts_10m", F.lit(0)).alias("attempts_10m"), F.coalesce("attempts_60s", F.lit(0)).alias("attempts_60s"), "last_attempt", F.col("txn_id").alias("last_txn"), F.col("decision").alias("last_decision"), F.col("score").alias("last_score"),
+        "last_lat", "last_lon", "last_seen", "last_place", F.coalesce("attempts_10m", F.lit(0)).alias("attempts_10m"), F.coalesce("attempts_60s", F.lit(0)).alias("attempts_60s"), "last_attempt", F.col("txn_id").alias("last_txn"), F.col("decision").alias("last_decision"), F.col("score").alias("last_score"), F.col("reasons.rule").alias("last_rules"),
     )
 
 

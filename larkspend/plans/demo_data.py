@@ -50,3 +50,16 @@ def merchants(txns: DataFrame) -> DataFrame:
     m = F.col("merchant_id")
     mcc = F.get(F.array(*map(F.lit, map(str, MCCS))), (m % len(MCCS)).cast("int"))
     return txns.select("merchant_id").distinct().where(m >= 0).select("merchant_id", F.concat(F.lit("M"), m).alias("name"), mcc.alias("mcc"), F.concat(F.lit("C"), m % 5).alias("country"), (m * 3.0 + 10).alias("lat"), (m * 7.0).alias("lon"))
+
+
+def with_gaps(txns: DataFrame) -> DataFrame:
+    """Some transactions without a place, others without an amount."""
+    i = F.col("transaction_id")
+    gap = lambda c, n: F.when(i % n != 0, F.col(c)).alias(c)
+    gaps = {"lat": gap("lat", 23), "lon": gap("lon", 31), "amount_minor": gap("amount_minor", 29)}
+    return txns.select(*(gaps.get(c, F.col(c)) for c in txns.columns))
+
+
+def cards_with_gaps(rows: DataFrame) -> DataFrame:
+    c = F.col("card_id")
+    return rows.withColumns({"status": F.when(c % 4 != 1, F.col("status")), "daily_limit_minor": F.when(c % 5 != 2, F.col("daily_limit_minor"))})

@@ -5,18 +5,18 @@ Outputs are flat, doubles are rounded to six digits and times are epoch millisec
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import analytics, decide, enrich, evaluation, features, latency, views
 from ..policy import DEFAULT, ORIGINAL
 from ..schemas import TRANSACTION
-from ..sources import labelled, quarantine, tables
+from ..sources import labelled, quarantine, shared, tables
 from . import demo_data as demo
-from .oracle import EVERY, NOW_MS
+from .oracle import CARD, EVERY, MERCHANT, NOW_MS
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
@@ -40,11 +40,11 @@ def _decisions(spark: SparkSession, sf_dir: str, policy=DEFAULT) -> DataFrame:
     return decide.decide(_enriched(spark, sf_dir), policy, evaluated_at_ms=NOW_MS)
 
 
-def _judged(spark: SparkSession, sf_dir: str, policy=DEFAULT) -> DataFrame:
-    """Decisions with their period."""
-    made = _decisions(spark, sf_dir, policy)
-    period = demo.with_period(_txns(spark, sf_dir)).select(F.col("transaction_id").alias("txn_id"), "period")
-    return made.join(period, "txn_id")
+def _judged(spark: SparkSession, sf_dir: str, policies=None) -> DataFrame:
+    """Decisions of each policy with their period, which goes along through the fold."""
+    txns = demo.with_period(_txns(spark, sf_dir))
+    joined = enrich.enrich(txns, _profiles(txns), demo.merchants(txns))
+    return decide.decide_each(joined, policies or {"default": DEFAULT}, evaluated_at_ms=NOW_MS, keep=("period",))
 
 
 def txn_event_time(spark, sf_dir):
@@ -63,11 +63,15 @@ def card_profiles(spark, sf_dir):
     return _profiles(_txns(spark, sf_dir)).drop("currency")
 
 
-def enriched(spark, sf_dir):
+def _flat(joined: DataFrame) -> DataFrame:
     x, p, m = "transaction", "card_profile", "merchant"
     cols = [F.col(f"{x}.transaction_id").alias("txn_id"), *(F.col(f"{x}.{c}") for c in ("card_id", "merchant_id", "amount_minor", "t")), F.round(f"{x}.lat", 6).alias("lat"), F.round(f"{x}.lon", 6).alias("lon")]
     cols += [F.col(p).isNotNull().alias("has_profile"), *(F.col(f"{p}.{c}") for c in ("status", "daily_limit_minor", "risk_tier")), F.col(m).isNotNull().alias("has_merchant"), F.col(f"{m}.mcc"), F.col(f"{m}.country")]
-    return _enriched(spark, sf_dir).select(*cols)
+    return joined.select(*cols)
+
+
+def enriched(spark, sf_dir):
+    return _flat(_enriched(spark, sf_dir))
 
 
 def asof_reference(spark, sf_dir):
@@ -106,7 +110,15 @@ def decisions(spark, sf_dir):
 
 
 def decision_reasons(spark, sf_dir):
-    return decide.reasons(_decisions(spark, sf_dir)).drop("detail")
+    return decide.reasons(_decisions(spark, sf_dir))
+
+
+def decisions_with_gaps(spark, sf_dir):
+    """Transactions without a place or amount, cards without a status or limit."""
+    txns = demo.with_gaps(_txns(spark, sf_dir))
+    cards = demo.cards_with_gaps(demo.cards(txns))
+    joined = enrich.enrich(txns, enrich.card_profiles(cards, demo.customers(txns)), demo.merchants(txns))
+    return decide.decide(joined).select("txn_id", "card_id", "decision", "score", F.array_join("reasons.rule", ",").alias("rules"), "spent_minor", "last_seen")
 
 
 def _state(spark, sf_dir):
@@ -114,7 +126,7 @@ def _state(spark, sf_dir):
 
 
 def _filled(state):
-    return state.fillna({"spend_day": -1, "spent_minor": -1, "last_lat": -999.0, "last_lon": -999.0, "last_seen": -1, "last_place": "?"})
+    return state.withColumn("rules", F.array_join("reasons.rule", ",")).drop("reasons").fillna({"spend_day": -1, "spent_minor": -1, "last_lat": -999.0, "last_lon": -999.0, "last_seen": -1, "last_place": "?"})
 
 
 def decision_state(spark, sf_dir):
@@ -124,17 +136,17 @@ def decision_state(spark, sf_dir):
 def state_after_sweep(spark, sf_dir):
     """The sweep 5,000 s before the feed's last accepted transaction."""
     state = _state(spark, sf_dir)
-    now = state.agg(F.max("last_seen")).first()[0] - 5_000_000
-    return _filled(decide.evict(state, now)).select("card_id", "spend_day", "spent_minor", "last_seen")
+    now = F.broadcast(state.agg((F.max("last_seen") - 5_000_000).alias("now")))
+    return _filled(decide.evict(state.crossJoin(now), F.col("now"))).select("card_id", "spend_day", "spent_minor", "last_seen")
 
 
 def merchant_windows_final(spark, sf_dir):
-    return _round(analytics.final_windows(_decisions(spark, sf_dir)), "decline_rate")
+    return _round(analytics.final_windows(_decisions(spark, sf_dir), feed=_feed(spark, sf_dir)), "decline_rate")
 
 
 def merchant_windows_late(spark, sf_dir):
     """Arrival in the order of ids, which isn't that of time."""
-    return _round(analytics.final_windows(_decisions(spark, sf_dir), ordered=False, order="txn_id"), "decline_rate")
+    return _round(analytics.final_windows(_decisions(spark, sf_dir), ordered=False, order="txn_id", feed=_feed(spark, sf_dir)), "decline_rate")
 
 
 def merchant_windows_latest12(spark, sf_dir):
@@ -144,7 +156,19 @@ def merchant_windows_latest12(spark, sf_dir):
 def card_risk_view(spark, sf_dir):
     txns = _txns(spark, sf_dir)
     now = txns.agg(F.max("t")).first()[0]
-    return _round(views.card_risk(_profiles(txns), _state(spark, sf_dir), txns.select("card_id", "t"), now), "last_lat", "last_lon")
+    view = views.card_risk(_profiles(txns), _state(spark, sf_dir), txns.select("card_id", "t"), now)
+    return _round(view.withColumn("last_rules", F.array_join("last_rules", ",")), "last_lat", "last_lon")
+
+
+def card_lookup(spark, sf_dir):
+    """One card by id; the id reaches every side before anything is joined."""
+    txns = _txns(spark, sf_dir)
+    now = txns.agg(F.max("t")).first()[0]
+    return views.card_risk(_profiles(txns), decide.final_state(_decisions(spark, sf_dir).where(F.col("card_id") == CARD)), txns.select("card_id", "t"), now, CARD).select("card_id", "spent_today", "remaining", "last_txn", "last_decision", F.array_join("last_rules", ",").alias("last_rules"))
+
+
+def merchant_lookup(spark, sf_dir):
+    return _round(analytics.latest_windows(_decisions(spark, sf_dir), NOW_MS, merchant_id=MERCHANT), "decline_rate")
 
 
 def decision_totals(spark, sf_dir):
@@ -197,17 +221,10 @@ def verdict_distribution(spark, sf_dir):
 
 
 def policy_comparison(spark, sf_dir):
-    rows = None
-    for name, policy in (("default", DEFAULT), ("original", ORIGINAL)):
-        one = _both_of(spark, sf_dir, policy).withColumn("policy", F.lit(name))
-        rows = one if rows is None else rows.unionByName(one)
+    rows = evaluation.by_period(_judged(spark, sf_dir, {"default": DEFAULT, "original": ORIGINAL}))
     return _round(evaluation.compare_policies(evaluation.confusion(rows, "policy"), "original"), "precision", "recall", "fewer_wrong_declines")
 
 
-def _both_of(spark, sf_dir, policy):
-    return evaluation.by_period(_judged(spark, sf_dir, policy))
-
-
 def latency_summary(spark, sf_dir):
     sent = demo.events(spark, sf_dir).select(F.col("event_id").alias("txn_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("sent_ms"))
     decided = sent.where("txn_id % 50 <> 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("txn_id", (F.col("sent_ms") + F.col("txn_id") * 7919 % 1000 + F.col("k") * 500).alias("decided_ms"))
@@ -223,19 +240,31 @@ def first_n(spark, sf_dir):
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspend-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{shared.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def dlq_split(spark, sf_dir):
+def _records(spark, sf_dir) -> DataFrame:
     i = F.col("event_id")
     whole = F.to_json(F.struct(i.cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("card_id"), (i % 13).cast("string").alias("merchant_id"), F.lit(100).alias("amount_minor")))
     value = F.when(i % 10 == 0, F.concat(F.lit('{"this is": not json '), i)).when(i % 15 == 1, F.regexp_replace(whole, '"amount_minor":100', '"other":1')).otherwise(whole)
-    records = demo.events(spark, sf_dir).select(F.lit(None).cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit("transactions").alias("src_topic"), (i % 4).alias("src_partition"), i.alias("src_offset"), F.col("ts").cast("timestamp").alias("src_timestamp"))
-    good, bad = quarantine.split(records, TRANSACTION)
+    headers = F.map_from_arrays(F.array(F.lit("trace")), F.array(F.encode(i.cast("string"), "UTF-8")))
+    return demo.events(spark, sf_dir).select(F.lit(None).cast("binary").alias("key"), value.cast("binary").alias("value"), headers.alias("headers"), F.lit("transactions").alias("src_topic"), (i % 4).alias("src_partition"), i.alias("src_offset"), F.col("ts").cast("timestamp").alias("src_timestamp"))
+
+
+def dlq_split(spark, sf_dir):
+    good, bad = quarantine.split(_records(spark, sf_dir), TRANSACTION)
     return good.select("src_partition", "src_offset", F.lit("good").alias("outcome")).unionByName(bad.select("src_partition", "src_offset", F.col("exception_class").alias("outcome")))
 
 
+def dead_letters(spark, sf_dir):
+    bad = quarantine.split(_records(spark, sf_dir), TRANSACTION)[1]
+    return bad.select("src_offset", F.col("value").cast("string").alias("value"), F.decode(F.element_at("headers", "trace"), "UTF-8").alias("trace"), "exception_class", "message")
+
+
+def dead_letter_totals(spark, sf_dir):
+    return views.dead_letter_totals(quarantine.split(_records(spark, sf_dir), TRANSACTION)[1])
+
+
 def schema_evolution(spark, sf_dir):
     i = F.col("event_id")
     raw = demo.events(spark, sf_dir).select(i.cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("card_id"), F.lit("m").alias("merchant_id"), F.lit(1).cast("long").alias("amount_minor"), F.col("event_type").alias("device_fingerprint"), F.when(i % 3 == 0, "USD").alias("currency"), i)
@@ -245,19 +274,49 @@ def schema_evolution(spark, sf_dir):
     return read.select("transaction_id", "device_fingerprint", "currency")
 
 
-def csv_ingest(spark, sf_dir):
-    """Payments written as CSV files of two periods in the shared folder, then read back as a user would."""
+def _csv(spark, sf_dir) -> str:
+    """Payments written as CSV files of two periods in the shared folder, in order of their ids."""
     i = F.col("event_id")
     raw = demo.events(spark, sf_dir).select(
-        i.alias("_c0"), F.col("user_id").alias("cc_num"), F.concat(F.lit("fraud_m"), i % 9).alias("merchant"), F.lit("misc").alias("category"), F.col("value").cast("decimal(18,3)").alias("amt"), F.lit(1.5).alias("lat"), F.lit(2.5).alias("long"), i.alias("trans_num"),
-        F.expr("unix_millis(cast(ts as timestamp)) div 1000").alias("unix_time"), F.lit(1.0).alias("merch_lat"), F.lit(2.0).alias("merch_long"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("is_fraud"),
+        i.alias("_c0"), F.col("user_id").alias("cc_num"), F.concat(F.lit("fraud_m"), i % 9).alias("merchant"), F.concat(F.lit("cat"), i % 4).alias("category"), F.col("value").cast("decimal(18,3)").alias("amt"), F.col("user_id").cast("decimal(9,1)").alias("lat"), F.lit(2.5).alias("long"), i.alias("trans_num"),
+        F.expr("unix_millis(cast(ts as timestamp)) div 1000").alias("unix_time"), F.lit(1.0).alias("merch_lat"), i.cast("decimal(9,1)").alias("merch_long"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("is_fraud"),
     )
-    folder, rows = _shared_folder(spark), None
+    folder = _shared_folder(spark)
     for name, part in (("paymentsTrain", raw.where("event_id < 700")), ("paymentsTest", raw.where("event_id >= 700"))):
-        part.write.option("header", True).csv(f"{folder}/{name}")
-        got = labelled.transactions(labelled.read(spark, f"{folder}/{name}")).withColumn("period", F.lit(name))
-        rows = got if rows is None else rows.unionByName(got)
-    return rows.select("transaction_id", "card_id", "merchant_id", "amount_minor", "t", "labelled_fraud", "period")
+        part.orderBy("_c0").write.option("header", True).csv(f"{folder}/{name}.csv")
+    return f"{folder}/*.csv"
+
+
+def csv_ingest(spark, sf_dir):
+    """Both periods in one read, as a user would, with their order."""
+    rows = labelled.transactions(labelled.read(spark, _csv(spark, sf_dir)))
+    return rows.select("transaction_id", "card_id", "merchant_id", "amount_minor", "t", "labelled_fraud", "period", F.col("seq.file_rank").alias("file_rank"))
+
+
+def csv_first_n(spark, sf_dir):
+    """The first rows in feed order: all of the training file stands before the test file."""
+    return labelled.transactions(labelled.read(spark, _csv(spark, sf_dir), limit=750)).select("transaction_id", "period")
+
+
+def csv_period(spark, sf_dir):
+    return labelled.transactions(labelled.read(spark, _csv(spark, sf_dir), limit=100, period="PaymentsTest")).select("transaction_id", "period")
+
+
+def csv_profiles(spark, sf_dir):
+    return labelled.profiles(labelled.read(spark, _csv(spark, sf_dir))).drop("currency")
+
+
+def csv_merchants(spark, sf_dir):
+    return labelled.merchants(labelled.read(spark, _csv(spark, sf_dir)))
+
+
+def scalar_texts(spark, sf_dir):
+    """The column functions on amounts and times of the feed."""
+    c, i = F.round(F.col("value") * 100).cast("long"), F.col("event_id")
+    rows = demo.events(spark, sf_dir).select("event_id", c.alias("c"), (i * 7919 % 500_000).alias("ms"), (F.col("event_id") % 1000 / 1000.0).alias("share"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    texts = {"money": scalars.money(F.col("c"), F.lit("EUR")), "took": scalars.duration(F.col("ms")), "percent": scalars.percentage(F.col("share")), "many": scalars.thousands(F.col("ms")), "whole": scalars.dollars(F.col("c"))}
+    numbers = {"day": scalars.epoch_day(F.col("t")), "kmh": F.round(scalars.implied_kmh(F.col("c") / 100.0, F.col("ms") - 1000), 6)}
+    return rows.select("event_id", *(v.alias(k) for k, v in (texts | numbers).items()))
 
 
 def _stream(spark, sf_dir, sink: str) -> str:
@@ -295,12 +354,42 @@ def stream_merchant_windows(spark, sf_dir):
     return _round(spark.read.parquet(f"{path}-windows"), "decline_rate")
 
 
+def stream_enriched(spark, sf_dir):
+    from ..streaming import enriched as stream
+
+    txns, folder = _txns(spark, sf_dir), _shared_folder(spark)
+    txns.write.parquet(f"{folder}/feed")
+    live = spark.readStream.schema(txns.schema).parquet(f"{folder}/feed")
+    stream.enrich_stream(live, lambda: _profiles(txns), lambda: demo.merchants(txns), f"{folder}/enriched", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _flat(spark.read.parquet(f"{folder}/enriched/batch=*"))
+
+
+def stream_live_windows(spark, sf_dir):
+    from ..streaming import windows
+
+    path = _stream(spark, sf_dir, "decisions")
+    made = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    windows.live_windows(made, f"{path}-live", f"{path}-live-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _round(windows.latest_counts(spark, f"{path}-live"), "decline_rate")
+
+
+def stream_live_state(spark, sf_dir):
+    """Each card's state as the stream left it."""
+    from ..streaming import decisions as stream
+
+    path = _stream(spark, sf_dir, "decisions")
+    state = stream.live_state(spark, f"{path.rpartition('/')[0]}/checkpoint")
+    v = lambda c: F.coalesce(F.col(f"value.{c}"), F.lit(-1))
+    return state.select(F.col("key.card_id").alias("card_id"), v("day").alias("spend_day"), F.when(F.col("value.day").isNotNull(), F.col("value.spent")).otherwise(-1).alias("spent_minor"), v("seen").alias("last_seen"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        txn_event_time, latest_reference, card_profiles, enriched, asof_reference, nearby_merchants, velocity_attempts, card_testing, static_rules, decisions, decision_reasons, decision_state, state_after_sweep,
-        merchant_windows_final, merchant_windows_late, merchant_windows_latest12, card_risk_view, decision_totals, rule_totals, feed_snapshot, feed_tail, confusion, rule_stats, card_episodes, fraud_catch_summary,
-        dataset_summary, verdict_distribution, policy_comparison, latency_summary, replay_shift, first_n, dlq_split, schema_evolution, csv_ingest, stream_decisions, stream_merchant_windows,
+        txn_event_time, latest_reference, card_profiles, enriched, asof_reference, nearby_merchants, velocity_attempts, card_testing, static_rules, decisions, decision_reasons, decisions_with_gaps, decision_state, state_after_sweep,
+        merchant_windows_final, merchant_windows_late, merchant_windows_latest12, card_risk_view, card_lookup, merchant_lookup, decision_totals, rule_totals, feed_snapshot, feed_tail, confusion, rule_stats, card_episodes, fraud_catch_summary,
+        dataset_summary, verdict_distribution, policy_comparison, latency_summary, replay_shift, first_n, dlq_split, dead_letters, dead_letter_totals, schema_evolution, csv_ingest, csv_first_n, csv_period, csv_profiles, csv_merchants, scalar_texts,
+        stream_decisions, stream_merchant_windows, stream_enriched, stream_live_windows, stream_live_state,
     )
 }
 ORACLE_SQL = {k: EVERY[k] for k in QUERIES}

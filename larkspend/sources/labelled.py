@@ -1,4 +1,4 @@
-"""Labelled payment files: CSV with a header, one file a period, training files first."""
+"""Labelled payment files: CSV with a header, one file (or folder of parts named like one) a period, training first."""
 
 from __future__ import annotations
 
@@ -11,14 +11,18 @@ from ..schemas import TIERS
 #: The columns that are read; files hold others, which are never parsed into rows.
 COLUMNS = ("cc_num", "merchant", "category", "amt", "lat", "long", "trans_num", "unix_time", "merch_lat", "merch_long", "is_fraud")
 LIMIT_STEPS = 26
+#: Feed order. Without an index column lines count up inside a block of a file, which a reader may split.
+ORDER = ("file_rank", "name", "part", "block", "line")
 
 
 def read(spark: SparkSession, paths, limit: int | None = None, period: str | None = None) -> DataFrame:
     """Rows with period, file_rank, name and seq. ``limit`` counts in feed order; ``period`` keeps one file's rows."""
     raw = spark.read.options(header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(paths)
-    name = F.col("_metadata.file_name")
+    # ``x.csv`` as a file, or as a folder that Spark wrote
+    path = F.col("_metadata.file_path")
+    name = F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]+\.csv)/[^/]*$", 1), F.lit("")), F.col("_metadata.file_name"))
     index = next((F.col(f"`{c}`") for c in raw.columns if c in ("_c0", "")), F.monotonically_increasing_id()).cast("long")
-    rows = raw.select(*COLUMNS, name.alias("name"), index.alias("line"))
+    rows = raw.select(*COLUMNS, name.alias("name"), F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"), index.alias("line"))
     rows = rows.where(F.lower("name").endswith(".csv"))
     if not rows.head(1):
         raise ValueError(f"no rows in .csv files under {paths}")
@@ -28,8 +32,8 @@ def read(spark: SparkSession, paths, limit: int | None = None, period: str | Non
         if not rows.head(1):
             raise ValueError(f"no file named {period}")
     if limit is not None:
-        rows = rows.orderBy("file_rank", "name", "line").limit(limit)
-    return rows.withColumn("seq", F.struct("file_rank", "name", "line"))
+        rows = rows.orderBy(*ORDER).limit(limit)
+    return rows.withColumn("seq", F.struct(*ORDER))
 
 
 def merchant_name(column) -> Column:

@@ -12,7 +12,8 @@ from ..functions.scalars import shorten
 
 
 def split(records: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) of records (key, value bytes, src_topic, src_partition, src_offset, src_timestamp).
+    """(good, bad) of records (key, value bytes, src_topic, src_partition, src_offset, src_timestamp, and headers where the
+    source has them); bad ones keep key, bytes and headers.
 
     A value is bad if it isn't JSON of the schema or lacks a required field. Both sides are filters over one parse.
     """
@@ -24,7 +25,7 @@ def split(records: DataFrame, schema: StructType) -> tuple[DataFrame, DataFrame]
     parsed = parsed.withColumn("__why", F.when(broken, F.concat(F.lit("not a record of the schema; caused by: "), F.coalesce(text, F.lit("null")))).when(missing != "", F.concat(F.lit("required fields are missing: "), missing)))
     good = parsed.where("__why is null").select("key", *(F.col(f"__p.{f.name}").alias(f.name) for f in schema), "src_partition", "src_offset")
     bad = parsed.where("__why is not null").select(
-        "key", "value", "src_topic", "src_partition", "src_offset", "src_timestamp", F.when(broken, F.lit("MalformedRecord")).otherwise(F.lit("MissingField")).alias("exception_class"), shorten(F.col("__why")).alias("message"), F.spark_partition_id().cast("string").alias("task_id"),
+        "key", "value", *(c for c in records.columns if c == "headers"), "src_topic", "src_partition", "src_offset", "src_timestamp", F.when(broken, F.lit("MalformedRecord")).otherwise(F.lit("MissingField")).alias("exception_class"), shorten(F.col("__why")).alias("message"), F.spark_partition_id().cast("string").alias("task_id"),
     )
     return good, bad
 

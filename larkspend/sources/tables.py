@@ -10,16 +10,22 @@ from ..functions.scalars import symbol
 from ..schemas import DEFAULTS, SYMBOLS
 
 
-def with_event_time(records: DataFrame, event_time: str = "event_time", ingest_time: str = "ingest_time", partition: str = "src_partition", order: str = "seq", into: str = "ts") -> DataFrame:
+def with_event_time(records: DataFrame, event_time: str = "event_time", ingest_time: str = "ingest_time", partition: str = "src_partition", order: str = "seq", into: str = "ts", bucket_rows: int = 100_000) -> DataFrame:
     """Adds the record's time: its own if after the epoch, else when it was taken in if not before, else the latest
-    time of its source partition so far. The running maximum is for batch inputs; streams always stamp the intake."""
+    time of its source partition so far. The running maximum is for batch inputs; streams always stamp the intake. It runs
+    inside ranges of ``order`` (a long) and, over one row a range, before them, so no task sees a whole partition."""
     own = F.when(F.unix_millis(event_time) > 0, F.col(event_time))
     taken = F.when(F.unix_millis(ingest_time) >= 0, F.col(ingest_time))
     known = records.withColumn(into, F.coalesce(own, taken))
     if records.isStreaming:
         return known
-    so_far = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return known.withColumn(into, F.coalesce(F.col(into), F.max(into).over(so_far)))
+    known = known.withColumn("__bucket", F.floor(F.col(order) / bucket_rows))
+    before = Window.partitionBy(partition).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = known.groupBy(partition, "__bucket").agg(F.max(into).alias("__top")).withColumn("__before", F.max("__top").over(before)).drop("__top")
+    inside = Window.partitionBy(partition, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (partition, "__bucket")]
+    joined = known.withColumn("__inside", F.max(into).over(inside)).alias("a").join(tops.alias("b"), same[0] & same[1])
+    return joined.select(*(F.col(f"a.{c}") for c in records.columns if c != into), F.coalesce(F.col(f"a.{into}"), F.greatest("__inside", "__before")).alias(into))
 
 
 def latest(versions: DataFrame, key: str, order: str = "seq", live: str | None = None) -> DataFrame:

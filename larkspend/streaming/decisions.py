@@ -23,6 +23,10 @@ def _order(value):
     return tuple(value.values()) if isinstance(value, dict) else tuple(value) if isinstance(value, tuple) else value
 
 
+def _whole(value):
+    return None if value is None else int(value)
+
+
 class Decider(StatefulProcessor):
     """Folds a card's new rows, in ``seq`` order inside a batch. ``t`` of late rows is theirs: nothing is filtered by
     watermark, every transaction gets a decision. With ``ttl_ms``, what a card hasn't used for so long is dropped."""
@@ -31,7 +35,7 @@ class Decider(StatefulProcessor):
         self.policy, self.names, self.ttl_ms = policy, names, ttl_ms
 
     def init(self, handle) -> None:
-        more = {} if self.ttl_ms is None else {"ttl_duration_ms": self.ttl_ms}
+        more = {} if self.ttl_ms is None else {"ttlDurationMs": self.ttl_ms}
         self.card = handle.getValueState("card", _CARD, **more)
         self.log = handle.getListState("log", "t long, amount long, merchant string", **more)
 
@@ -43,10 +47,10 @@ class Decider(StatefulProcessor):
         records = feed.astype(object).where(feed.notna(), None).to_dict("records")
         out = []
         for r in sorted(records, key=lambda r: (_order(r["seq"]), r["txn_id"])):
-            verdict, score, hits = step(card, Row(int(r["t"]), int(r["amount_minor"]), str(r["merchant_id"]), r["currency"], r["lat"], r["lon"], r["status"], None if r["daily_limit"] is None else int(r["daily_limit"]), r["tier"], bool(r["known"]), r["country"], r["category"]), self.policy)
+            verdict, score, hits = step(card, Row(_whole(r["t"]), _whole(r["amount_minor"]), str(r["merchant_id"]), r["currency"], r["lat"], r["lon"], bool(r["has_profile"]), r["status"], _whole(r["daily_limit"]), r["tier"], bool(r["known"]), r["country"], r["category"]), self.policy)
             out.append([r["txn_id"], key[0], r["merchant_id"], r["t"], r["amount_minor"], r["labelled_fraud"], verdict, score, [{"rule": a, "score": b, "detail": c} for a, b, c in hits]])
         self.card.update((card.day, card.spent, card.lat, card.lon, card.seen, card.place))
-        self.log.put([(int(t), int(a), str(m)) for t, a, m in card.log])
+        self.log.put([(int(t), _whole(a), str(m)) for t, a, m in card.log])
         yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
@@ -21,6 +21,18 @@ def final_windows(decisions: DataFrame, path: str, checkpoint: str):
     return _per_window(decisions).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
-def live_windows(decisions: DataFrame, name: str):
-    """Starts a query whose in-memory table holds the running counts of open windows."""
-    return _per_window(decisions).writeStream.outputMode("update").format("memory").queryName(name)
+def live_windows(decisions: DataFrame, path: str, checkpoint: str):
+    """Starts a query that keeps the counts of open windows: each micro-batch writes those it changed as one folder, which
+    a repeated batch overwrites. Nothing is held in the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return _per_window(decisions).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The last count of each window, open or closed, that ``live_windows`` wrote."""
+    rows = spark.read.parquet(f"{path}/*")
+    rest = [c for c in rows.columns if c not in ("merchant_id", "window_start", "batch")]
+    return rows.groupBy("merchant_id", "window_start").agg(F.max_by(F.struct(*rest), "batch").alias("v")).select("merchant_id", "window_start", "v.*")

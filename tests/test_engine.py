@@ -1,12 +1,14 @@
 """Spark forms of the engine on small feeds."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from larkspend.functions import scalars
 from larkspend.operators import analytics, decide, enrich, evaluation, latency, views
+from larkspend.operators.kernel import km_between
 from larkspend.plans import demo_data as demo
 from larkspend.plans import evaluate
 from larkspend.schemas import TRANSACTION
@@ -28,14 +30,60 @@ def rows_of(df, *sort):
     return [tuple(r) for r in df.orderBy(*sort).collect()]
 
 
+def reference(spark, limit=70_000):
+    cards = spark.createDataFrame([("k1", "u1", "ACTIVE", limit, "USD"), ("k2", "gone", "ACTIVE", 1, "USD")], "card_id string, customer_id string, status string, daily_limit_minor long, currency string")
+    customers = spark.createDataFrame([("u1", "HIGH", "EC", 1.0, 2.0)], "customer_id string, risk_tier string, home_country string, home_lat double, home_lon double")
+    shops = spark.createDataFrame([("s1", "Ferry kiosk", "7995", "EC", 1.0, 2.0)], "merchant_id string, name string, mcc string, country string, lat double, lon double")
+    return enrich.card_profiles(cards, customers), shops
+
+
 def test_enrichment_keeps_unknown_cards_and_merchants(spark):
-    cards = spark.createDataFrame([("CARD-1", "CUST-1", "ACTIVE", 150_000, "EUR"), ("CARD-2", "GONE", "ACTIVE", 1, "EUR")], "card_id string, customer_id string, status string, daily_limit_minor long, currency string")
-    customers = spark.createDataFrame([("CUST-1", "HIGH", "DE", 1.0, 2.0)], "customer_id string, risk_tier string, home_country string, home_lat double, home_lon double")
-    shops = spark.createDataFrame([("MERCH-1", "Casino Royale", "7995", "DE", 1.0, 2.0)], "merchant_id string, name string, mcc string, country string, lat double, lon double")
-    txns = spark.createDataFrame([("1", "CARD-1", "MERCH-1"), ("2", "CARD-1", "NOPE"), ("3", "CARD-2", "MERCH-1"), (None, "CARD-1", "MERCH-1")], "transaction_id string, card_id string, merchant_id string")
-    got = enrich.enrich(txns, enrich.card_profiles(cards, customers), shops)
+    txns = spark.createDataFrame([("a", "k1", "s1"), ("b", "k1", "s9"), ("c", "k2", "s1"), (None, "k1", "s1")], "transaction_id string, card_id string, merchant_id string")
+    got = enrich.enrich(txns, *reference(spark))
     got = {r["transaction"]["transaction_id"]: (r["card_profile"] and r["card_profile"]["risk_tier"], r["merchant"] and r["merchant"]["mcc"]) for r in got.collect()}
-    assert got == {"1": ("HIGH", "7995"), "2": ("HIGH", None), "3": (None, "7995")}
+    assert got == {"a": ("HIGH", "7995"), "b": ("HIGH", None), "c": (None, "7995")}
+
+
+def test_nearby_merchants_against_all_pairs(spark):
+    """Clusters, lonely homes, the date line and both poles; no merchant is too far to be one of the nearest."""
+    r = random.Random(3)
+    shops = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(60)] + [(100 + i, 10 + r.uniform(-0.3, 0.3), 179.9 + r.uniform(-0.3, 0.1)) for i in range(20)] + [(200, 89.9, 0.0), (201, -89.9, 90.0), (202, None, 1.0)]
+    homes = [(1, 10.0, -179.95), (2, 10.0, 179.9), (3, 90.0, 10.0), (4, -90.0, 0.0), (5, 0.0, 0.0), (6, None, 0.0)] + [(10 + i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(30)]
+    got = enrich.nearby_merchants(spark.createDataFrame(homes, "card_id int, home_lat double, home_lon double"), spark.createDataFrame(shops, "merchant_id int, lat double, lon double"))
+    found = {}
+    for x in got.collect():
+        found.setdefault(x["card_id"], []).append((x["rank"], x["merchant_id"]))
+    for c, y, x in homes:
+        if y is None:
+            assert c not in found
+            continue
+        far = sorted((km_between(y, x, v, u), m) for m, v, u in shops if v is not None)
+        near = [p for p in far if p[0] <= enrich.NEAR_KM]
+        want = near if len(near) >= enrich.LEAST_NEAR else far[: enrich.LEAST_NEAR]
+        assert sorted(found[c]) == [(k + 1, m) for k, (_, m) in enumerate(want)], c
+    none = spark.createDataFrame([], "merchant_id int, lat double, lon double")
+    assert enrich.nearby_merchants(spark.createDataFrame(homes, "card_id int, home_lat double, home_lon double"), none).count() == 0
+
+
+def test_nulls_in_the_feed(spark):
+    """Batch decisions of rows without a place, amount or time, in both orders."""
+    rows = [(i, "k1", "s2", a, t, y, y) for i, (a, t, y) in enumerate([(10, 0, 1.0), (None, 1000, 1.0), (10, 2000, None), (10, None, 60.0), (10, 3000, 60.0)])]
+    txns = spark.createDataFrame(rows, "transaction_id long, card_id string, merchant_id string, amount_minor long, t long, lat double, lon double")
+    txns = txns.withColumns({"currency": F.lit("USD"), "category": F.lit(None).cast("string"), "labelled_fraud": F.lit(None).cast("boolean"), "seq": F.col("transaction_id")})
+    for ordered in (True, False):
+        made = decide.decide(enrich.enrich(txns, *reference(spark)), ordered=ordered)
+        assert rows_of(made.select("txn_id", "decision", F.array_join("reasons.rule", ",")), "txn_id") == [(0, "APPROVE", ""), (1, "APPROVE", ""), (2, "APPROVE", ""), (3, "APPROVE", ""), (4, "DECLINE", "GEO_VELOCITY,CUSTOMER_RISK_TIER")]
+
+
+def test_event_time_in_small_ranges(spark):
+    r = random.Random(1)
+    rows = [(i, r.choice([None, 0, 1]), *((None, -1) if r.random() < 0.4 else (r.randint(1, 10**6), 5))) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq long, src_partition int, e long, i long").select("seq", "src_partition", F.timestamp_millis("e").alias("event_time"), F.timestamp_millis("i").alias("ingest_time"))
+    got = {x[0]: x[1] for x in tables.with_event_time(df, bucket_rows=37).select("seq", F.unix_millis("ts")).collect()}
+    top = {}
+    for i, p, e, _ in rows:
+        top[p] = max(top.get(p, e) or 0, e or 0) or None
+        assert got[i] == (e if e is not None else top[p])
 
 
 def test_final_windows_drop_late_rows(spark):
@@ -77,27 +125,34 @@ def test_episodes(spark):
 
 
 def test_csv_to_report(spark, tmp_path):
+    """Two files, the test file sorting before the training file by name; six quick payments of one card among others."""
     head = ",trans_date_trans_time,cc_num,merchant,category,amt,first,lat,long,trans_num,unix_time,merch_lat,merch_long,is_fraud\n"
-    amounts, fraud = ("45.00", "1.10", "1.20", "1.30", "1.40", "30.00"), (0, 1, 1, 1, 1, 0)
-    lines = [f"{i}, x, {'2222' if i == 5 else '1111'}, fraud_Shop{i % 3}, misc_pos, {a}, Jo, 40.0, -75.0, T{i}, {1325376000 + 60 * i}, 40.1, -75.1, {f}\n" for i, (a, f) in enumerate(zip(amounts, fraud, strict=True))]
-    (tmp_path / "fraudTrain.csv").write_text(head + "".join(lines))
+    line = lambda i, cc, amt, fraud, sec: f"{i}, x, {cc}, fraud_Depot{i % 4}, hobby, {amt}, Ann, 12.5, -3.25, P{i}, {1_400_000_000 + sec}, 12.6, -3.5, {fraud}\n"
+    (tmp_path / "bTrain.csv").write_text(head + "".join(line(i, "41", "8.20", int(i > 2), 9 * i) for i in range(6)) + line(6, "42", "77.70", 0, 80))
+    (tmp_path / "aTest.csv").write_text(head + line(0, "41", "5.00", 1, 100) + line(1, "43", "6.00", 0, 110))
     rows = labelled.read(spark, str(tmp_path))
-    assert labelled.merchants(rows).count() == 3 and labelled.profiles(rows).count() == 2
-    assert labelled.read(spark, str(tmp_path), limit=2).count() == 2
+    feed = labelled.transactions(rows).orderBy("seq").collect()
+    assert [(x["period"], x["transaction_id"]) for x in feed] == [("bTrain", f"P{i}") for i in range(7)] + [("aTest", "P0"), ("aTest", "P1")]
+    assert labelled.merchants(rows).count() == 4 and labelled.profiles(rows).count() == 3
+    assert [x["period"] for x in labelled.read(spark, str(tmp_path), limit=8).orderBy("seq").collect()] == ["bTrain"] * 7 + ["aTest"]
+    assert labelled.read(spark, str(tmp_path), period="ATEST").count() == 2
     with pytest.raises(ValueError):
         labelled.read(spark, str(tmp_path), period="nope")
-    report = evaluate.evaluate(spark, str(tmp_path))
-    data = report["dataset"].where("period = 'fraudTrain'").first()
-    assert (data["transactions"], data["frauds"], data["cards"]) == (6, 4, 2)
+    report = evaluate.evaluate(spark, str(tmp_path), limit=9)
+    data = report["dataset"].where("period = 'bTrain'").first()
+    assert (data["transactions"], data["frauds"], data["cards"]) == (7, 3, 2)
     flagged = report["flagged"].where("period = '**all**'").first()
-    assert (flagged["tp"], flagged["fn"], flagged["fp"]) == (1, 3, 0)
+    assert (flagged["tp"], flagged["fn"], flagged["fp"]) == (1, 3, 0)  # the sixth try in a minute
     cards = report["cards"].where("period = '**all**'").first()
-    assert (cards["cards_hit"], cards["cards_caught"], cards["median_before"]) == (1, 1, 3.0)
+    assert (cards["cards_hit"], cards["cards_caught"], cards["median_before"]) == (1, 1, 2.0)
+    assert dict(rows_of(report["setup"], "name"))["rows"] == "first 9" and dict(rows_of(report["setup"], "name"))["certain_km"] == "500.0"
+    text = report["summary"].where("period = '**all**'").first()
+    assert (text["transactions"], text["frauds"], text["fraud"], text["flagged_recall"]) == ("9", "4", "$30", "25.0%")
 
 
 def test_quarantine(spark):
     ok = '{"transaction_id":"1","card_id":"c","merchant_id":"m","amount_minor":5}'
-    rows = [(None, bytearray(x.encode()), "txns", 0, i, None) for i, x in enumerate(('{"this is": "not avro"}', "x" * 3000, ok))]
+    rows = [(None, bytearray(x.encode()), "txns", 0, i, None) for i, x in enumerate(('{"half": "a record"}', "x" * 3000, ok))]
     records = spark.createDataFrame(rows, "key binary, value binary, src_topic string, src_partition int, src_offset long, src_timestamp timestamp")
     good, bad = quarantine.split(records, TRANSACTION)
     assert [r["transaction_id"] for r in good.collect()] == ["1"]
@@ -162,11 +217,11 @@ def test_both_fold_modes_agree(spark):
 
 def test_card_view(spark):
     profiles = spark.createDataFrame([("A", "ACTIVE", "LOW", 100_000), ("QUIET", "ACTIVE", "LOW", 5)], "card_id string, status string, risk_tier string, daily_limit_minor long")
-    state = spark.createDataFrame([("A", "t3", "DECLINE", 80, T0 // 86_400_000, 50_000, 52.5, 13.4, T0, "DE")], "card_id string, txn_id string, decision string, score int, spend_day long, spent_minor long, last_lat double, last_lon double, last_seen long, last_place string")
+    state = spark.createDataFrame([("A", "t3", "DECLINE", 80, [{"rule": "DAILY_LIMIT"}], T0 // 86_400_000, 50_000, 52.5, 13.4, T0, "DE")], "card_id string, txn_id string, decision string, score int, reasons array<struct<rule:string>>, spend_day long, spent_minor long, last_lat double, last_lon double, last_seen long, last_place string")
     attempts = spark.createDataFrame([("A", T0), ("A", T0 + 30_000), ("A", T0 + 240_000)], "card_id string, t long")
     view = {r["card_id"]: r for r in views.card_risk(profiles, state, attempts, T0 + 240_000).collect()}
     a = view["A"]
-    assert (a["spent_today"], a["remaining"], a["last_place"], a["attempts_10m"], a["attempts_60s"], a["last_decision"]) == (50_000, 50_000, "DE", 3, 1, "DECLINE")
+    assert (a["spent_today"], a["remaining"], a["last_place"], a["attempts_10m"], a["attempts_60s"], a["last_decision"], a["last_rules"]) == (50_000, 50_000, "DE", 3, 1, "DECLINE", ["DAILY_LIMIT"])
     assert (view["QUIET"]["remaining"], view["QUIET"]["last_seen"]) == (5, None)
     assert views.card_risk(profiles, state, attempts, T0, "nobody").count() == 0
     assert views.card_risk(profiles, state, attempts, T0 + 86_400_000, "A").first()["spent_today"] == 0

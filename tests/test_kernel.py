@@ -1,84 +1,113 @@
-"""Decision cases, each a feed of one card folded in order."""
+"""Decision cases, each a feed of one card folded in order, on either side of each threshold."""
 
 import pytest
 
 from larkspend import policy as P
-from larkspend.operators.kernel import Card, Row, step
-
-T0 = 1_789_725_600_000  # 2026-09-18T10:00:00Z
-SHOPS = {
-    "BERLIN": ("DE", 52.52, 13.405, "5411"),
-    "BERLIN-2": ("DE", 52.53, 13.42, "5812"),
-    "BERLIN-3": ("DE", 52.51, 13.39, "5999"),
-    "CASINO": ("DE", 52.505, 13.38, "7995"),
-    "SAOPAULO": ("BR", -23.5505, -46.6333, "5411"),
-    "HAMBURG": ("DE", 53.5511, 9.9937, "5411"),
-}
-CARDS = {"CARD-1": ("ACTIVE", 100_000, "LOW"), "CARD-HIGH": ("ACTIVE", 100_000, "HIGH"), "CARD-BLOCKED": ("BLOCKED", 100_000, "LOW"), "NEVER": (None, None, None)}
-S, M, H, D = 1000, 60_000, 3_600_000, 86_400_000
-
+from larkspend.operators.kernel import Card, Row, Small, step
 
-def feed(card, *rows, policy=P.DEFAULT):
-    state, out = Card(), []
-    for shop, amount, at in rows:
-        country, lat, lon, mcc = SHOPS[shop]
-        status, limit, tier = CARDS[card]
-        verdict, score, hits = step(state, Row(T0 + at, amount, shop, "EUR", lat, lon, status, limit, tier, True, country, mcc), policy)
+START = 1_700_438_400_000  # a midnight
+S, M, H, D = 1000, 60_000, 3_600_000, 86_400_000
+# one degree of longitude on the equator is 111.19 km
+PLACES = {"quay": ("EC", 0.0, -80.0, "5411"), "hill": ("EC", 0.0, -79.9, "5812"), "mill": ("EC", 0.0, -79.11, "5999"), "fort": ("EC", 0.0, -79.09, "5999"), "delta": ("BR", 0.0, -75.6, "5411"), "coast": ("BR", 0.0, -75.4, "5411"), "gaming": ("EC", 0.0, -80.0, "7995"), "nowhere": (None, None, None, None)}
+KNOWN = {"plain": (True, "ACTIVE", 50_000, "LOW"), "tense": (True, "ACTIVE", 50_000, "HIGH"), "old": (True, "EXPIRED", 50_000, "LOW"), "stranger": (False, None, None, None), "open": (True, None, None, "MEDIUM")}
+
+
+def feed(card, *rows, policy=P.DEFAULT, counted=False):
+    state, out, times = Card(), [], []
+    for place, amount, at in rows:
+        country, lat, lon, mcc = PLACES[place]
+        t = None if at is None else START + at
+        times.append(t)
+        attempts = sum(t - 60_000 <= x <= t for x in times) if counted else None
+        verdict, score, hits = step(state, Row(t, amount, place, "USD", lat, lon, *KNOWN[card], True, country, mcc, attempts), policy)
         out.append((verdict, [h[0] for h in hits], score, [h[2] for h in hits]))
     return out, state
 
 
+def tries(n, gap, amount=900, places=("quay",)):
+    return [(places[i % len(places)], amount, i * gap) for i in range(n)]
+
+
 CASES = [
-    ("ordinary", "CARD-1", [("BERLIN", 2500, 0)], "APPROVE", []),
-    ("unknown card", "NEVER", [("BERLIN", 2500, 0)], "REVIEW", ["UNKNOWN_CARD"]),
-    ("blocked", "CARD-BLOCKED", [("BERLIN", 100, 0)], "DECLINE", ["CARD_NOT_ACTIVE"]),
-    ("velocity", "CARD-1", [("BERLIN", 1000, 5 * S * i) for i in range(6)], "REVIEW", ["VELOCITY"]),
-    ("velocity passes", "CARD-1", [("BERLIN", 1000, 5 * S * i) for i in range(6)] + [("BERLIN", 1000, 145 * S)], "APPROVE", []),
-    ("testing", "CARD-1", [("BERLIN", 50, 0), ("BERLIN-2", 50, 30 * S), ("BERLIN-3", 50, 60 * S), ("BERLIN", 50, 90 * S)], "REVIEW", ["CARD_TESTING"]),
-    ("bot speed", "CARD-1", [(("BERLIN", "BERLIN-2", "BERLIN-3")[i % 3], 50, 10 * S * i) for i in range(6)], "DECLINE", ["VELOCITY", "CARD_TESTING"]),
-    ("daily limit", "CARD-1", [("BERLIN", 40_000, 0), ("BERLIN", 40_000, 10 * M), ("BERLIN", 30_000, 20 * M)], "DECLINE", ["DAILY_LIMIT"]),
-    ("declined don't spend", "CARD-1", [("BERLIN", 40_000, 0), ("BERLIN", 40_000, 10 * M), ("BERLIN", 30_000, 20 * M), ("BERLIN", 15_000, 30 * M)], "APPROVE", []),
-    ("new day", "CARD-1", [("BERLIN", 90_000, 0), ("BERLIN", 90_000, D)], "APPROVE", []),
-    ("impossible travel", "CARD-1", [("BERLIN", 3000, 0), ("SAOPAULO", 8900, 4 * M)], "DECLINE", ["GEO_VELOCITY"]),
-    ("declined place isn't kept", "CARD-1", [("BERLIN", 3000, 0), ("SAOPAULO", 8900, 4 * M), ("BERLIN", 1200, 10 * M)], "APPROVE", []),
-    ("nearby", "CARD-1", [("BERLIN", 3000, 0), ("BERLIN-2", 3000, 10 * S)], "APPROVE", []),
-    ("short hop", "CARD-1", [("BERLIN", 3000, 0), ("HAMBURG", 3000, 5 * M)], "REVIEW", ["GEO_SHORT_HOP"]),
-    ("real flight", "CARD-1", [("BERLIN", 3000, 0), ("SAOPAULO", 3000, 14 * H)], "APPROVE", []),
-    ("casino", "CARD-1", [("CASINO", 5000, 0)], "APPROVE", ["MERCHANT_RISK"]),
-    ("tier alone", "CARD-HIGH", [("BERLIN", 5000, 0)], "APPROVE", []),
-    ("tier escalates", "CARD-HIGH", [("BERLIN", 5000, 0), ("CASINO", 5000, 10 * M)], "APPROVE", ["MERCHANT_RISK", "CUSTOMER_RISK_TIER"]),
-    ("same millisecond", "CARD-1", [("BERLIN", 1000, 0)] * 6, "REVIEW", ["VELOCITY"]),
+    ("nothing to say", "plain", [("quay", 700, 0)], "APPROVE", []),
+    ("not in the reference", "stranger", [("quay", 700, 0)], "REVIEW", ["UNKNOWN_CARD"]),
+    ("expired", "old", [("quay", 700, 0)], "DECLINE", ["CARD_NOT_ACTIVE"]),
+    ("five in a minute", "plain", tries(5, 10 * S), "APPROVE", []),
+    ("six in a minute", "plain", tries(6, 12 * S), "REVIEW", ["VELOCITY"]),
+    ("six in over a minute", "plain", tries(6, 12 * S + 1), "APPROVE", []),
+    ("six at once", "plain", tries(6, 0), "REVIEW", ["VELOCITY"]),
+    ("four small, two shops", "plain", tries(4, 90 * S, 199, ("quay", "hill")), "APPROVE", []),
+    ("three small, three shops", "plain", tries(3, 90 * S, 199, ("quay", "hill", "gaming")), "APPROVE", ["MERCHANT_RISK"]),
+    ("four small, three shops", "plain", tries(4, 200 * S, 199, ("quay", "hill", "mill")), "REVIEW", ["CARD_TESTING"]),
+    ("one of them too large", "plain", tries(3, 200 * S, 199, ("quay", "hill", "mill")) + [("quay", 200, 600 * S)], "APPROVE", []),
+    ("the first too long ago", "plain", [("quay", 199, 0), ("hill", 199, M), ("mill", 199, 2 * M), ("quay", 199, 10 * M + 1)], "APPROVE", []),
+    ("both at once", "plain", tries(6, 11 * S, 120, ("quay", "hill", "mill")), "DECLINE", ["VELOCITY", "CARD_TESTING"]),
+    ("just the limit", "plain", [("quay", 30_000, 0), ("quay", 20_000, H)], "APPROVE", []),
+    ("a cent above", "plain", [("quay", 30_000, 0), ("quay", 20_001, H)], "DECLINE", ["DAILY_LIMIT"]),
+    ("a declined amount isn't spent", "plain", [("quay", 30_000, 0), ("quay", 20_001, H), ("quay", 20_000, 2 * H)], "APPROVE", []),
+    ("spend ends with the day", "plain", [("quay", 45_000, D - 1), ("quay", 45_000, D)], "APPROVE", []),
+    ("below 100 km", "plain", [("quay", 700, 0), ("mill", 700, S)], "APPROVE", []),
+    ("above 100 km", "plain", [("quay", 700, 0), ("fort", 700, S)], "REVIEW", ["GEO_SHORT_HOP"]),
+    ("slow enough", "plain", [("quay", 700, 0), ("fort", 700, 10 * M)], "APPROVE", []),
+    ("below 500 km", "plain", [("quay", 700, 0), ("delta", 700, 30 * M)], "REVIEW", ["GEO_SHORT_HOP"]),
+    ("above 500 km", "plain", [("quay", 700, 0), ("coast", 700, 30 * M)], "DECLINE", ["GEO_VELOCITY"]),
+    ("under 900 km/h", "plain", [("quay", 700, 0), ("coast", 700, 35 * M)], "APPROVE", []),
+    ("a declined place isn't kept", "plain", [("quay", 700, 0), ("coast", 700, 5 * M), ("hill", 700, 6 * M)], "APPROVE", []),
+    ("a risky shop", "plain", [("gaming", 700, 0)], "APPROVE", ["MERCHANT_RISK"]),
+    ("a tense customer", "tense", [("quay", 700, 0)], "APPROVE", []),
+    ("both", "tense", [("gaming", 700, 0)], "APPROVE", ["MERCHANT_RISK", "CUSTOMER_RISK_TIER"]),
+    ("no status, no limit", "open", [("quay", 900_000, 0)], "APPROVE", []),
+    ("no place", "plain", [("quay", 700, 0), ("nowhere", 700, S), ("hill", 700, 2 * S)], "APPROVE", []),
+    ("the place before stays", "plain", [("quay", 700, 0), ("nowhere", 700, S), ("coast", 700, 2 * S)], "DECLINE", ["GEO_VELOCITY"]),
+    ("no amount", "plain", [("quay", 50_000, 0), ("quay", None, 1)], "APPROVE", []),
+    ("amounts without a value aren't small", "plain", tries(4, S, None, ("quay", "hill", "mill")), "APPROVE", []),
+    ("no time", "plain", [("quay", 50_000, 0), ("coast", 700, None)], "APPROVE", []),
+    ("no time, and expired", "old", [("quay", 700, None)], "DECLINE", ["CARD_NOT_ACTIVE"]),
 ]
 
 
+@pytest.mark.parametrize("counted", [False, True])
 @pytest.mark.parametrize("name,card,rows,verdict,rules", CASES, ids=[c[0] for c in CASES])
-def test_case(name, card, rows, verdict, rules):
-    out, _ = feed(card, *rows)
+def test_case(name, card, rows, verdict, rules, counted):
+    if counted and any(r[2] is None for r in rows):
+        pytest.skip("attempts are counted over times")
+    out, _ = feed(card, *rows, counted=counted)
     assert out[-1][:2] == (verdict, rules)
 
 
 def test_details_and_scores():
-    out, state = feed("CARD-1", ("BERLIN", 40_000, 0), ("BERLIN", 10_000, 30 * S), ("SAOPAULO", 8900, 4 * M))
-    assert "DE to BR" in out[-1][3][0] and "in 3m 30s implies" in out[-1][3][0] and out[-1][3][0].endswith("km/h")
-    assert (state.spent, state.place) == (50_000, "DE")
-    out, _ = feed("CARD-1", ("BERLIN", 90_000, 0), ("BERLIN", 20_050, 10 * M))
-    assert out[-1][3] == ["EUR 900.00 spent today + EUR 200.50 would exceed the EUR 1000.00 limit"]
-    assert feed("CARD-HIGH", ("BERLIN", 5000, 0), ("CASINO", 5000, 10 * M))[0][-1][2] == 30
+    out, state = feed("plain", ("quay", 12_345, 0), ("coast", 700, 2 * M + 5 * S))
+    assert out[-1][3] == ["511 km from EC to BR in 2m 5s implies 14731 km/h"] and (state.spent, state.place) == (12_345, "EC")
+    assert feed("plain", ("quay", 1, 0), ("coast", 1, 0))[0][-1][3] == ["511 km from EC to BR in 0s implies Infinity km/h"]
+    out, _ = feed("plain", ("quay", 12_345, 0), ("quay", 40_007, M))
+    assert out[-1][3] == ["USD 123.45 spent today + USD 400.07 would exceed the USD 500.00 limit"]
+    assert [h for h in feed("tense", ("gaming", 700, 0))[0][0][2:]] == [30, ["high-risk merchant category 7995", "customer is HIGH risk tier"]]
 
 
-def test_original_policy_calls_short_hops_certain():
-    out, _ = feed("CARD-1", ("BERLIN", 3000, 0), ("HAMBURG", 3000, 5 * M), policy=P.ORIGINAL)
-    assert out[-1][:2] == ("DECLINE", ["GEO_VELOCITY"])
-    out, _ = feed("CARD-HIGH", ("BERLIN", 3000, 0), ("HAMBURG", 3000, 5 * M), policy=P.Policy(500, 0))
-    assert out[-1][1:3] == (["GEO_SHORT_HOP", "CUSTOMER_RISK_TIER"], 10)
+def test_policies():
+    rows = ("quay", 700, 0), ("fort", 700, S)
+    assert feed("plain", *rows, policy=P.ORIGINAL)[0][-1][:2] == ("DECLINE", ["GEO_VELOCITY"])
+    assert feed("tense", *rows, policy=P.Policy(300, 0))[0][-1][1:3] == (["GEO_SHORT_HOP", "CUSTOMER_RISK_TIER"], 10)
 
 
 def test_late_rows():
     """A row of an earlier day sees no spend and stores none; a late place doesn't move the card back."""
-    out, state = feed("CARD-1", ("BERLIN", 90_000, D), ("BERLIN", 20_000, 0))
-    assert out[-1][:2] == ("APPROVE", []) and state.spent == 90_000
-    _, state = feed("CARD-1", ("BERLIN", 100, H), ("BERLIN-2", 100, 0))
-    assert state.lat == SHOPS["BERLIN"][1]
+    out, state = feed("plain", ("quay", 45_000, D), ("quay", 45_000, 0))
+    assert out[-1][:2] == ("APPROVE", []) and state.spent == 45_000
+    assert feed("plain", ("quay", 1, H), ("hill", 1, 0))[1].lon == PLACES["quay"][2]
+
+
+def test_sliding_counts_of_a_burst():
+    small, t = Small(), 0
+    for i in range(5000):
+        t += i % 7 * 50
+        got = small.add(t, 100 + i % 3 * 50, i % 11)
+    rows, t = [], 0
+    for i in range(5000):
+        t += i % 7 * 50
+        rows.append((t, 100 + i % 3 * 50, i % 11))
+    near = [m for u, a, m in rows if u >= t - P.TESTING_MS and a < 200]
+    assert got == (len(near), len(set(near)))
 
 
 @pytest.mark.parametrize("bad", [(99, 45), (500, -1), (500, 101)])

@@ -1,8 +1,10 @@
 """The stream equals the batch, however the feed is cut into files, also across a restart."""
 
 import os
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspend.operators import decide, enrich
 from larkspend.plans import demo_data as demo
@@ -30,3 +32,72 @@ def test_stream_equals_batch(spark, tmp_path):
         assert stream.live_state(spark, str(tmp_path / "ck")).count() == 2
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def small_feed(spark, tmp_path, rows):
+    cols = "transaction_id long, card_id string, merchant_id string, amount_minor long, t long, lat double, lon double, currency string, category string, labelled_fraud boolean, seq long"
+    made = spark.createDataFrame([(i, c, "s1", a, t, y, y, "USD", None, None, i) for i, c, a, t, y in rows], cols)
+    made.coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    return spark.readStream.schema(made.schema).parquet(str(tmp_path / "feed"))
+
+
+def test_changed_reference_data_reaches_later_batches(spark, tmp_path):
+    """Limits are read anew for each micro-batch; the enriched feed then is the decision stream's source."""
+    from larkspend.sources import tables
+    from larkspend.streaming import enriched
+
+    versions = [("k", 1, "ACTIVE", 1000)]
+    profile = lambda: tables.latest(spark.createDataFrame(versions, "card_id string, seq long, status string, daily_limit_minor long"), "card_id").drop("seq").withColumn("risk_tier", F.lit("LOW"))
+    shops = lambda: spark.createDataFrame([("s1", "5411", "EC")], "merchant_id string, mcc string, country string")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
+    try:
+        for rows, limit in (([(1, "k", 900, 0, 1.0), (2, "k", 200, 1, None)], 1000), ([(3, "k", 200, 2, 1.0)], 5000), ([(4, "k", None, 3, 1.0)], 5000)):
+            versions.append(("k", len(versions) + 1, "ACTIVE", limit))
+            live = small_feed(spark, tmp_path, rows)
+            enriched.enrich_stream(live, profile, shops, str(tmp_path / "enriched"), str(tmp_path / "ck1")).trigger(availableNow=True).start().awaitTermination()
+            schema = spark.read.parquet(str(tmp_path / "enriched" / "batch=*")).schema
+            made = stream.decide_stream(enriched.read_enriched(spark, str(tmp_path / "enriched"), schema))
+            made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination()
+        got = sorted((r["txn_id"], r["decision"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert got == [(1, "APPROVE"), (2, "DECLINE"), (3, "APPROVE"), (4, "APPROVE")]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_state_of_idle_cards_is_dropped(spark, tmp_path):
+    """With a time to live, what a card spent is forgotten once that time has passed without a transaction."""
+    profile = spark.createDataFrame([("k", "ACTIVE", 1000, "LOW")], "card_id string, status string, daily_limit_minor long, risk_tier string")
+    shops = spark.createDataFrame([("s1", "5411", "EC")], "merchant_id string, mcc string, country string")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
+    query = None
+    try:
+        live = small_feed(spark, tmp_path, [(0, "k", 900, 0, 1.0)])
+        made = stream.decide_stream(enrich.enrich(live, profile, shops), ttl_ms=1)
+        # state by processing time keeps the query running: it is stopped once the rows are out
+        query = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+        for k in range(2):
+            until = time.monotonic() + 60
+            while time.monotonic() < until and query.exception() is None:
+                made_so_far = spark.read.schema("txn_id long, decision string").parquet(str(tmp_path / "out")).collect() if (tmp_path / "out" / "_spark_metadata" / "0").exists() else []
+                if len(made_so_far) > k:
+                    break
+                time.sleep(0.5)
+            if k == 0:
+                small_feed(spark, tmp_path, [(1, "k", 900, 1, 1.0)])
+        assert sorted((r["txn_id"], r["decision"]) for r in made_so_far) == [(0, "APPROVE"), (1, "APPROVE")]
+    finally:
+        if query is not None:
+            query.stop()
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_live_counts_take_the_last_batch(spark, tmp_path):
+    from larkspend.streaming import windows
+
+    for k in range(2):
+        rows = spark.createDataFrame([("m", "DECLINE", 1000 * k), ("m", "APPROVE", 2000 * k + 1)], "merchant_id string, decision string, t long")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "made"))
+        live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "made"))
+        windows.live_windows(live, str(tmp_path / "live"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        got = windows.latest_counts(spark, str(tmp_path / "live")).first()
+        assert (got["merchant_id"], got["total"], got["declined"]) == ("m", 2 + 2 * k, 1 + k)
