@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +53,8 @@ BROADCAST_IDS = 1_000_000
 #: Keys of more rows than this, and than one in so many of all rows, are joined apart; so there are never more than
 #: HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1000, 100_000
-#: Id of a key that a batch has in several documents.
-NOBODY = -(1 << 63)
+#: In place of the document of a key that a batch has in several documents.
+NOBODY = (1 << 16) - 1
 #: Fragments in which the overlaps of pairs are counted.
 FRAGMENTS = 4
 #: Rounds of hubs, after which what is left of the lists is paired directly.
@@ -101,14 +102,16 @@ def shared_prefixes(docs: DataFrame, words: int, num: int, den: int, fragments:
     """(id, size, shared) of each document: its set's size and how many of its prefix n-grams others have too.
 
     A key that several documents of a batch have is known to be shared there; it is sent once, for other batches, so
-    that what a frequent n-gram sends grows with the number of batches."""
+    that what a frequent n-gram sends grows with the number of batches. A fragment answers each batch with the numbers
+    of shared keys of its documents, which are summed batch by batch."""
     bits = 16 if fragments <= 1 << 16 else 24
     width = 8 - bits // 8
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId() << 40
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+                part, turn = batch.slice(low, 2000), turn + 1
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 own = list(sets(part.column(1), words))
                 sizes = np.array([len(x) for x in own], np.int64)
@@ -117,40 +120,49 @@ def shared_prefixes(docs: DataFrame, words: int, num: int, den: int, fragments:
                 key = np.concatenate([*prefix, np.zeros(0, np.uint64)])
                 key, first, index, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 local = np.bincount(doc[n[index] > 1], minlength=len(own))
-                doc = np.where(n > 1, -1, doc[first])
+                doc = np.where(n > 1, NOBODY, doc[first]).astype(np.uint16)
                 fragment = ((key & np.uint64((1 << bits) - 1)).astype(np.int64) * fragments) >> bits
                 order = np.argsort(fragment, kind="stable")
                 bounds = np.searchsorted(fragment[order], np.arange(fragments + 1)).tolist()
-                rows = [(low % fragments, b"", ids.tobytes(), np.concatenate([sizes, local]).tobytes())]
+                rows = [(turn % fragments, turn, b"", np.concatenate([ids, sizes, local]).tobytes())]
                 for f, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     if b > a:
                         take = order[a:b]
                         # the lowest bytes of a key choose the fragment, the others are sent
                         wide = np.ascontiguousarray((key[take] >> np.uint64(bits)).view(np.uint8).reshape(-1, 8)[:, :width])
-                        docs_here, index = np.unique(doc[take], return_inverse=True)
-                        rows.append((f, wide.tobytes(), np.where(docs_here < 0, NOBODY, ids[docs_here]).tobytes(), index.astype(np.uint16).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["fragment", "keys", "ids", "index"])
+                        rows.append((f, turn, wide.tobytes(), doc[take].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["fragment", "batch", "keys", "docs"])
 
-    def count(table: pa.Table) -> pa.Table:
-        keys, ids, sizes = [np.zeros((0, width), np.uint8)], [np.zeros(0, np.int64)], [(np.zeros(0, np.int64),) * 3]
-        for k, i, x in zip(table["keys"].to_pylist(), table["ids"].to_pylist(), table["index"].to_pylist(), strict=True):
-            own = np.frombuffer(i, np.int64)
-            if k:
-                keys.append(np.frombuffer(k, np.uint8).reshape(-1, width))
-                ids.append(own[np.frombuffer(x, np.uint16)])
-            else:
-                sizes.append((own, *np.frombuffer(x, np.int64).reshape(2, -1)))
-        narrow = np.concatenate(keys)
+    def answer(table: pa.Table) -> pa.Table:
+        batch, blobs, docs_of = (table[c].to_pylist() for c in ("batch", "keys", "docs"))
+        asked = [i for i, k in enumerate(blobs) if k]
+        narrow = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
         wide = np.zeros((len(narrow), 8), np.uint8)
         wide[:, :width] = narrow
         _, index, n = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
-        owner = np.concatenate(ids)
-        found, shared = np.unique(owner[(n[index] > 1) & (owner != NOBODY)], return_counts=True)
-        meta, size, local = (np.concatenate([x[j] for x in sizes]) for j in (0, 1, 2))
-        return pa.table({"id": np.concatenate([meta, found]), "size": np.concatenate([size, np.zeros(len(found), np.int64)]), "shared": np.concatenate([local, shared.astype(np.int64)])})
-
-    sent = docs.mapInArrow(send, "fragment int, keys binary, ids binary, index binary")
-    return sent.groupBy("fragment").applyInArrow(count, "id long, size long, shared long").groupBy("id").agg(F.max("size").alias("size"), F.sum("shared").alias("shared"))
+        more, at = n[index] > 1, 0
+        # what a batch said of itself comes first and goes on as it is
+        rows = [(batch[i], docs_of[i], b"") for i, k in enumerate(blobs) if not k]
+        for i in asked:
+            doc = np.frombuffer(docs_of[i], np.uint16)
+            doc, count = np.unique(doc[more[at : at + len(doc)] & (doc != NOBODY)], return_counts=True)
+            at += len(docs_of[i]) // 2
+            if len(doc):
+                rows.append((batch[i], b"", np.stack([doc, count.astype(np.uint16)]).tobytes()))
+        return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate((("batch", pa.int64()), ("own", pa.binary()), ("more", pa.binary())))})
+
+    def total(table: pa.Table) -> pa.Table:
+        ids, sizes, shared = np.frombuffer(b"".join(table["own"].to_pylist()), np.int64).reshape(3, -1)
+        shared = shared.copy()
+        for x in table["more"].to_pylist():
+            if x:
+                doc, count = np.frombuffer(x, np.uint16).reshape(2, -1)
+                shared[doc] += count
+        return pa.table({"id": ids, "size": sizes, "shared": shared})
+
+    sent = docs.mapInArrow(send, "fragment int, batch long, keys binary, docs binary")
+    answers = sent.groupBy("fragment").applyInArrow(answer, "batch long, own binary, more binary")
+    return answers.groupBy("batch").applyInArrow(total, "id long, size long, shared long")
 
 
 def join_any(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
