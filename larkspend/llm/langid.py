@@ -35,7 +35,7 @@ TRAIN_WINDOWS = 6
 ROUNDS = 350
 BATCH = 192
 #: Bytes read side by side, and windows at most.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 SIDE_BY_SIDE = 2048
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -128,8 +128,9 @@ def train(windows: list[bytes], labels: np.ndarray, classes: int, rounds: int =
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _run(p: dict, d: str, x: np.ndarray, mask: np.ndarray, states: np.ndarray) -> None:
-    """As ``_forward``, without what only training needs; x is (steps, windows) of intp."""
+def _states(p: dict, d: str, x: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(step, state) as in ``_forward``, without what only training needs; x is (steps, windows), and the state is valid
+    until the next one."""
     table, u_all = p[f"{d}x"], p[f"{d}u"]
     n = x.shape[1]
     h = np.zeros((HIDDEN, n), np.float32)
@@ -150,19 +151,20 @@ def _run(p: dict, d: str, x: np.ndarray, mask: np.ndarray, states: np.ndarray) -
         h += m
         if mask is not None:
             h *= mask[t]
-        states[t] = h
+        yield t, h
 
 
 def byte_probabilities(p: dict, x: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(step, probabilities (classes, windows)) for every step of windows x (windows, steps); 0 beyond a window's size."""
     steps = x.shape[1]
     mask = (np.arange(steps)[:, None] < size).astype(np.float32) if size.min() < steps else None
-    x = x.T.astype(np.intp)
-    back, fore = (np.empty((steps, HIDDEN, x.shape[1]), np.float32) for _ in "bf")
-    _run(p, "b", x, mask, back)
-    _run(p, "f", x, mask, fore)
-    for t in range(steps):
-        prob = p["out"][:, :HIDDEN] @ fore[t]
+    x = np.ascontiguousarray(x.T)
+    # only the way back is kept whole
+    back = np.empty((steps, HIDDEN, x.shape[1]), np.float32)
+    for t, h in _states(p, "b", x, mask):
+        back[t] = h
+    for t, h in _states(p, "f", x, mask):
+        prob = p["out"][:, :HIDDEN] @ h
         prob += p["out"][:, HIDDEN:] @ back[t]
         prob += p["bias"]
         np.clip(prob, -30, 30, out=prob)
