@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from ._store import checkpoint
 from .langid import held_out
 
 #: Bound of the classifier's training sample, in labelled rows, and of its features.
@@ -209,7 +210,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[str, float], float]:
     """The character model, the weight of each feature, and the intercept."""
     model = trigram_model(trigram_counts(docs))
-    train = labelled(docs, labels, rows)
+    train = checkpoint(labelled(docs, labels, rows))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(model, lambda w: frozenset(features_of(w)))
