@@ -37,8 +37,8 @@ def components(edges: DataFrame, rows: int = 100_000) -> DataFrame:
     First each partition, of about ``rows`` edges, turns its own into stars; several partitions then exchange theirs.
 
     Every step hooks each node's larger neighbours (then its smaller ones) to its smallest neighbour, so that edges
-    turn into stars in a logarithmic number of steps. Minima are pre-aggregated, and the joins back are plain
-    equi-joins whose hot keys adaptive execution can split; nothing but two numbers a step reaches the driver.
+    turn into stars in a logarithmic number of steps. Minima are pre-aggregated and kept in checkpoints; so the joins back
+    are plain equi-joins whose hot keys adaptive execution can split. Nothing but two numbers a step reaches the driver.
     """
     now = compact(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), rows)
     alone = now.rdd.getNumPartitions() == 1
@@ -46,9 +46,9 @@ def components(edges: DataFrame, rows: int = 100_000) -> DataFrame:
     state = None
     while not alone:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = checkpoint(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         hooked = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = checkpoint(hooked.union(low.select("a", F.col("m").alias("b"))).distinct())
         size = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 31)), F.lit(0))).first()

@@ -178,6 +178,13 @@ def join_any(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     return many.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def join_few(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``many`` with the row of ``one`` that has its ``key``; ``one`` is broadcast if it is small, so that no key's rows
+    meet in one task."""
+    one = compact(one)
+    return many.join(F.broadcast(one), key) if one.count() <= BROADCAST_IDS else join_any(many, one, key)
+
+
 def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` (id, text) whose id is among ``ids``."""
     ids = ids.select(F.col("id").alias("__id"))
@@ -276,11 +283,11 @@ def around_hubs(stars: DataFrame, group: DataFrame, cut: DataFrame, often: DataF
     own = group.select(F.col("id").alias("b"), F.col("component").alias("group"))
     near = stars.where(~F.col("linked") & (F.col("distance") <= 2 * slack))
     hubs = near.select("a").distinct()
-    attached = stars.where(F.col("distance") <= 3 * slack).join(hubs, "a", "left_semi").join(own, "b", "left").join(body.select(F.col("id").alias("b"), "common"), "b")
+    attached = join_few(stars.where(F.col("distance") <= 3 * slack), hubs, "a").join(own, "b", "left").join(body.select(F.col("id").alias("b"), "common"), "b")
     attached = compact(attached.select("a", "b", F.col("size_b").alias("size"), "size_a", "inter", "distance", "linked", "common", F.coalesce("group", "b").alias("group")))
     # a hub all of whose documents are one group has no work left
     mixed = attached.groupBy("a").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.min("size").alias("least_size")).where("g0 <> g1").select("a", "least_size")
-    attached = attached.join(mixed, "a")
+    attached = join_few(attached, mixed, "a")
     smallest = F.greatest(F.col("least_size"), _least(F.col("size"), num, den))
     x = attached.where(~F.col("linked") & (F.col("distance") <= 2 * slack) & may_link(F.col("common"), F.col("size"), F.col("least_size"), num, den))
     x = x.withColumn("need", F.greatest(F.lit(1), F.ceil(num * (F.col("size") + smallest) / (num + den)) - F.col("inter")))
@@ -308,7 +315,7 @@ def link_counts(group: DataFrame, classes: DataFrame, cut: DataFrame, num: int,
     own = cut.where("fragment = 0").select("id", "size").join(group.select("id", "component"), "id").join(classes.select(F.col("rep").alias("id"), "copies"), "id")
     own = compact(own)
     per = own.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_GRAMS)).alias("blocks"))
-    own = compact(own.join(per, "component").select("id", "component", "copies", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
+    own = compact(join_few(own, per, "component").select("id", "component", "copies", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")))
     few = own.count() <= BROADCAST_IDS // 4
     placed = cut.join(F.broadcast(own), "id") if few else pick(cut, own).join(own, "id")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
