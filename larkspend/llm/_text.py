@@ -64,9 +64,10 @@ def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         low = high
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of each word, and the number of words before each text (n + 1 values)."""
-    inside = ~SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of each word, and the number of words before each text (n + 1 values). ``space`` says which
+    bytes end a word."""
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before, after = np.empty_like(inside), np.empty_like(inside)

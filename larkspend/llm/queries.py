@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mixing, ngram_join, packing, pii, quality, spans, topk, toxicity
+from . import langid, lexical, lm, mixing, ngram_join, packing, pii, quality, simhash, spans, spelling, topk, toxicity
 
 
 def _documents(operator, *more):
@@ -20,10 +20,14 @@ QUERIES = {
     "op8_quality": _documents(quality.op8_quality),
     "op9_spans": _documents(spans.op9_spans),
     "op10_toxicity": lambda spark, sf_dir: toxicity.op10_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op11_simhash": _documents(simhash.op11_simhash),
+    "op12_lexical": lambda spark, sf_dir: lexical.op12_lexical(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+    "op13_spelling": _documents(spelling.op13_spelling),
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_topk": topk.OP5_SQL,
     "op8_quality": quality.OP8_SQL,
+    "op12_lexical": lexical.OP12_SQL,
 }
