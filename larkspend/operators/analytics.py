@@ -18,8 +18,8 @@ def _counts(rows: DataFrame) -> DataFrame:
     return per.withColumn("window_end", F.col("window_start") + WINDOW_MS).withColumn("decline_rate", ratio(F.col("declined"), F.col("total")))
 
 
-def in_grace(decisions: DataFrame, order: str = "seq", bucket_rows: int = 100_000, feed: DataFrame | None = None) -> DataFrame:
-    """Rows that arrive before their window closes: stream time is the running maximum of event time in arrival order.
+def arrival_clock(decisions: DataFrame, order: str = "seq", bucket_rows: int = 100_000, feed: DataFrame | None = None) -> DataFrame:
+    """Adds ``now``, the stream's time at each row's arrival: the running maximum of event time in arrival order.
 
     ``order`` is a long. ``feed`` (order, t of the same rows) gives the clock where decisions are dear to make twice. The
     maximum runs inside ranges of it and, over one row a range, before them, so no task sees
@@ -31,8 +31,13 @@ def in_grace(decisions: DataFrame, order: str = "seq", bucket_rows: int = 100_00
     earlier = clock.groupBy("__bucket").agg(F.max("t").alias("__top")).withColumn("__before", F.max("__top").over(before)).drop("__top")
     inside = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     now = F.greatest(F.max("t").over(inside), F.col("__before"))
+    return rows.join(earlier, "__bucket").withColumn("now", now).drop("__before", "__bucket")
+
+
+def in_grace(decisions: DataFrame, order: str = "seq", bucket_rows: int = 100_000, feed: DataFrame | None = None) -> DataFrame:
+    """Rows that arrive before their window closes (``arrival_clock``)."""
     end = (F.floor(F.col("t") / WINDOW_MS) + 1) * WINDOW_MS
-    return rows.join(earlier, "__bucket").withColumn("__now", now).where(end + GRACE_MS > F.col("__now")).drop("__now", "__before", "__bucket")
+    return arrival_clock(decisions, order, bucket_rows, feed).where(end + GRACE_MS > F.col("now")).drop("now")
 
 
 def final_windows(decisions: DataFrame, ordered: bool = True, order: str = "seq", feed: DataFrame | None = None) -> DataFrame:

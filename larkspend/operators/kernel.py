@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
 from .. import policy as P
+from .attempts import Attempts
 
 
 class Row(NamedTuple):
-    """An enriched transaction. ``attempts`` is None where the card's own log has to count, for feeds whose rows come in
-    any order of time."""
+    """An enriched transaction. ``attempts`` is None where the card's own log (``attempts.Attempts``) has to count, for feeds
+    whose rows come in any order of time."""
 
     t: int | None
     amount: int | None
@@ -59,7 +60,7 @@ class Card:
     lon: float = 0.0
     seen: int | None = None
     place: str | None = None
-    log: list[tuple[int, int | None, Any]] = field(default_factory=list)
+    attempts: Attempts = field(default_factory=Attempts)
     small: Small = field(default_factory=Small)
 
 
@@ -73,17 +74,6 @@ def _money(minor: int, currency: str) -> str:
     return f"{currency} {int(minor / 100)}.{abs(minor) % 100:02d}"
 
 
-def _attempts(card: Card, row: Row) -> tuple[int, int, int]:
-    """Counts from the card's own log, which then holds this attempt; what nothing can look back to is dropped."""
-    card.log.append((row.t, row.amount, row.merchant))
-    newest = max(x[0] for x in card.log[-2:]) if len(card.log) > 1 else row.t
-    if card.log[0][0] < newest - 2 * P.ATTEMPT_TTL_MS:
-        card.log = [x for x in card.log if x[0] >= newest - P.ATTEMPT_TTL_MS or x[0] == row.t]
-    near = [x for x in card.log if row.t - P.TESTING_MS <= x[0] <= row.t]
-    small = [x[2] for x in near if x[1] is not None and x[1] < P.TESTING_BELOW_MINOR]
-    return sum(x[0] >= row.t - P.VELOCITY_MS for x in near), len(small), len(set(small))
-
-
 def step(card: Card, row: Row, policy: P.Policy = P.DEFAULT) -> tuple[str, int, list[tuple[str, int, str]]]:
     """Verdict, score and reasons of ``row``; ``card`` then is as the verdict leaves it: a declined transaction neither
     spends nor moves the card, but counts as an attempt.
@@ -105,7 +95,7 @@ def step(card: Card, row: Row, policy: P.Policy = P.DEFAULT) -> tuple[str, int,
     amount = row.amount or 0
     day, spent = None, 0
     if row.t is not None:
-        attempts, small, shops = _attempts(card, row) if row.attempts is None else (row.attempts, *card.small.add(row.t, row.amount, row.merchant))
+        attempts, small, shops = card.attempts.add(row.t, row.amount, row.merchant) if row.attempts is None else (row.attempts, *card.small.add(row.t, row.amount, row.merchant))
         if attempts > P.VELOCITY_MOST:
             hit("VELOCITY", f"{attempts} attempts in {P.VELOCITY_MS // 1000}s (max {P.VELOCITY_MOST})")
         if small >= P.TESTING_ATTEMPTS and shops >= P.TESTING_MERCHANTS:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+from .quantiles import at_ranks, nearest_rank
+
 
 def match(sent: DataFrame, decided: DataFrame) -> DataFrame:
     """txn_id, latency_ms of the first decision; null where none came. ``sent``: txn_id, sent_ms; ``decided``: txn_id,
@@ -14,8 +17,10 @@ def match(sent: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def summary(latencies: DataFrame) -> DataFrame:
-    """Counts, nearest-rank percentiles and the maximum."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by latency_ms)").cast("long")
-    return latencies.agg(
-        F.count("*").alias("sent"), F.count("latency_ms").alias("received"), (F.count("*") - F.count("latency_ms")).alias("missing"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.max("latency_ms").alias("max")
-    )
+    """Counts, exact nearest-rank percentiles and the maximum; latencies never meet in one task."""
+    latencies = kept(latencies.select(F.col("latency_ms").cast("long").alias("value")))
+    counts = kept(latencies.agg(F.count("*").alias("sent"), F.count("value").alias("received"), (F.count("*") - F.count("value")).alias("missing"), F.max("value").alias("max")))
+    wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    ranks = counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), nearest_rank(p, "received").alias("rank")) for name, p in wanted.items()))).alias("r")).select("r.*")
+    found = at_ranks(latencies, ranks).agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in wanted))
+    return counts.crossJoin(F.broadcast(found)).select("sent", "received", "missing", *wanted, "max")

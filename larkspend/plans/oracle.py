@@ -174,3 +174,37 @@ EVERY["scalar_texts"] = f"""with r as (select event_id, cast(round(value * 100)
 select event_id, {money('c')} as money, {TOOK.format(ms='ms')} as took, case when abs(share * 100) < 1 and share <> 0 then printf('%.2f%%', cast(share * 100 as double)) else printf('%.1f%%', cast(share * 100 as double)) end as percent,
   format('{{:,}}', ms) as many, '$' || format('{{:,}}', cast(round(c / 100) as bigint)) as whole, t // 86400000 as day,
   round(case when ms - 1000 <= 0 then case when c > 0 then cast('inf' as double) else 0.0 end else (c / 100.0) / ((ms - 1000) / 3600000.0) end, 6) as kmh from r"""
+_LAST = "l as (select card_id, arg_max(coalesce(spend_day, -1), rn) as d, arg_max(coalesce(case when spend_day is not null then spent_minor end, -1), rn) as m, arg_max(coalesce(last_seen, -1), rn) as s from decisions group by card_id)"
+#: The last sweep is the last full minute before the feed's end.
+EVERY["stream_swept_state"] = DECIDED + f""", {_LAST}, w as (select (max(t) - 1) // 60000 * 60000 as now from txn)
+select card_id, case when d < now // 86400000 then -1 else d end as spend_day, case when d < now // 86400000 then -1 else m end as spent_minor, case when s < now - 60000 then -1 else s end as last_seen,
+  (select count(*) from txn x where x.card_id = l.card_id and x.t >= now - 60000) as n_attempts from l, w"""
+EVERY["stream_card_state"] = DECIDED + f""", {_LAST}, a as (select min(t) as first_attempt, count(*) as n from txn where card_id = {CARD} and t // 60000 >= ((select max(t) from txn where card_id = {CARD}) - 4200000) // 60000)
+select card_id, nullif(d, -1) as spend_day, nullif(m, -1) as spent_minor, nullif(s, -1) as last_seen, cast(n as int) as n_attempts, first_attempt from l, a where card_id = {CARD}"""
+EVERY["stream_state_changes"] = DECIDED + f", {_LAST} select cast(0 as bigint) as batch_id, 'update' as change_type, card_id, s as last_seen from l where s <> -1"
+EVERY["stream_restart"] = EVERY["decisions"]
+EVERY["stream_chained_windows"] = EVERY["stream_merchant_windows"]
+EVERY["stream_windows_late"] = EVERY["merchant_windows_late"]
+EVERY["stream_totals"] = DECIDED + f", {REASONS} select 'verdict' as kind, decision as name, count(*) as n from decisions group by decision union all select 'rule', rule, count(*) from reasons group by rule"
+EVERY["stream_profiles"] = """with c as (select cast(user_id as varchar) as card_id, max(event_id) as e, arg_max(event_type, event_id) as status from events where event_id % 3 = 0 group by user_id),
+u as (select event_id * 7 % 97 as k, max(event_id) as e, arg_max(event_type, event_id) as tier from events where event_id % 3 = 1 group by event_id * 7 % 97)
+select card_id, cast(k as varchar) as customer_id, status, c.e as daily_limit_minor, tier as risk_tier, cast(u.e % 11 as varchar) as home_country, cast(u.e % 90 as double) as home_lat, cast(u.e % 180 as double) as home_lon from c join u on c.e * 31 % 97 = k where status <> 'error' and u.e % 5 <> 0"""
+EVERY["stream_dead_letters"] = EVERY["dlq_split"]
+EVERY["decisions_by_days"] = DECIDED + " select txn_id, card_id, decision, score, cast(unknown as int) + cast(inactive as int) + cast(fast as int) + cast(testing as int) + cast(daily as int) + cast(geo > 0 as int) + cast(risky as int) + cast(tiered as int) as n_reasons, coalesce(spend_day, -1) as spend_day, case when spend_day is not null then spent_minor else -1 end as spent_minor, round(coalesce(last_lat, -999), 6) as last_lat, coalesce(last_seen, -1) as last_seen, coalesce(last_place, '?') as last_place from decisions"
+EVERY["null_guard"] = f"with {TXN}, {DIMS} select txn_id, p.card_id is not null as has_profile, m.merchant_id is not null as has_merchant from txn x left join profiles p using (card_id) left join merchants m using (merchant_id) where txn_id % 10 <> 0"
+
+
+def _percent(x: str) -> str:
+    return f"case when abs({x} * 100) < 1 and {x} <> 0 then printf('%.2f%%', cast({x} * 100 as double)) else printf('%.1f%%', cast({x} * 100 as double)) end"
+
+
+def _dollars(x: str) -> str:
+    return f"'$' || format('{{:,}}', cast(round({x} / 100) as bigint))"
+
+
+EVERY["evaluation_summary"] = BOTH + ", " + CONFUSION.format(key="", rows="both_") + f""", d as (select * from measures where point = 'declined'), f as (select * from measures where point = 'flagged')
+select period, format('{{:,}}', d.tp + d.fp + d.fn + d.tn) as transactions, format('{{:,}}', d.tp + d.fn) as frauds, {_percent('((d.tp + d.fn) / (d.tp + d.fp + d.fn + d.tn))')} as base_rate, {_dollars('d.fraud_minor')} as fraud,
+  {_percent('d.r')} as declined_recall, {_percent('d.p')} as declined_precision, {_dollars('d.caught_minor')} as declined_caught, {_percent('f.r')} as flagged_recall, {_percent('f.p')} as flagged_precision, {_dollars('f.caught_minor')} as flagged_caught from d join f using (period)"""
+EVERY["long_messages"] = "select event_id as src_offset, case when length(w) > 1000 then substr(w, 1, 1000) || '...' else w end as message from (select event_id, 'not a record of the schema; caused by: {' || repeat('x', event_id % 1500) as w from events)"
+EVERY["symbols"] = "select event_id, case event_type when 'click' then 'BLOCKED' when 'view' then 'EXPIRED' else 'ACTIVE' end as status, 'LOW' as risk_tier from events"
+EVERY["schema_evolution_files"] = EVERY["schema_evolution"]

@@ -6,6 +6,7 @@ Outputs are flat, doubles are rounded to six digits and times are epoch millisec
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,10 +162,13 @@ def card_risk_view(spark, sf_dir):
 
 
 def card_lookup(spark, sf_dir):
-    """One card by id; the id reaches every side before anything is joined."""
+    """One card by id: its transactions alone are joined and folded."""
     txns = _txns(spark, sf_dir)
     now = txns.agg(F.max("t")).first()[0]
-    return views.card_risk(_profiles(txns), decide.final_state(_decisions(spark, sf_dir).where(F.col("card_id") == CARD)), txns.select("card_id", "t"), now, CARD).select("card_id", "spent_today", "remaining", "last_txn", "last_decision", F.array_join("last_rules", ",").alias("last_rules"))
+    own = txns.where(F.col("card_id") == CARD)
+    profiles = _profiles(own)
+    state = decide.final_state(decide.decide(enrich.enrich(own, profiles, demo.merchants(own)), evaluated_at_ms=NOW_MS))
+    return views.card_risk(profiles, state, own.select("card_id", "t"), now, CARD).select("card_id", "spent_today", "remaining", "last_txn", "last_decision", F.array_join("last_rules", ",").alias("last_rules"))
 
 
 def merchant_lookup(spark, sf_dir):
@@ -192,20 +196,16 @@ def feed_tail(spark, sf_dir):
 _RATES = ("precision", "recall", "false_positive_rate", "base_rate", "money_stopped", "f1")
 
 
-def _both(spark, sf_dir):
-    return evaluation.by_period(_judged(spark, sf_dir))
-
-
 def confusion(spark, sf_dir):
-    return _round(evaluation.confusion(_both(spark, sf_dir)), *_RATES)
+    return _round(evaluation.confusion(_judged(spark, sf_dir)), *_RATES)
 
 
 def rule_stats(spark, sf_dir):
-    return _round(evaluation.rule_stats(_both(spark, sf_dir)), "precision", "lift", "fraud_share")
+    return _round(evaluation.rule_stats(_judged(spark, sf_dir)), "precision", "lift", "fraud_share")
 
 
 def card_episodes(spark, sf_dir):
-    return evaluation.episodes(_both(spark, sf_dir), "t", "txn_id")
+    return evaluation.episodes(_judged(spark, sf_dir), "t", "txn_id")
 
 
 def fraud_catch_summary(spark, sf_dir):
@@ -213,15 +213,15 @@ def fraud_catch_summary(spark, sf_dir):
 
 
 def dataset_summary(spark, sf_dir):
-    return _round(evaluation.dataset_summary(_both(spark, sf_dir)), "base_rate")
+    return _round(evaluation.dataset_summary(_judged(spark, sf_dir)), "base_rate")
 
 
 def verdict_distribution(spark, sf_dir):
-    return evaluation.verdict_distribution(_both(spark, sf_dir))
+    return evaluation.verdict_distribution(_judged(spark, sf_dir))
 
 
 def policy_comparison(spark, sf_dir):
-    rows = evaluation.by_period(_judged(spark, sf_dir, {"default": DEFAULT, "original": ORIGINAL}))
+    rows = _judged(spark, sf_dir, {"default": DEFAULT, "original": ORIGINAL})
     return _round(evaluation.compare_policies(evaluation.confusion(rows, "policy"), "original"), "precision", "recall", "fewer_wrong_declines")
 
 
@@ -319,24 +319,40 @@ def scalar_texts(spark, sf_dir):
     return rows.select("event_id", *(v.alias(k) for k, v in (texts | numbers).items()))
 
 
-def _stream(spark, sf_dir, sink: str) -> str:
+@contextmanager
+def _state_store(spark):
+    """What stateful steps need of the session; its own choice is set back."""
+    from ..streaming.decisions import SETTINGS
+
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _run(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _live(spark, sf_dir, folder: str):
+    """The feed as files, as a stream finds them, enriched."""
+    txns = _txns(spark, sf_dir)
+    txns.drop("source_day").write.parquet(f"{folder}/feed")
+    return enrich.enrich(spark.readStream.schema(txns.drop("source_day").schema).parquet(f"{folder}/feed"), _profiles(txns), demo.merchants(txns))
+
+
+def _stream(spark, sf_dir, sink: str, **how) -> str:
     """Decisions of the whole feed by the stateful stream, as Parquet in the shared folder."""
     from ..streaming import decisions as stream
 
-    txns = _txns(spark, sf_dir)
     folder = _shared_folder(spark)
-    # the feed as files, as a stream finds them
-    txns.drop("source_day").write.parquet(f"{folder}/feed")
-    profiles, shops = _profiles(txns), demo.merchants(txns)
-    live = spark.readStream.schema(txns.drop("source_day").schema).parquet(f"{folder}/feed")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, stream.STATE_STORE)
-    try:
-        made = stream.decide_stream(enrich.enrich(live, profiles, shops))
-        made.writeStream.format("parquet").option("path", f"{folder}/{sink}").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    with _state_store(spark):
+        made = stream.decide_stream(_live(spark, sf_dir, folder), **how)
+        _run(made.writeStream.format("parquet").option("path", f"{folder}/{sink}").option("checkpointLocation", f"{folder}/checkpoint"))
     return f"{folder}/{sink}"
 
 
@@ -361,7 +377,7 @@ def stream_enriched(spark, sf_dir):
     txns.write.parquet(f"{folder}/feed")
     live = spark.readStream.schema(txns.schema).parquet(f"{folder}/feed")
     stream.enrich_stream(live, lambda: _profiles(txns), lambda: demo.merchants(txns), f"{folder}/enriched", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return _flat(spark.read.parquet(f"{folder}/enriched/batch=*"))
+    return _flat(spark.read.parquet(f"{folder}/enriched/feed"))
 
 
 def stream_live_windows(spark, sf_dir):
@@ -378,9 +394,176 @@ def stream_live_state(spark, sf_dir):
     from ..streaming import decisions as stream
 
     path = _stream(spark, sf_dir, "decisions")
-    state = stream.live_state(spark, f"{path.rpartition('/')[0]}/checkpoint")
-    v = lambda c: F.coalesce(F.col(f"value.{c}"), F.lit(-1))
-    return state.select(F.col("key.card_id").alias("card_id"), v("day").alias("spend_day"), F.when(F.col("value.day").isNotNull(), F.col("value.spent")).otherwise(-1).alias("spent_minor"), v("seen").alias("last_seen"))
+    return _state_rows(spark, stream, f"{path.rpartition('/')[0]}/checkpoint").drop("n_attempts")
+
+
+def _state_rows(spark, stream, checkpoint: str) -> DataFrame:
+    """Every card with what is known of it, -1 for what isn't."""
+    card = F.col("key.card_id").alias("card_id")
+    part = {v: stream.live_state(spark, checkpoint, v) for v in stream.VARIABLES}
+    rows = part["newest"].select(card)
+    rows = rows.join(part["spend"].select(card, F.col("value.day").alias("spend_day"), F.col("value.spent").alias("spent_minor")), "card_id", "left")
+    rows = rows.join(part["location"].select(card, F.col("value.seen").alias("last_seen")), "card_id", "left")
+    rows = rows.join(part["attempts"].groupBy(card).agg(F.sum(F.size("user_map_value.t")).alias("n_attempts")), "card_id", "left")
+    return rows.fillna({"spend_day": -1, "spent_minor": -1, "last_seen": -1, "n_attempts": 0})
+
+
+def stream_swept_state(spark, sf_dir):
+    """State after the sweeps of a replay, by short ages, as the feed's bursts last minutes."""
+    from ..streaming import decisions as stream
+
+    ages = stream.Ages(location_ms=60_000, spend_days=0, attempts_ms=60_000, every_ms=60_000)
+    path = _stream(spark, sf_dir, "decisions", ages=ages, clock=F.timestamp_millis("transaction.t"))
+    return _state_rows(spark, stream, f"{path.rpartition('/')[0]}/checkpoint")
+
+
+def stream_card_state(spark, sf_dir):
+    """One card's live state, its attempts too."""
+    from ..streaming import decisions as stream
+
+    path = _stream(spark, sf_dir, "decisions")
+    found = stream.card_state(spark, f"{path.rpartition('/')[0]}/checkpoint", CARD)
+    return found.select("card_id", "spend_day", "spent_minor", "last_seen", F.size("attempts").alias("n_attempts"), F.get("attempts.t", F.lit(0)).alias("first_attempt"))
+
+
+def stream_state_changes(spark, sf_dir):
+    """What the first batch changed of every card's last location."""
+    from ..streaming import decisions as stream
+
+    path = _stream(spark, sf_dir, "decisions")
+    found = stream.state_changes(spark, f"{path.rpartition('/')[0]}/checkpoint", "location", last=0)
+    return found.select(F.col("batch_id").cast("long").alias("batch_id"), "change_type", F.col("key.card_id").alias("card_id"), F.col("value.seen").alias("last_seen"))
+
+
+def stream_restart(spark, sf_dir):
+    """The decision stream ended and started again twice, as more of the feed comes; state and output go on."""
+    from ..streaming import decisions as stream
+
+    folder, txns = _shared_folder(spark), _txns(spark, sf_dir).drop("source_day")
+    profiles, shops = _profiles(txns), demo.merchants(txns)
+    a, b = txns.selectExpr("approx_percentile(t, 0.3)", "approx_percentile(t, 0.7)").first()
+    with _state_store(spark):
+        for part in (F.col("t") <= a, (F.col("t") > a) & (F.col("t") <= b), F.col("t") > b):
+            txns.where(part).write.mode("append").parquet(f"{folder}/feed")
+            live = enrich.enrich(spark.readStream.schema(txns.schema).parquet(f"{folder}/feed"), profiles, shops)
+            _run(stream.decide_stream(live).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/out").select("txn_id", "card_id", "merchant_id", "t", "amount_minor", "decision", "score", F.size("reasons").alias("n_reasons"))
+
+
+def stream_chained_windows(spark, sf_dir):
+    """Decisions and their windows in one query: the fold's output keeps its event time."""
+    from ..streaming import decisions as stream
+    from ..streaming import windows
+
+    folder = _shared_folder(spark)
+    with _state_store(spark):
+        made = stream.decide_stream(_live(spark, sf_dir, folder), clock=F.timestamp_millis("transaction.t"), event_time=True, slack="30 seconds")
+        _run(windows.final_windows(made, f"{folder}/windows", f"{folder}/checkpoint"))
+    return _round(spark.read.parquet(f"{folder}/windows"), "decline_rate")
+
+
+def stream_windows_late(spark, sf_dir):
+    """Windows with exact grace over four micro-batches that arrive in the order of ids, which isn't that of time."""
+    from ..sources.committed import CommittedFolder
+    from ..streaming import windows
+
+    folder = _shared_folder(spark)
+    made = shared.kept(_decisions(spark, sf_dir).select("txn_id", "merchant_id", "t", "decision"))
+    cuts = [None, *made.selectExpr("approx_percentile(txn_id, array(0.25, 0.5, 0.75))").first()[0], None]
+    with _state_store(spark):
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = made.where(F.lit(True) if low is None else F.col("txn_id") > low).where(F.lit(True) if high is None else F.col("txn_id") <= high)
+            part.write.mode("append").parquet(f"{folder}/decisions")
+            live = spark.readStream.schema(made.schema).parquet(f"{folder}/decisions")
+            _run(windows.clocked(live, f"{folder}/clocked", f"{folder}/checkpoint-clock", "txn_id"))
+            timed = CommittedFolder(spark, f"{folder}/clocked")
+            done = windows.exact_windows(timed.stream(timed.read().schema))
+            _run(done.writeStream.format("parquet").option("path", f"{folder}/windows").option("checkpointLocation", f"{folder}/checkpoint-windows"))
+    return _round(spark.read.parquet(f"{folder}/windows"), "decline_rate")
+
+
+def stream_totals(spark, sf_dir):
+    """Live totals by verdict and by rule."""
+    from ..streaming import windows
+
+    path = _stream(spark, sf_dir, "decisions")
+    made = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    _run(windows.totals(made, f"{path}-totals", f"{path}-totals-checkpoint"))
+    return windows.latest_totals(spark, f"{path}-totals")
+
+
+def stream_profiles(spark, sf_dir):
+    """Profiles in force after updates, moves and deletes of cards and customers in three rounds of changes."""
+    from ..streaming import profiles as stream
+
+    folder, i, u = _shared_folder(spark), F.col("event_id"), F.col("user_id")
+    raw, text = demo.events(spark, sf_dir), lambda c: c.cast("string")
+    cards = raw.where(i % 3 == 0).select(text(u).alias("card_id"), i.alias("seq"), (F.col("event_type") != "error").alias("live"), text(i * 31 % 97).alias("customer_id"), F.col("event_type").alias("status"), i.alias("daily_limit_minor"), F.lit("EUR").alias("currency"))
+    customers = raw.where(i % 3 == 1).select(text(i * 7 % 97).alias("customer_id"), i.alias("seq"), (i % 5 != 0).alias("live"), F.col("event_type").alias("risk_tier"), text(i % 11).alias("home_country"), (i % 90).cast("double").alias("home_lat"), (i % 180).cast("double").alias("home_lon"))
+    a, b = raw.selectExpr("approx_percentile(event_id, array(0.4, 0.7))").first()[0]
+    with _state_store(spark):
+        for part in (F.col("seq") <= a, (F.col("seq") > a) & (F.col("seq") <= b), F.col("seq") > b):
+            live = []
+            for name, rows in (("cards", cards), ("customers", customers)):
+                rows.where(part).write.mode("append").parquet(f"{folder}/{name}")
+                live.append(spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}"))
+            _run(stream.profile_changes(*live).writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint"))
+    return stream.current(spark.read.parquet(f"{folder}/changes")).drop("currency")
+
+
+def stream_dead_letters(spark, sf_dir):
+    """Good and bad records of a stream of bytes, each set aside once."""
+    folder, records = _shared_folder(spark), _records(spark, sf_dir)
+    records.write.parquet(f"{folder}/records")
+    _run(quarantine.split_stream(spark.readStream.schema(records.schema).parquet(f"{folder}/records"), TRANSACTION, f"{folder}/split", f"{folder}/checkpoint"))
+    good, bad = (spark.read.parquet(f"{folder}/split/{side}/feed") for side in ("good", "bad"))
+    return good.select("src_partition", "src_offset", F.lit("good").alias("outcome")).unionByName(bad.select("src_partition", "src_offset", F.col("exception_class").alias("outcome")))
+
+
+def decisions_by_days(spark, sf_dir):
+    """All cards above a number of transactions cut by days, as very long ones are."""
+    txns = _txns(spark, sf_dir)
+    made = decide.decide(_enriched(spark, sf_dir), evaluated_at_ms=NOW_MS, hot=decide.hot_cards(txns, 300))
+    made = made.select("txn_id", "card_id", "decision", "score", F.size("reasons").alias("n_reasons"), "spend_day", "spent_minor", F.round("last_lat", 6).alias("last_lat"), "last_seen", "last_place")
+    return made.fillna({"spend_day": -1, "spent_minor": -1, "last_lat": -999.0, "last_seen": -1, "last_place": "?"})
+
+
+def null_guard(spark, sf_dir):
+    """Records without a transaction get no decision."""
+    txns = _txns(spark, sf_dir)
+    with_nulls = txns.withColumn("transaction_id", F.when(F.col("transaction_id") % 10 != 0, F.col("transaction_id")))
+    return _flat(enrich.enrich(with_nulls, _profiles(txns), demo.merchants(txns))).select("txn_id", "has_profile", "has_merchant")
+
+
+def evaluation_summary(spark, sf_dir):
+    """The report's headline texts."""
+    made = evaluation.report(_judged(spark, sf_dir), "t", "txn_id")
+    return evaluation.summary(made["dataset"], made["declined"], made["flagged"])
+
+
+def long_messages(spark, sf_dir):
+    """Dead letters' messages on both sides of their longest length."""
+    i = F.col("event_id")
+    values = demo.events(spark, sf_dir).select(i, F.concat(F.lit("{"), F.repeat(F.lit("x"), (i % 1500).cast("int"))).cast("binary").alias("value"))
+    records = values.select(F.lit(None).cast("binary").alias("key"), "value", F.lit("t").alias("src_topic"), F.lit(0).alias("src_partition"), i.alias("src_offset"), F.lit(None).cast("timestamp").alias("src_timestamp"))
+    return quarantine.split(records, TRANSACTION)[1].select("src_offset", "message")
+
+
+def symbols(spark, sf_dir):
+    """Symbols of an enumeration, and its default for unknown ones and none."""
+    t = F.col("event_type")
+    rows = demo.events(spark, sf_dir).select("event_id", F.when(t == "click", "BLOCKED").when(t == "view", "EXPIRED").when(t == "error", "LOST").alias("status"), F.upper(t).alias("risk_tier"))
+    return rows.select("event_id", scalars.symbol("status").alias("status"), scalars.symbol("risk_tier").alias("risk_tier"))
+
+
+def schema_evolution_files(spark, sf_dir):
+    """Files of an old, a new and a later version in one folder, read as the current schema."""
+    folder, i = _shared_folder(spark), F.col("event_id")
+    raw = demo.events(spark, sf_dir).select(i.cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("card_id"), F.lit("m").alias("merchant_id"), F.lit(1).cast("long").alias("amount_minor"), F.col("event_type").alias("device_fingerprint"), F.when(i % 3 == 0, "USD").alias("currency"), i)
+    raw.where(i % 2 == 0).drop("device_fingerprint", "currency", "event_id").write.mode("append").parquet(f"{folder}/rows")
+    raw.where(i % 4 == 1).drop("event_id").write.mode("append").parquet(f"{folder}/rows")
+    raw.where(i % 4 == 3).drop("event_id").withColumn("not_known_yet", F.lit(1)).write.mode("append").parquet(f"{folder}/rows")
+    return tables.read_versions(spark, f"{folder}/rows", TRANSACTION).select("transaction_id", "device_fingerprint", "currency")
 
 
 QUERIES = {
@@ -389,7 +572,8 @@ QUERIES = {
         txn_event_time, latest_reference, card_profiles, enriched, asof_reference, nearby_merchants, velocity_attempts, card_testing, static_rules, decisions, decision_reasons, decisions_with_gaps, decision_state, state_after_sweep,
         merchant_windows_final, merchant_windows_late, merchant_windows_latest12, card_risk_view, card_lookup, merchant_lookup, decision_totals, rule_totals, feed_snapshot, feed_tail, confusion, rule_stats, card_episodes, fraud_catch_summary,
         dataset_summary, verdict_distribution, policy_comparison, latency_summary, replay_shift, first_n, dlq_split, dead_letters, dead_letter_totals, schema_evolution, csv_ingest, csv_first_n, csv_period, csv_profiles, csv_merchants, scalar_texts,
-        stream_decisions, stream_merchant_windows, stream_enriched, stream_live_windows, stream_live_state,
+        stream_decisions, stream_merchant_windows, stream_enriched, stream_live_windows, stream_live_state, stream_swept_state, stream_card_state, stream_state_changes, stream_restart, stream_chained_windows, stream_windows_late, stream_totals,
+        stream_profiles, stream_dead_letters, decisions_by_days, null_guard, evaluation_summary, long_messages, symbols, schema_evolution_files,
     )
 }
 ORACLE_SQL = {k: EVERY[k] for k in QUERIES}

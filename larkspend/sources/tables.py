@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,6 +62,12 @@ def evolve(rows: DataFrame, schema: StructType) -> DataFrame:
     return out
 
 
+def read_versions(spark: SparkSession, paths, schema: StructType) -> DataFrame:
+    """Parquet files of mixed versions read as ``schema``: the reader's schema is given, so a column that a file lacks is
+    null and one that the schema lacks is never read; then defaults are filled in as ``evolve`` does."""
+    return evolve(spark.read.schema(schema).parquet(*([paths] if isinstance(paths, str) else paths)), schema)
+
+
 def replay(rows: DataFrame, now_ms: int, t: str = "t", order: str = "seq") -> DataFrame:
     """All times moved by one offset, so that the first row in feed order lands at ``now_ms``."""
     first = rows.agg(F.min_by(t, order).alias("__first"))

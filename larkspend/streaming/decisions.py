@@ -3,19 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType, TimestampType
 
+from ..operators.attempts import BUCKET_MS
 from ..operators.decide import flatten
 from ..operators.kernel import Card, Row, step
-from ..policy import DEFAULT, Policy
+from ..policy import ATTEMPT_TTL_MS, DAY_MS, DEFAULT, LOCATION_TTL_MS, TESTING_MS, Policy
 from ..schemas import REASON
 
-_CARD = "day long, spent long, lat double, lon double, seen long, place string"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a session that runs these streams needs: state on disk, of which a batch uploads its changes alone. ``state_changes``
+#: reads these.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+#: State variables of a card, as ``live_state`` names them.
+VARIABLES = ("location", "spend", "attempts", "newest")
+_ROWS = "t array<long>, amount array<long>, merchant array<string>"
+#: Decisions that are handed on at once.
+OUT_ROWS = 10_000
+
+
+@dataclass(frozen=True)
+class Ages:
+    """How long what is known of a card is kept, and how often that is looked at. Spend goes when its day is further back
+    than ``spend_days`` before the current one; all ages must be multiples of a minute where they bound attempts."""
+
+    location_ms: int = LOCATION_TTL_MS
+    spend_days: int = 1
+    attempts_ms: int = ATTEMPT_TTL_MS
+    every_ms: int = 3_600_000
+
+    def due(self, seen: int | None, day: int | None, oldest: int | None) -> int | None:
+        """The first sweep that finds any of these too old: last location, day of spend, start of the oldest bucket of
+        attempts."""
+        ends = [x for x in (None if seen is None else seen + self.location_ms, None if day is None else (day + self.spend_days + 1) * DAY_MS - 1, None if oldest is None else oldest + BUCKET_MS - 1 + self.attempts_ms) if x is not None]
+        return (min(ends) // self.every_ms + 1) * self.every_ms if ends else None
 
 
 def _order(value):
@@ -23,49 +50,170 @@ def _order(value):
     return tuple(value.values()) if isinstance(value, dict) else tuple(value) if isinstance(value, tuple) else value
 
 
+def _plain(column: pd.Series) -> list:
+    """Values with None for what is missing."""
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
 def _whole(value):
     return None if value is None else int(value)
 
 
 class Decider(StatefulProcessor):
-    """Folds a card's new rows, in ``seq`` order inside a batch. ``t`` of late rows is theirs: nothing is filtered by
-    watermark, every transaction gets a decision. With ``ttl_ms``, what a card hasn't used for so long is dropped."""
+    """Folds a card's new rows, in ``seq`` order inside a batch. ``t`` of late rows is theirs: nothing is filtered by it,
+    every transaction gets a decision.
+
+    Location, spend and attempts are state variables of their own. Attempts are a map by minute, of which a batch reads the
+    minutes that its rows look back to and writes those that it adds to, whatever the length of the log. With ``ages``, one
+    timer a card stands at the next sweep that finds something too old; it drops that, and no more.
+    """
 
-    def __init__(self, policy: Policy, names: list[str], ttl_ms: int | None = None):
-        self.policy, self.names, self.ttl_ms = policy, names, ttl_ms
+    def __init__(self, policy: Policy, names: list[str], ages: Ages | None = None, kept: str | None = None, wall: bool = False):
+        self.policy, self.names, self.ages, self.kept, self.wall = policy, names, ages, kept, wall
 
     def init(self, handle) -> None:
-        more = {} if self.ttl_ms is None else {"ttlDurationMs": self.ttl_ms}
-        self.card = handle.getValueState("card", _CARD, **more)
-        self.log = handle.getListState("log", "t long, amount long, merchant string", **more)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        kept = self.card.get() if self.card.exists() else None
-        card = Card() if kept is None else Card(kept[0], kept[1] or 0, kept[2], kept[3], kept[4], kept[5])
-        card.log = [(r[0], r[1], r[2]) for r in self.log.get()] if self.log.exists() else []
-        feed = pd.concat(list(rows))
-        records = feed.astype(object).where(feed.notna(), None).to_dict("records")
-        out = []
-        for r in sorted(records, key=lambda r: (_order(r["seq"]), r["txn_id"])):
-            verdict, score, hits = step(card, Row(_whole(r["t"]), _whole(r["amount_minor"]), str(r["merchant_id"]), r["currency"], r["lat"], r["lon"], bool(r["has_profile"]), r["status"], _whole(r["daily_limit"]), r["tier"], bool(r["known"]), r["country"], r["category"]), self.policy)
-            out.append([r["txn_id"], key[0], r["merchant_id"], r["t"], r["amount_minor"], r["labelled_fraud"], verdict, score, [{"rule": a, "score": b, "detail": c} for a, b, c in hits]])
-        self.card.update((card.day, card.spent, card.lat, card.lon, card.seen, card.place))
-        self.log.put([(int(t), _whole(a), str(m)) for t, a, m in card.log])
-        yield pd.DataFrame(out, columns=self.names)
+        self.handle = handle
+        self.spend = handle.getValueState("spend", "day long, spent long")
+        self.location = handle.getValueState("location", "lat double, lon double, seen long, place string")
+        self.newest = handle.getValueState("newest", "t long")
+        self.attempts = handle.getMapState("attempts", "minute long", _ROWS)
+
+    def _load(self, times: list[int]) -> Card:
+        card = Card()
+        if self.spend.exists():
+            card.day, card.spent = self.spend.get()
+        if self.location.exists():
+            card.lat, card.lon, card.seen, card.place = self.location.get()
+        if self.newest.exists():
+            card.attempts.newest = self.newest.get()[0]
+        wanted = {b for t in times if not card.attempts.late(t) for b in range((t - TESTING_MS) // BUCKET_MS, t // BUCKET_MS + 1)}
+        for b in sorted(wanted):
+            if self.attempts.containsKey((b,)):
+                for row in zip(*self.attempts.getValue((b,)), strict=True):
+                    card.attempts.log(*row)
+        return card
+
+    def _keep(self, card: Card, more: dict[int, list]) -> None:
+        if card.day is not None:
+            self.spend.update((card.day, card.spent))
+        if card.seen is not None:
+            self.location.update((card.lat, card.lon, card.seen, card.place))
+        before = self.newest.get()[0] if self.newest.exists() else None
+        if card.attempts.newest is not None and card.attempts.newest != before:
+            self.newest.update((card.attempts.newest,))
+            if self.ages is None:
+                # no sweep comes: what no row can look back to goes here
+                low = (card.attempts.newest - ATTEMPT_TTL_MS - TESTING_MS) // BUCKET_MS
+                more = {b: rows for b, rows in more.items() if b >= low}
+                for k in [k[0] for k in self.attempts.keys() if k[0] < low] if before is not None else ():  # noqa: SIM118
+                    self.attempts.removeKey((k,))
+        for b, rows in more.items():
+            old = self.attempts.getValue((b,)) if self.attempts.containsKey((b,)) else ([], [], [])
+            self.attempts.updateValue((b,), tuple([*o, *n] for o, n in zip(old, zip(*rows, strict=True), strict=True)))
+
+    def _set_timer(self) -> None:
+        """One timer a card, at its next due sweep."""
+        seen = self.location.get()[2] if self.location.exists() else None
+        day = self.spend.get()[0] if self.spend.exists() else None
+        oldest = min((k[0] * BUCKET_MS for k in self.attempts.keys()), default=None)  # noqa: SIM118
+        due = self.ages.due(seen, day, oldest)
+        for at in list(self.handle.listTimers()):
+            if at != due:
+                self.handle.deleteTimer(at)
+        if due is not None:
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        feed = pd.concat(list(rows), ignore_index=True)
+        seq = [_order(x) for x in feed["seq"].tolist()]
+        ids = feed["txn_id"].tolist()
+        feed = feed.iloc[sorted(range(len(ids)), key=lambda i: (seq[i], ids[i]))]
+        fields = ("t", "amount_minor", "merchant_id", "currency", "lat", "lon", "has_profile", "status", "daily_limit", "tier", "known", "country", "category")
+        columns = [_plain(feed[c]) for c in fields]
+        card = self._load([int(t) for t in columns[0] if t is not None])
+        made, more = [], {}
+        for t, amount, merchant, currency, lat, lon, has, status, limit, tier, known, country, category in zip(*columns, strict=True):
+            t, amount, merchant = _whole(t), _whole(amount), str(merchant)
+            if t is not None and not card.attempts.late(t):
+                more.setdefault(t // BUCKET_MS, []).append((t, amount, merchant))
+            verdict, score, hits = step(card, Row(t, amount, merchant, currency, lat, lon, bool(has), status, _whole(limit), tier, bool(known), country, category), self.policy)
+            made.append((verdict, score, [{"rule": a, "score": b, "detail": c} for a, b, c in hits]))
+        self._keep(card, more)
+        if self.ages is not None:
+            self._set_timer()
+        out = feed[["txn_id", "merchant_id", "t", "amount_minor", "labelled_fraud", *([self.kept] if self.kept else [])]].reset_index(drop=True)
+        out.insert(1, "card_id", key[0])
+        for name, values in zip(("decision", "score", "reasons"), zip(*made, strict=True), strict=True):
+            out[name] = list(values)
+        for low in range(0, len(out), OUT_ROWS):
+            yield out.iloc[low : low + OUT_ROWS][self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A sweep, of this card alone: the last one that is due by now, which finds all that those before it would."""
+        now = timerValues.getCurrentProcessingTimeInMs() if self.wall else timerValues.getCurrentWatermarkInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), now // self.ages.every_ms * self.ages.every_ms)
+        if self.location.exists() and self.location.get()[2] < now - self.ages.location_ms:
+            self.location.clear()
+        if self.spend.exists() and self.spend.get()[0] < now // DAY_MS - self.ages.spend_days:
+            self.spend.clear()
+        for k in [k[0] for k in self.attempts.keys()]:  # noqa: SIM118
+            if (k + 1) * BUCKET_MS <= now - self.ages.attempts_ms:
+                self.attempts.removeKey((k,))
+        self._set_timer()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def decide_stream(enriched: DataFrame, policy: Policy = DEFAULT, order: str = "seq", ttl_ms: int | None = None) -> DataFrame:
-    """A streaming DataFrame of decisions (without ``evaluated_at``, which the sink knows). Time to live needs a
-    processing-time trigger; bounded replays leave it out."""
-    rows = flatten(enriched, order)
-    schema = StructType([rows.schema[c] for c in ("txn_id", "card_id", "merchant_id", "t", "amount_minor", "labelled_fraud")]).add("decision", StringType()).add("score", "integer").add("reasons", ArrayType(REASON))
-    decider = Decider(policy, schema.fieldNames(), ttl_ms)
-    return rows.groupBy("card_id").transformWithStateInPandas(decider, schema, "append", "none" if ttl_ms is None else "processingTime")
+def decide_stream(enriched: DataFrame, policy: Policy = DEFAULT, order: str = "seq", ages: Ages | None = None, clock: Column | None = None, event_time: bool = False, slack: str = "1 millisecond") -> DataFrame:
+    """A streaming DataFrame of decisions (without ``evaluated_at``, which the sink knows).
 
-
-def live_state(spark, checkpoint: str, name: str = "card", operator: int = 0) -> DataFrame:
-    """The state of a running or stopped stream as of its last batch."""
-    return spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).load(checkpoint)
+    With ``ages``, state is swept: by the wall clock, or by ``clock``, a timestamp of each row's arrival that doesn't go
+    back from one micro-batch to the next (for a replay, its own times; rows that go back are dropped, as late). By the
+    wall clock a query runs until it is stopped. With ``event_time`` decisions have that clock as ``event_time``, with a
+    watermark ``slack`` behind it, so that windows can follow in the same query.
+    """
+    if event_time and clock is None:
+        raise ValueError("event_time needs a clock")
+    rows = flatten(enriched, order)
+    names = ["txn_id", "card_id", "merchant_id", "t", "amount_minor", "labelled_fraud"]
+    schema = StructType([rows.schema[c] for c in names]).add("decision", StringType()).add("score", "integer").add("reasons", ArrayType(REASON))
+    mode, kept, more = "none", None, {}
+    if clock is not None:
+        # a row at the watermark counts as late; a millisecond less keeps rows at the newest arrival
+        rows = flatten(enriched.withColumn("__clock", clock), order, outer=("__clock",)).withColumnRenamed("__clock", "event_time").withWatermark("event_time", slack)
+        mode = "eventTime"
+        if event_time:
+            kept, schema, more = "event_time", schema.add("event_time", TimestampType()), {"eventTimeColumnName": "event_time"}
+    elif ages is not None:
+        mode = "processingTime"
+    decider = Decider(policy, schema.fieldNames(), ages, kept, mode == "processingTime")
+    return rows.groupBy("card_id").transformWithStateInPandas(decider, schema, "append", mode, **more)
+
+
+def live_state(spark: SparkSession, checkpoint: str, name: str = "spend", operator: int = 0, batch: int | None = None) -> DataFrame:
+    """One state variable (``VARIABLES``) of a running or stopped stream as of its last batch, or of ``batch``: key and value,
+    for the map of attempts user_map_key and user_map_value."""
+    reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name)
+    return (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
+
+
+def card_state(spark: SparkSession, checkpoint: str, card_id, operator: int = 0, batch: int | None = None) -> DataFrame:
+    """What a stream knows of one card: spend_day, spent_minor, last_lat, last_lon, last_seen, last_place and attempts
+    (t, amount, merchant, in order of time); no row if it knows nothing. Every variable is filtered by the key before
+    they are put together."""
+    state = {v: live_state(spark, checkpoint, v, operator, batch).where(F.col("key.card_id") == card_id) for v in VARIABLES[:3]}
+    own = F.col("key.card_id").alias("card_id")
+    spend = state["spend"].select(own, F.col("value.day").alias("spend_day"), F.col("value.spent").alias("spent_minor"))
+    place = state["location"].select(own, *(F.col(f"value.{c}").alias(f"last_{c}") for c in ("lat", "lon", "seen", "place")))
+    log = state["attempts"].select(own, F.explode(F.arrays_zip("user_map_value.t", "user_map_value.amount", "user_map_value.merchant")).alias("a"))
+    log = log.groupBy("card_id").agg(F.array_sort(F.collect_list("a")).alias("attempts"))
+    return spend.join(place, "card_id", "full").join(log, "card_id", "full")
+
+
+def state_changes(spark: SparkSession, checkpoint: str, name: str = "spend", operator: int = 0, first: int = 0, last: int | None = None) -> DataFrame:
+    """What the batches from ``first`` to ``last`` changed of a state variable: batch_id, change_type (update, delete), key
+    and value."""
+    reader = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).option("readChangeFeed", True).option("changeStartBatchId", first)
+    return (reader if last is None else reader.option("changeEndBatchId", last)).load(checkpoint)
