@@ -15,8 +15,9 @@ state, so it is known at every place at once, and failure arcs are followed at a
 The automaton is as large as the corpus, so it stays distributed. Documents are dealt into groups of bounded size; a
 group sends each distinct n-gram once, with its training count, to the fragment of the key range that owns it; fragments
 add the counts up and answer each group with just what it asked for, from which the group builds the part of the
-automaton that its texts can reach. A frequent word is one key a group, wherever it occurs, so no key outweighs a
-fragment. Groups and fragments grow in number, not in size, with the corpus.
+automaton that its texts can reach. A frequent word is one key a group, wherever it occurs: its fragment gets one row of it
+from each group that has it, so that one key grows with the number of groups (one row for each 6 MB of text), while all
+other sizes of groups and fragments stay as they are.
 
 Defined results: a null or empty text is the end token alone; without training rows N = V = 0 and every base
 probability is 1; repeated rows are scored (and counted) each, and dealt to groups one by one; a null doc_id is a

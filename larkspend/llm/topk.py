@@ -12,8 +12,8 @@ The sample only places pivots: every vector is in a cell, and results are exact
 clusters (random directions), no bound can drop a cell and every pair is compared, block by block.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without a vec_id, take no part;
-vectors of different lengths are never compared; a query never meets rows of its own vec_id; other rows that repeat a
-vec_id each count; of several query rows with one vec_id each asks, and has its own ranks; equal scores go to the smaller
+vectors of different lengths are never compared; a query never meets its own row, but other rows of its vec_id; rows that
+repeat a vec_id each count; of several query rows with one vec_id each asks, and has its own ranks; equal scores go to the smaller
 vec_id; with fewer than k candidates all are returned; an empty table gives no rows; extra columns are ignored. Scores
 are exact while length * max|component|^2 stays below 2^63.
 """
@@ -94,10 +94,10 @@ def cover_tree(x: np.ndarray, points: np.ndarray, centre: int) -> Node:
 class Search:
     """Best k of a block of data for each query of a block of queries, of scores that reach the query's ``worst``."""
 
-    def __init__(self, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, worst: np.ndarray | None = None):
-        self.q, self.q_id, self.x, self.x_id, self.k = q, q_id, x, x_id, k
+    def __init__(self, q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, worst: np.ndarray, q_row: np.ndarray, x_row: np.ndarray):
+        self.q, self.q_id, self.x, self.x_id, self.k, self.q_row, self.x_row = q, q_id, x, x_id, k, q_row, x_row
         self.best: list[list[tuple[int, int]]] = [[] for _ in q_id]  # (-score, vec_id), ascending
-        self.worst = np.full(len(q_id), -np.inf) if worst is None else worst.copy()
+        self.worst = worst.copy()
         self.compared = 0
         biggest = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0))
         self.exact = float(biggest) ** 2 * q.shape[1] < 2**53
@@ -111,7 +111,7 @@ class Search:
             score = self.q[a] @ self.x[b].T
         else:
             score = self.q[a].astype(np.int64) @ self.x[b].astype(np.int64).T
-        use = (score >= self.worst[a, None]) & (self.q_id[a, None] != self.x_id[b])
+        use = (score >= self.worst[a, None]) & (self.q_row[a, None] != self.x_row[b])
         for i in np.flatnonzero(use.any(1)):
             own = np.flatnonzero(use[i])
             merged = self.best[a[i]] + list(zip((-score[i, own]).astype(np.int64).tolist(), self.x_id[b[own]].tolist(), strict=True))
@@ -182,24 +182,24 @@ _TASK = ("cell", "block", "dim", "part")
 
 def meet(data: DataFrame, visits: DataFrame, k: int) -> DataFrame:
     """q, query_id, vec_id, score of the best k of each block that a query visits, and rows without q that hold the number
-    of pairs compared. ``data``: cell, block, dim, part, vec_id, vector; ``visits``: the same, q and worst.
+    of pairs compared. ``data``: cell, block, dim, part, vec_id, row, vector; ``visits``: the same, q and worst.
 
     A partition's rows come sorted, a block's data before its queries; one block and one group of queries are held."""
     blank = {"q": F.lit(None).cast("long"), "worst": F.lit(None).cast("double")}
-    sides = [df.select(*_TASK, F.lit(side).alias("side"), "vec_id", "vector", *(F.col(c) if side else v.alias(c) for c, v in blank.items())) for side, df in enumerate((data, visits))]
+    sides = [df.select(*_TASK, F.lit(side).alias("side"), "vec_id", "row", "vector", *(F.col(c) if side else v.alias(c) for c, v in blank.items())) for side, df in enumerate((data, visits))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tree, x, x_id = None, None, [], []
+        now, tree, x, x_id, x_row = None, None, [], [], []
         asked: list[tuple] = []
 
         def answer() -> pa.RecordBatch:
-            nonlocal tree, x, x_id
+            nonlocal tree, x, x_id, x_row
             if tree is None:
-                x, x_id = np.concatenate(x), np.concatenate(x_id)
+                x, x_id, x_row = np.concatenate(x), np.concatenate(x_id), np.concatenate(x_row)
                 tree = cover_tree(x, np.arange(len(x)), 0)
-            q, q_id, number, worst = (np.concatenate(part) for part in zip(*asked, strict=True))
+            q, q_id, q_row, number, worst = (np.concatenate(part) for part in zip(*asked, strict=True))
             asked.clear()
-            s = Search(q, q_id, x, x_id, k, worst)
+            s = Search(q, q_id, x, x_id, k, worst, q_row, x_row)
             s.walk(cover_tree(q, np.arange(len(q)), 0), tree)
             rows = [(int(n), int(i), v, -m, 0) for n, i, own in zip(number, q_id, s.best, strict=True) for m, v in own] + [(None, None, None, None, s.compared)]
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in range(5)], ["q", "query_id", "vec_id", "score", "compared"])
@@ -213,15 +213,17 @@ def meet(data: DataFrame, visits: DataFrame, k: int) -> DataFrame:
                 if (key := tuple(keys[:4, low].tolist())) != now:
                     if asked:
                         yield answer()
-                    now, tree, x, x_id = key, None, [], []
+                    now, tree, x, x_id, x_row = key, None, [], [], []
                 for at in range(low, high, QUERY_BLOCK):
                     part = batch.slice(at, min(QUERY_BLOCK, high - at))
-                    vectors, ids = _matrix(part.column(6), part.num_rows), part.column(5).to_numpy(zero_copy_only=False)
+                    vectors = _matrix(part.column(7), part.num_rows)
+                    ids, rows = (part.column(j).to_numpy(zero_copy_only=False) for j in (5, 6))
                     if keys[4, low] == 0:
                         x.append(vectors)
                         x_id.append(ids)
+                        x_row.append(rows)
                     elif len(x):
-                        asked.append((vectors, ids, part.column(7).to_numpy(zero_copy_only=False), part.column(8).to_numpy(zero_copy_only=False)))
+                        asked.append((vectors, ids, rows, part.column(8).to_numpy(zero_copy_only=False), part.column(9).to_numpy(zero_copy_only=False)))
                         if sum(len(a[1]) for a in asked) >= QUERY_BLOCK:
                             yield answer()
         if asked:
@@ -232,8 +234,8 @@ def meet(data: DataFrame, visits: DataFrame, k: int) -> DataFrame:
 
 
 def search(data: DataFrame, queries: DataFrame, k: int = K, data_block: int = DATA_BLOCK, compared: bool = False) -> DataFrame:
-    """query_id, rank, vec_id, score from frames of vec_id and vector (array of double, integers); with ``compared``
-    instead the number of pairs whose inner product was taken."""
+    """query_id, rank, vec_id, score from frames of vec_id, row (a number of its own for each row, the same on both sides)
+    and vector (array of double, integers); with ``compared`` instead the number of pairs whose inner product was taken."""
     n_queries = queries.count()
     pivots = pivots_of(data, min(PIVOTS, max(16, data.count() // data_block)))
     centres = [p for own in pivots.values() for p in own]
@@ -252,7 +254,7 @@ def search(data: DataFrame, queries: DataFrame, k: int = K, data_block: int = DA
     asking = checkpoint(in_cells(queries.withColumn("q", F.monotonically_increasing_id()), pivots)).drop("distance")
     part = F.pmod(F.xxhash64("q"), F.lit(copies)).cast("long").alias("part")
     home = asking.where(F.col("cell").isin(*blocks)).withColumn("block", F.pmod(F.xxhash64("q", F.lit(1)), per_cell))
-    first = checkpoint(meet(placed, home.select("cell", "block", "dim", part, "vec_id", "vector", "q", F.lit(float("-inf")).alias("worst")), k))
+    first = checkpoint(meet(placed, home.select("cell", "block", "dim", part, "vec_id", "row", "vector", "q", F.lit(float("-inf")).alias("worst")), k))
     seeds = first.groupBy("q").agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("worst"))
     known = asking.join(home.select("q", F.col("block").alias("seen")), "q", "left").join(seeds, "q", "left").fillna({"worst": float("-inf"), "seen": -1})
 
@@ -271,11 +273,11 @@ def search(data: DataFrame, queries: DataFrame, k: int = K, data_block: int = DA
                 radius, top = (np.array([cells[c][x] for c in own[d].tolist()]) for x in ("radius", "top"))
                 most = largest_product(p @ q, norm, 0.0, norm, np.sqrt((p**2).sum(1)), radius, top)
                 lists.append(own[d][most >= worst[i].as_py()].tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(1, batch.num_columns)), pa.array(lists, pa.list_(pa.int64()))], ["vector", "worst", "vec_id", "q", "home", "seen", "dim", "cells"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in range(1, batch.num_columns)), pa.array(lists, pa.list_(pa.int64()))], ["vector", "worst", "vec_id", "row", "q", "home", "seen", "dim", "cells"])
 
-    going = known.select("dim", "vector", "worst", "vec_id", "q", F.col("cell").alias("home"), "seen", F.col("dim").alias("dim2")).mapInArrow(reach, "vector array<double>, worst double, vec_id long, q long, home long, seen long, dim long, cells array<long>")
+    going = known.select("dim", "vector", "worst", "vec_id", "row", "q", F.col("cell").alias("home"), "seen", F.col("dim").alias("dim2")).mapInArrow(reach, "vector array<double>, worst double, vec_id long, row long, q long, home long, seen long, dim long, cells array<long>")
     going = going.withColumn("cell", F.explode("cells")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), per_cell - 1)))
-    second = meet(placed, going.where((F.col("cell") != F.col("home")) | (F.col("block") != F.col("seen"))).select("cell", "block", "dim", part, "vec_id", "vector", "q", "worst"), k)
+    second = meet(placed, going.where((F.col("cell") != F.col("home")) | (F.col("block") != F.col("seen"))).select("cell", "block", "dim", part, "vec_id", "row", "vector", "q", "worst"), k)
     local = first.unionByName(second)
     if compared:
         return local.agg(F.sum("compared").alias("compared"))
@@ -284,14 +286,15 @@ def search(data: DataFrame, queries: DataFrame, k: int = K, data_block: int = DA
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
-    """vec_id and vector of the rows that take part: floor(SCALE * x) of each component."""
+    """vec_id, row and vector of the rows that take part: floor(SCALE * x) of each component."""
     finite: Column = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector"))
+    return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"), whole.alias("vector"))
 
 
 def op5_topk(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
-    data = quantised(embeddings)
+    # read once; a row keeps its number
+    data = checkpoint(quantised(embeddings))
     return search(data, data.where(F.col("vec_id") % every == 0), k)
 
 
@@ -300,7 +303,7 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(
     where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 n as (select *, row_number() over () as q from v),
 s as (select q.q, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) as score from n q, v c
-    where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.w) = len(c.w)),
+    where q.vec_id % 100 = 0 and c.q <> q.q and len(q.w) = len(c.w)),
 r as (select query_id, cast(row_number() over (partition by q order by score desc, vec_id) as int) as rank, vec_id, score from s)
 select * from r where rank <= 10
 """

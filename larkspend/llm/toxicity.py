@@ -44,7 +44,6 @@ COST_LEET, COST_DROP, COST_REPEAT = 1.0, 6.0, 0.5
 #: sides, and beside LONG or more letters; and that a gap between letters set apart ends one.
 COST_SIGN, COST_LONG, COST_APART = (0.5, 1.0), (1.0, 0.0), 2.0
 LONG = 3
-BEAM = 64
 
 _EDGE = re.compile(r"^[^\w$@!|+(€]+|[^\w$@!]+$")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_*]\w){2,}(?!\w)")
@@ -97,7 +96,8 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
 
 
 def decode(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[str, float]:
-    """Viterbi: the likeliest string through the lattice's positions, each a list of (string, cost), and its score."""
+    """Viterbi: the likeliest string through the lattice's positions, each a list of (string, cost), and its score. All
+    states are kept: there is one at most for each pair of character classes."""
     # pieces are linked backwards, so that long words take time in proportion to their length
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice:
@@ -111,7 +111,7 @@ def decode(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> tuple[s
                     x, y = y, k
                 if (x, y) not in new or s > new[x, y][0]:
                     new[x, y] = (s, (text, piece))
-        best = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:BEAM])
+        best = new
     ends = [(s + model[a, b, 0], t) for (a, b), (s, t) in best.items()]
     score = max(s for s, _ in ends)
     return max(_joined(t) for s, t in ends if s == score), float(score)

@@ -395,18 +395,18 @@ def test_topk(spark, monkeypatch):
         found.setdefault(m["query_id"], []).append((m["rank"], m["vec_id"], m["score"]))
     q = [(i, np.floor(1024 * np.array(e, float)).astype(np.int64)) for i, e, _ in rows if i is not None and e is not None and None not in e and np.isfinite(e).all()]
     want = {}
-    for i, v in q:
+    for a, (i, v) in enumerate(q):
         if i % 100 == 0:
-            own = sorted((-int(v @ w), j) for j, w in q if j != i and len(w) == len(v))[:10]
+            own = sorted((-int(v @ w), j) for b, (j, w) in enumerate(q) if b != a and len(w) == len(v))[:10]
             if own:
                 want[i] = [(k + 1, j, -s) for k, (s, j) in enumerate(own)]
     assert {k: sorted(v) for k, v in found.items()} == want
     assert topk.op5_topk(df.where("false")).count() == 0
-    # of rows that share a vec_id each asks, and lengths that no pivot has are searched too
+    # of rows that share a vec_id each asks and finds the others, and lengths that no pivot has are searched too
     monkeypatch.setattr(topk, "SAMPLE", 1)
     few = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [0.5, 0.25]), (2, [0.25, 0.5]), (3, [1.0]), (200, [2.0]), (300, [])], "vec_id long, embedding array<float>")
     answers = sorted(tuple(x) for x in topk.op5_topk(few).collect())
-    assert answers == [(100, 1, 1, 512 * 1024), (100, 1, 2, 512 * 1024), (100, 2, 1, 256 * 1024), (100, 2, 2, 256 * 1024), (200, 1, 3, 2048 * 1024)]
+    assert answers == [(100, 1, 1, 512 * 1024), (100, 1, 2, 512 * 1024), (100, 2, 1, 256 * 1024), (100, 2, 2, 256 * 1024), (100, 3, 100, 0), (100, 3, 100, 0), (200, 1, 3, 2048 * 1024)]
 
 
 def test_topk_prunes_clusters(spark):
@@ -731,6 +731,32 @@ def test_viterbi_is_exact():
         assert math.isclose(toxicity.decode(lattice, model)[1], best)
 
 
+def test_viterbi_keeps_all_states():
+    """A word whose lattice has more than 64 states at a place, against the recursion from its end."""
+    r = np.random.default_rng(9)
+    model = np.log(r.dirichlet(np.ones(toxicity.CLASSES) * 0.3, (toxicity.CLASSES,) * 2))
+    lattice = toxicity.lattice_of("++10(($2++6!2@5501")
+    known = {}
+
+    def rest(i, x, y):
+        if i == len(lattice):
+            return model[x, y, 0]
+        if (i, x, y) not in known:
+            best = -np.inf
+            for piece, cost in lattice[i]:
+                s, a, b = -cost, x, y
+                for c in piece:
+                    k = 0 if c == " " else toxicity.CLASS[c]
+                    s += model[a, b, k]
+                    a, b = b, k
+                best = max(best, s + rest(i + 1, a, b))
+            known[i, x, y] = best
+        return known[i, x, y]
+
+    assert math.isclose(toxicity.decode(lattice, model)[1], rest(0, 0, 0))
+    assert max(Counter(i for i, _, _ in known).values()) > 64
+
+
 def test_restoring_long_and_letterless_words(spark):
     texts = ["you are such an ass and a stupid nasty person"] * 200 + ["quite ordinary words of a text"] * 100
     model = toxicity.trigram_model(toxicity.trigram_counts(documents(spark, texts)))
