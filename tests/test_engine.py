@@ -114,14 +114,14 @@ def test_scorecard(spark):
     assert (round(f["precision"], 3), round(f["recall"], 3), f["caught_minor"]) == (0.667, 0.667, 15_000)
     rules = {r["rule"]: (r["hits"], r["fraud_hits"]) for r in evaluation.rule_stats(feed).collect()}
     assert rules == {"MERCHANT_RISK": (2, 1), "CARD_TESTING": (1, 1)}
-    assert rows_of(evaluation.verdict_distribution(feed), "period") == [("p", 3, 1, 2)]
+    assert rows_of(evaluation.verdict_distribution(feed), "period") == [("**all**", 3, 1, 2), ("p", 3, 1, 2)]
     none = evaluation.confusion(feed.where("false")).collect()
     assert none == []
 
 
 def test_episodes(spark):
     feed = decisions(spark, [("A", "m", "APPROVE", True, 0, [], 1), ("A", "m", "APPROVE", True, 1, [], 1), ("A", "m", "REVIEW", True, 2, [], 1), ("B", "m", "DECLINE", True, 3, [], 1), ("C", "m", "APPROVE", True, 4, [], 1), ("D", "m", "APPROVE", False, 5, [], 1)])
-    assert rows_of(evaluation.catch_summary(evaluation.episodes(feed, "t")), "period") == [("p", 3, 2, 1.0)]
+    assert rows_of(evaluation.catch_summary(evaluation.episodes(feed, "t")), "period") == [("**all**", 3, 2, 1.0), ("p", 3, 2, 1.0)]
 
 
 def test_csv_to_report(spark, tmp_path):
@@ -163,11 +163,11 @@ def test_quarantine(spark):
 
     wrote = []
 
-    def fail(_):
+    def fail(*_):
         raise OSError("quarantine is down")
 
     with pytest.raises(OSError):
-        quarantine.writer(TRANSACTION, fail, wrote.append)(records, 0)
+        quarantine.writer(TRANSACTION, fail, lambda *batch: wrote.append(batch))(records, 0)
     assert wrote == []
 
 
