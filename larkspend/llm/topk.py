@@ -302,7 +302,7 @@ OP5_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as w from embeddings
     where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 n as (select *, row_number() over () as q from v),
-s as (select q.q, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) as score from n q, v c
+s as (select q.q, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.w, c.w) as bigint) as score from n q, n c
     where q.vec_id % 100 = 0 and c.q <> q.q and len(q.w) = len(c.w)),
 r as (select query_id, cast(row_number() over (partition by q order by score desc, vec_id) as int) as rank, vec_id, score from s)
 select * from r where rank <= 10
