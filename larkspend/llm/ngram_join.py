@@ -14,7 +14,8 @@ each fragment on its own and summed per pair. Before that, three exact filters l
 A list of representatives that share an n-gram isn't expanded into pairs. The one with the smallest share of n-grams
 of its own is the hub; only pairs with a hub are counted. What is within twice the distance of a link leaves the list,
 and so does what has so many n-grams of its own that no other set in the list is small enough for it; the rest gets a new
-hub. After ``HUB_ROUNDS`` hubs, what is left is paired where n-grams of their own leave a link possible. Jaccard distance
+hub. After ``HUB_ROUNDS`` hubs, lists that are left are cut by further n-grams (``split_lists``), and the parts get as many
+hubs again; what then is left is paired where n-grams of their own leave a link possible. Jaccard distance
 is a metric, so a document that links to the hub cannot link to one that stayed. Documents near a hub that don't link to
 it are compared with others around it only where the three sizes and overlaps allow a link (``around_hubs``) and both
 aren't connected yet. So every link either is found or joins documents which are already in one group, and the pairs that
@@ -57,8 +58,11 @@ HOT_ROWS, HOT_KEYS = 1000, 100_000
 NOBODY = (1 << 16) - 1
 #: Fragments in which the overlaps of pairs are counted.
 FRAGMENTS = 4
-#: Rounds of hubs, after which what is left of the lists is paired directly.
+#: Rounds of hubs before lists are cut, and again before what is left of their parts is paired directly.
 HUB_ROUNDS = 3
+#: Lists are cut at most so many times, each time only if that makes at most so many rows for each pair of the list, which
+#: are far smaller than a pair's two sets, and halves the pairs. Neither changes a result.
+SPLITS, ROWS_A_PAIR = 12, 4
 #: Representatives and n-grams in one block of a group, about, for numbers of links.
 BLOCK_ROWS, BLOCK_GRAMS = 1000, 1_000_000
 #: N-grams that are columns of a matrix at once.
@@ -181,7 +185,11 @@ def join_any(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
 def join_few(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
     """``many`` with the row of ``one`` that has its ``key``; ``one`` is broadcast if it is small, so that no key's rows
     meet in one task."""
-    one = compact(one)
+    return join_small(many, compact(one), key)
+
+
+def join_small(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """As ``join_few``, for a ``one`` that is in a checkpoint already."""
     return many.join(F.broadcast(one), key) if one.count() <= BROADCAST_IDS else join_any(many, one, key)
 
 
@@ -310,6 +318,60 @@ def around_hubs(stars: DataFrame, group: DataFrame, cut: DataFrame, often: DataF
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def bundles(ids: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, item, before, weight, total, slack): n-grams that the same of the ``ids`` have are one item. ``before`` is how
+    many n-grams the id has in items before this one, rarest first; of the ``total`` in all its items it may lack
+    ``slack`` in another set that it links to."""
+    flat = pick(cut, ids).select("id", "size", F.explode("grams").alias("gram"))
+    who = flat.groupBy("gram").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("item")).where("n > 1")
+    items = flat.join(who, "gram").groupBy("id", "size", "n", "item").agg(F.count("*").alias("weight"))
+    mine = Window.partitionBy("id")
+    items = items.withColumn("before", F.sum("weight").over(mine.orderBy("n", "item")) - F.col("weight")).withColumn("total", F.sum("weight").over(mine))
+    items = items.withColumn("slack", F.col("total") - _least(F.col("size"), num, den))
+    return items.where("slack >= 0").select("id", "item", "before", "weight", "total", "slack")
+
+
+def split_lists(todo: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
+    """``todo`` with its lists cut by further n-grams; every two of a list that link are together in some part.
+
+    Two that link share items in the same order, rarest first; what either has between them is small, as it lacks in the
+    other. So each member of a list goes to the parts of those of its next items that its slack can reach, and its slack
+    becomes smaller by what it leaves out; one that can leave out all the rest also goes to a part for ends, which isn't
+    cut. The next item which the two share is within reach of both, and the parts of a part know all items shared so
+    far. Lists of the same members are one."""
+    whole = todo.groupBy("gram").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
+    roots = compact(whole.groupBy("members", "n").agg(F.min("gram").alias("gram")).select("gram"))
+    todo = compact(join_small(todo, roots, "gram"))
+    about = compact(todo.select("id", "size", "common", "key").distinct())
+    items = compact(bundles(about, cut, num, den))
+    able = compact(items.select("id", "slack", "total").distinct())
+    parts, leaves = compact(todo.select(F.col("gram").alias("node"), "id").join(able, "id").withColumn("at", F.lit(0).cast("long"))), []
+    pairs = lambda n: n * (n - 1) / 2
+    fields = ("parent", "node", "id", "slack", "total", "at", "end")
+    for _ in range(SPLITS):
+        sizes = compact(parts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+        long = sizes.where("n > 2").select("node", pairs(F.col("n")).alias("pairs"))
+        if not long.head(1):
+            break
+        reach = parts.join(items.select("id", "item", "before", "weight"), "id").where((F.col("before") >= F.col("at")) & (F.col("before") - F.col("at") <= F.col("slack")))
+        cheap = compact(reach.groupBy("node").agg(F.count("*").alias("rows")).join(long, "node").where(F.col("rows") <= ROWS_A_PAIR * F.col("pairs")).select("node", "pairs"))
+        going = join_small(reach, cheap, "node").withColumns({"parent": F.col("node"), "node": F.xxhash64("node", "item"), "slack": F.col("slack") - F.col("before") + F.col("at"), "at": F.col("before") + F.col("weight"), "end": F.lit(False)})
+        ended = join_small(parts.where("total - at <= slack"), cheap, "node").withColumns({"parent": F.col("node"), "node": F.xxhash64("node", F.lit("end")), "end": F.lit(True)})
+        new = compact(going.select(*fields).union(ended.select(*fields)))
+        per = compact(new.groupBy("parent", "node").agg(F.count("*").alias("n")).where("n > 1"))
+        after = cheap.withColumnRenamed("node", "parent").join(per.groupBy("parent").agg(F.sum(pairs(F.col("n"))).alias("after")), "parent", "left")
+        done = compact(after.where("after is null or 2 * after <= pairs").select(F.col("parent").alias("node")))
+        if not done.head(1):
+            break
+        leaves.append(join_small(parts, compact(sizes.join(done, "node", "left_anti").select("node")), "node").select("node", "id"))
+        used = compact(per.join(done.toDF("parent"), "parent").select("node"))
+        new = join_small(new, used, "node")
+        leaves.append(new.where("end").select("node", "id"))
+        parts = compact(new.where("not end").drop("parent", "end"))
+    leaves.append(parts.select("node", "id"))
+    return _union(leaves).select(F.col("node").alias("gram"), "id").join(about, "id")
+
+
 def link_counts(group: DataFrame, classes: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
     """(rep, others): how many documents of other classes each representative in ``group`` links to."""
     own = cut.where("fragment = 0").select("id", "size").join(group.select("id", "component"), "id").join(classes.select(F.col("rep").alias("id"), "copies"), "id")
@@ -366,11 +428,14 @@ def groups(rows: DataFrame, words: int, num: int, den: int, degrees: bool) -> Da
     body = compact(bodies(cut, often, num, den))
     todo, links, seen = compact(lists(cut, often, body, num, den)), [], []
     least = lambda x, y: may_link(F.least(f"common_{x}", f"common_{y}"), F.col(f"size_{x}"), F.col(f"size_{y}"), num, den)
-    for turn in range(HUB_ROUNDS + 1):
+    last = 2 * HUB_ROUNDS
+    for turn in range(last + 1):
+        if turn == HUB_ROUNDS:
+            todo = compact(split_lists(todo, cut, num, den))
         hubs = compact(todo.groupBy("gram").agg(F.min_by("id", "key").alias("hub"), F.min("size").alias("least_size"), F.count("*").alias("n")).where("n > 1"))
         if not hubs.head(1):
             break
-        if turn < HUB_ROUNDS:
+        if turn < last:
             near = todo.join(hubs.select("gram", "hub", "least_size"), "gram").where("id <> hub")
             pairs = near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         else:
@@ -379,7 +444,7 @@ def groups(rows: DataFrame, words: int, num: int, den: int, degrees: bool) -> Da
             pairs = x.join(y, "gram").where((F.col("a") < F.col("b")) & least("a", "b")).select("a", "b").distinct()
         counted = compact(count_overlaps(compact(pairs), cut, num, den))
         links.append(counted.where("linked").select("a", "b"))
-        if turn == HUB_ROUNDS:
+        if turn == last:
             break
         seen.append(counted)
         gone = counted.where(F.col("distance") <= 2 * (1 - num / den + 1e-9)).select(F.col("a").alias("hub"), F.col("b").alias("id"))
