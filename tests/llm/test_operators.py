@@ -791,3 +791,11 @@ def test_helpers():
     h = _text.span_hashes(data, starts, ends)
     assert len(set(h.tolist())) == len({w for t in texts for w in words(t)})
     assert [len(x) for _, _, x, _ in _text.blocks(pa.array(["a" * 10] * 5), 25)] == [20, 20, 10]
+
+
+def test_empty_documents_of_learned_operators(spark):
+    """No documents, no rows; labels without documents are left alone."""
+    none = documents(spark, ["some words"]).where("false")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    assert langid.op4_langid(none).count() == 0
+    assert toxicity.op10_toxicity(none, labels).count() == 0
