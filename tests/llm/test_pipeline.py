@@ -57,3 +57,9 @@ def test_whole_package_stands_without_corpus_part():
                 if n.endswith(".py"):
                     with open(os.path.join(d, n)) as f:
                         assert ".llm" not in f.read()
+
+
+def test_run_on_empty_documents(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
