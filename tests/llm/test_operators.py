@@ -614,12 +614,61 @@ def test_quality(spark):
 def test_rule_order(spark):
     """Best rejection per cost first, counted over the rows that are left; a cascade's verdict doesn't depend on it."""
     rows = spark.createDataFrame([(i, "x" * 50) for i in range(100)], "n int, text string")
-    rules = {"dear": quality.Rule(F.col("n") < 60, 2), "cheap": quality.Rule(F.col("n") < 30), "same": quality.Rule(F.col("n") < 29), "late": quality.Rule(F.col("n") >= 90), "unknown": quality.Rule(F.lit(None).cast("boolean"))}
-    found = quality.rule_order(rows, rules)
-    assert [x[0] for x in found] == ["cheap", "late", "dear", "same", "unknown"] and found[0][1:] == (1, 0.3)
-    assert found[2][1] == 101 and found[2][2] == 0.5
-    kept = [{r["n"] for r in quality.cascade(rows, rules, order).where("kept").collect()} for order in ([x[0] for x in found], list(rules)[::-1])]
-    assert kept[0] == kept[1] == set(range(60, 90))
+    known = {"heavy": quality.Statistic(F.length("text")), "light": quality.Statistic(F.col("n")), "twice": quality.Statistic(F.col("heavy"), ("heavy",))}
+    costs = {"heavy": 100.0, "light": 0.9, "twice": 1.9}
+    rules = {
+        "dear": quality.Rule(F.col("n") < 60, ("heavy",)),
+        "cheap": quality.Rule(F.col("light") < 30, ("light",)),
+        "same": quality.Rule(F.col("light") < 29, ("light",)),
+        "late": quality.Rule(F.col("n") >= 90),
+        "shared": quality.Rule((F.col("twice") > 0) & F.col("n").between(60, 64), ("twice",)),
+        "unknown": quality.Rule(F.lit(None).cast("boolean")),
+    }
+    full = quality.text_statistics(rows, known=known)
+    found = quality.rule_order(full, rules, known, costs)
+    assert [x[0] for x in found] == ["late", "cheap", "dear", "shared", "same", "unknown"]
+    # the first pays for nothing but its comparison; "shared" pays for what "dear" hasn't made
+    assert found[0][1:] == (quality.COMPARISON, 0.1) and found[1][1:] == (1.0, 30 / 90)
+    assert found[2][1:] == (100 + quality.COMPARISON, 0.5) and found[3][1] == 2.0 and found[4][1:] == (quality.COMPARISON, 0.0)
+    kept = [{r["n"] for r in quality.cascade(rows, rules, order, known).where("kept").collect()} for order in ([x[0] for x in found], list(rules)[::-1])]
+    assert kept[0] == kept[1] == set(range(65, 90))
+
+
+def test_cascade_is_lazy(spark):
+    """A statistic isn't made for rows that an earlier rule rejected, and once for all rules that need it."""
+    rows = spark.createDataFrame([(i,) for i in range(20)], "n int")
+    known = {"strict": quality.Statistic(F.when(F.col("n") < 5, F.raise_error(F.lit("made for a rejected row"))).otherwise(F.col("n"))), "later": quality.Statistic(F.col("strict") + 1, ("strict",))}
+    rules = {"first": quality.Rule(F.col("n") < 5), "second": quality.Rule(F.col("strict") > 15, ("strict",)), "third": quality.Rule(F.col("later") == 7, ("later",))}
+    judged = quality.cascade(rows, rules, rules, known)
+    assert {r["n"] for r in judged.where("kept").collect()} == set(range(5, 16)) - {6}
+    assert {r["n"] for r in judged.where("later is null").collect()} == set(range(5)) | set(range(16, 20))
+    with pytest.raises(Exception, match="made for a rejected row"):
+        quality.cascade(rows, rules, ["second", "first", "third"], known).collect()
+
+
+def test_measured_costs(spark):
+    """A statistic that works a hundred times as much is measured as dearer, and inner ones are charged with their user."""
+    rows = spark.range(2000).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda x: x.cast("string"))).alias("text")).cache()
+    slow = F.aggregate(F.split("text", " "), F.lit(0), lambda a, x: a + F.length(F.sha2(F.concat(x, F.col("text")), 512)))
+    known = {"light": quality.Statistic(F.octet_length("text")), "__inner": quality.Statistic(F.split("text", " ")), "size": quality.Statistic(F.size("__inner"), ("__inner",)), "slow": quality.Statistic(slow)}
+    costs = quality.measured_costs(rows, known)
+    assert set(costs) == set(known) and costs["__inner"] == 0 and min(costs.values()) >= 0
+    assert costs["slow"] > 20 * max(costs["light"], 1) and costs["slow"] > costs["size"]
+    assert min(quality.measured_costs(rows.where("false"), known).values()) >= 0
+    rows.unpersist()
+
+
+def test_good_texts(spark):
+    """Rows that pass keep all their columns, named like statistics or not, and agree with the query's verdicts."""
+    good = ["An ordinary sentence goes on for a while and says something. " + " ".join(vocabulary(80, s)) for s in range(4)]
+    texts = [*odd_texts(), *good, good[0], "few words", "... ### " * 60]
+    docs = documents(spark, texts)
+    want = sorted(r["doc_id"] for r in quality.op8_quality(docs).where("kept").collect())
+    wide = docs.withColumn("n_words", F.lit("mine")).withColumn("__words", F.lit(1)).withColumn("kept", F.lit("x"))
+    rows = quality.good_texts(wide).collect()
+    assert sorted(r["doc_id"] for r in rows) == want and len(want) >= 5
+    assert {(r["n_words"], r["__words"], r["kept"]) for r in rows} == {("mine", 1, "x")} and quality.good_texts(wide).columns == wide.columns
+    assert quality.good_texts(docs.where("false")).count() == 0
 
 
 def test_spans(spark):
