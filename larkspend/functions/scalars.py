@@ -33,6 +33,13 @@ def ratio(part, whole) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 
 
+def rounded(number, digits: int = 6) -> Column:
+    """A double to ``digits`` decimals: number * 10^digits to the nearest whole number, halves away from zero. Spark's own
+    rounding starts from the shortest decimal text of the number, so that large numbers are rounded twice."""
+    scale = 10.0**digits
+    return F.round(number * scale, 0) / scale
+
+
 def minor_units(amount) -> Column:
     """Decimal text to hundredths, half up."""
     return F.round(amount.cast("decimal(18,6)") * 100, 0).cast("long")

@@ -21,7 +21,7 @@ from .oracle import CARD, EVERY, MERCHANT, NOW_MS
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: scalars.rounded(F.col(c)) for c in columns})
 
 
 def _txns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def txn_event_time(spark, sf_dir):
 
 
 def latest_reference(spark, sf_dir):
-    versions = demo.events(spark, sf_dir).select("user_id", "event_id", F.round("value", 6).alias("value"), "event_type", F.when(F.col("event_type") != "error", F.col("event_type")).alias("live"))
+    versions = demo.events(spark, sf_dir).select("user_id", "event_id", scalars.rounded(F.col("value")).alias("value"), "event_type", F.when(F.col("event_type") != "error", F.col("event_type")).alias("live"))
     return tables.latest(versions, "user_id", "event_id", "live").select("user_id", "event_type", "value", "event_id")
 
 
@@ -66,7 +66,7 @@ def card_profiles(spark, sf_dir):
 
 def _flat(joined: DataFrame) -> DataFrame:
     x, p, m = "transaction", "card_profile", "merchant"
-    cols = [F.col(f"{x}.transaction_id").alias("txn_id"), *(F.col(f"{x}.{c}") for c in ("card_id", "merchant_id", "amount_minor", "t")), F.round(f"{x}.lat", 6).alias("lat"), F.round(f"{x}.lon", 6).alias("lon")]
+    cols = [F.col(f"{x}.transaction_id").alias("txn_id"), *(F.col(f"{x}.{c}") for c in ("card_id", "merchant_id", "amount_minor", "t")), scalars.rounded(F.col(f"{x}.lat")).alias("lat"), scalars.rounded(F.col(f"{x}.lon")).alias("lon")]
     cols += [F.col(p).isNotNull().alias("has_profile"), *(F.col(f"{p}.{c}") for c in ("status", "daily_limit_minor", "risk_tier")), F.col(m).isNotNull().alias("has_merchant"), F.col(f"{m}.mcc"), F.col(f"{m}.country")]
     return joined.select(*cols)
 
@@ -315,7 +315,7 @@ def scalar_texts(spark, sf_dir):
     c, i = F.round(F.col("value") * 100).cast("long"), F.col("event_id")
     rows = demo.events(spark, sf_dir).select("event_id", c.alias("c"), (i * 7919 % 500_000).alias("ms"), (F.col("event_id") % 1000 / 1000.0).alias("share"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     texts = {"money": scalars.money(F.col("c"), F.lit("EUR")), "took": scalars.duration(F.col("ms")), "percent": scalars.percentage(F.col("share")), "many": scalars.thousands(F.col("ms")), "whole": scalars.dollars(F.col("c"))}
-    numbers = {"day": scalars.epoch_day(F.col("t")), "kmh": F.round(scalars.implied_kmh(F.col("c") / 100.0, F.col("ms") - 1000), 6)}
+    numbers = {"day": scalars.epoch_day(F.col("t")), "kmh": scalars.rounded(scalars.implied_kmh(F.col("c") / 100.0, F.col("ms") - 1000))}
     return rows.select("event_id", *(v.alias(k) for k, v in (texts | numbers).items()))
 
 
@@ -524,7 +524,7 @@ def decisions_by_days(spark, sf_dir):
     """All cards above a number of transactions cut by days, as very long ones are."""
     txns = _txns(spark, sf_dir)
     made = decide.decide(_enriched(spark, sf_dir), evaluated_at_ms=NOW_MS, hot=decide.hot_cards(txns, 300))
-    made = made.select("txn_id", "card_id", "decision", "score", F.size("reasons").alias("n_reasons"), "spend_day", "spent_minor", F.round("last_lat", 6).alias("last_lat"), "last_seen", "last_place")
+    made = made.select("txn_id", "card_id", "decision", "score", F.size("reasons").alias("n_reasons"), "spend_day", "spent_minor", scalars.rounded(F.col("last_lat")).alias("last_lat"), "last_seen", "last_place")
     return made.fillna({"spend_day": -1, "spent_minor": -1, "last_lat": -999.0, "last_seen": -1, "last_place": "?"})
 
 

@@ -196,6 +196,19 @@ def test_scalars(spark):
     assert tuple(one) == ("EUR -2.05", "2m 5s", "0.12%", "50.0%", "$1,235", -1, float("inf"), 101, 255.3)
 
 
+def test_rounding_of_large_numbers(spark, tmp_path):
+    """The text of 71245 / 19 * 36000 ends in 5 behind six digits, the number itself is below that."""
+    from larkspend.plans.registry import QUERIES
+
+    event = next(i for i in range(500_000) if i * 7919 % 500_000 == 1019)
+    rows = spark.createDataFrame([(event, 712.45, 0), (0, 712.45, 0)], "event_id long, value double, s long")
+    rows.select("event_id", F.timestamp_seconds("s").alias("ts"), "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["kmh"] for r in QUERIES["scalar_texts"](spark, str(tmp_path)).collect()}
+    assert got == {event: 134990526.315789, 0: float("inf")}
+    halves = spark.createDataFrame([(0.5,), (-0.5,), (2.5,), (float("nan"),), (None,)], "x double").select(scalars.rounded(F.col("x"), 0)).collect()
+    assert [str(r[0]) for r in halves] == ["1.0", "-1.0", "3.0", "nan", "None"]
+
+
 def test_event_time(spark):
     rows = [(1, 0, 1000, 5000), (2, 0, 0, 7000), (3, 0, None, -1), (4, 1, -5, None)]
     df = spark.createDataFrame(rows, "seq long, src_partition int, e long, i long").select("seq", "src_partition", F.timestamp_millis("e").alias("event_time"), F.timestamp_millis("i").alias("ingest_time"))
