@@ -16,6 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 _CARD = ("status", "daily_limit_minor", "currency")
 _CUSTOMER = ("risk_tier", "home_country", "home_lat", "home_lon")
+#: Between the steps, whole numbers that may be missing are texts: pandas would make them doubles, which state variables of
+#: type long take for null.
+_SENT = "status string, daily_limit_minor string, currency string, risk_tier string, home_country string, home_lat double, home_lon double"
 _FIELDS = "status string, daily_limit_minor long, currency string, risk_tier string, home_country string, home_lat double, home_lon double"
 
 
@@ -74,7 +77,8 @@ class Profiles(StatefulProcessor):
             elif r["act"] == "join":
                 had = touched.get(card) or (self.cards.getValue((card,)) if self.cards.containsKey((card,)) else None)
                 # a card that comes from another customer may have a profile from there
-                touched[card] = (r["seq"], *(r[c] for c in _CARD), bool(r["moved"]) or bool(had and had[4]))
+                limit = r["daily_limit_minor"]
+                touched[card] = (r["seq"], r["status"], None if limit is None else int(limit), r["currency"], bool(r["moved"]) or bool(had and had[4]))
                 ended.pop(card, None)
             else:
                 had = touched.pop(card, None) or (self.cards.getValue((card,)) if self.cards.containsKey((card,)) else None)
@@ -101,7 +105,7 @@ class Profiles(StatefulProcessor):
             if self.cards.containsKey((card,)):
                 self.cards.removeKey((card,))
         if out:
-            yield pd.DataFrame(out, columns=list(self.names))
+            yield pd.DataFrame(out, columns=list(self.names), dtype=object)
 
     def close(self) -> None:
         pass
@@ -116,9 +120,9 @@ def profile_changes(cards: DataFrame, customers: DataFrame) -> DataFrame:
     so ``current`` finds the profiles in force however the changes are stored.
     """
     text = lambda c: F.col(c).cast("string").alias(c)
-    cards = cards.select(text("card_id"), F.col("seq").cast("long").alias("seq"), "live", text("customer_id"), *_CARD)
-    routed = cards.groupBy("card_id").transformWithStateInPandas(Router(), f"customer_id string, card_id string, seq long, act string, moved boolean, {_FIELDS}", "append", "none")
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in zip(_CARD, ("string", "long", "string"), strict=True)]
+    cards = cards.select(text("card_id"), F.col("seq").cast("long").alias("seq"), "live", text("customer_id"), "status", text("daily_limit_minor"), "currency")
+    routed = cards.groupBy("card_id").transformWithStateInPandas(Router(), f"customer_id string, card_id string, seq long, act string, moved boolean, {_SENT}", "append", "none")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in zip(_CARD, ("string", "string", "string"), strict=True)]
     sent = customers.select(text("customer_id"), F.lit(None).cast("string").alias("card_id"), F.col("seq").cast("long").alias("seq"), F.lit("customer").alias("act"), F.col("live").alias("moved"), *none, *_CUSTOMER)
     return routed.unionByName(sent).groupBy("customer_id").transformWithStateInPandas(Profiles(), f"card_id string, card_seq long, customer_seq long, live boolean, customer_id string, {_FIELDS}", "append", "none")
 

@@ -257,3 +257,18 @@ def test_profiles_follow_both_sides(spark, tmp_path, state_store):
         n.append(changes.count())
         assert {(r["card_id"], r["customer_id"], r["risk_tier"]) for r in profiles.current(changes).collect()} == want, len(n)
     assert n == [0, 1, 2, 4, 6, 8, 9]
+
+
+def test_limits_stay_in_the_state_of_profiles(spark, tmp_path, state_store):
+    """Limits come in batches that have rows without one, and are shown again when the customer changes later."""
+    from larkspend.streaming import profiles
+
+    big = 2**53 + 1
+    for cards, customers in (([("k", 1, 7), ("l", 1, None), ("m", 1, big)], [("A", 1, "LOW")]), ([], [("A", 2, "HIGH")]), ([], [("A", 3, "MEDIUM")])):
+        live = []
+        for name, df in (("cards", spark.createDataFrame(cards, "card_id string, seq long, daily_limit_minor long").selectExpr("*", "true live", "'A' customer_id", "'ACTIVE' status", "'EUR' currency")), ("customers", spark.createDataFrame(customers, "customer_id string, seq long, risk_tier string").selectExpr("*", "true live", "'DE' home_country", "1.0D home_lat", "2.0D home_lon"))):
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            live.append(spark.readStream.schema(df.schema).parquet(str(tmp_path / name)))
+        run(profiles.profile_changes(*live).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")))
+        got = {(r["card_id"], r["daily_limit_minor"], r["risk_tier"]) for r in profiles.current(spark.read.parquet(str(tmp_path / "out"))).collect()}
+        assert got == {("k", 7, customers[0][2]), ("l", None, customers[0][2]), ("m", big, customers[0][2])}
