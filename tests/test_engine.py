@@ -65,6 +65,19 @@ def test_nearby_merchants_against_all_pairs(spark):
     assert enrich.nearby_merchants(spark.createDataFrame(homes, "card_id int, home_lat double, home_lon double"), none).count() == 0
 
 
+def test_places_are_paired_once(spark, monkeypatch):
+    """Cards at one home and merchants at one place add no pairs; ties go to the smaller merchant, near ones all count."""
+    pairs, within = [], enrich.within
+    monkeypatch.setattr(enrich, "within", lambda *a: pairs.append(within(*a).count()) or within(*a))
+    homes = spark.range(60).selectExpr("id card_id", "if(id < 40, 0D, 80D) home_lat", "0D home_lon")
+    shops = spark.range(50).selectExpr("id merchant_id", "if(id < 45, 3D, 80.1D) lat", "0D lon")
+    got = {}
+    for r in enrich.nearby_merchants(homes, shops).collect():
+        got.setdefault(r["card_id"], []).append((r["rank"], r["merchant_id"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(1, 0), (2, 1), (3, 2)] if k < 40 else [(i + 1, 45 + i) for i in range(5)] for k in range(60)}
+    assert max(pairs) <= 4
+
+
 def test_nulls_in_the_feed(spark):
     """Batch decisions of rows without a place, amount or time, in both orders."""
     rows = [(i, "k1", "s2", a, t, y, y) for i, (a, t, y) in enumerate([(10, 0, 1.0), (None, 1000, 1.0), (10, 2000, None), (10, None, 60.0), (10, 3000, 60.0)])]
