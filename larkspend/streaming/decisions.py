@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType, TimestampType
 from ..operators.attempts import BUCKET_MS
 from ..operators.decide import flatten
 from ..operators.kernel import Card, Row, step
-from ..policy import ATTEMPT_TTL_MS, DAY_MS, DEFAULT, LOCATION_TTL_MS, TESTING_MS, Policy
+from ..policy import ATTEMPT_TTL_MS, DAY_MS, DEFAULT, LOCATION_TTL_MS, TESTING_MS, VELOCITY_MS, Policy
 from ..schemas import REASON
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,14 +47,25 @@ class Ages:
         return (min(ends) // self.every_ms + 1) * self.every_ms if ends else None
 
 
-def _order(value):
-    """A struct compares by its fields."""
-    return tuple(value.values()) if isinstance(value, dict) else tuple(value) if isinstance(value, tuple) else value
+#: Columns that rows are ordered by start so; a struct has one a field.
+_ORDER = "order_"
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """``seq`` as plain columns, which pandas sorts without an object a row."""
+    kind = rows.schema["seq"].dataType
+    parts = [F.col("seq").getField(f) for f in kind.fieldNames()] if isinstance(kind, StructType) else [F.col("seq")]
+    return rows.select(*(c.alias(f"{_ORDER}{k}") for k, c in enumerate(parts)), *(c for c in rows.columns if c != "seq"))
 
 
 def _plain(column: pd.Series) -> list:
     """Values with None for what is missing."""
-    return column.astype(object).where(column.notna(), None).tolist()
+    return [None if x is None or x is pd.NA or x != x else x for x in column.tolist()]
+
+
+def _stored(state) -> tuple | None:
+    """A state variable's value, None if it has none."""
+    return state.get() if state.exists() else None
 
 
 def _whole(value):
@@ -64,7 +77,8 @@ class Decider(StatefulProcessor):
     every transaction gets a decision.
 
     Location, spend and attempts are state variables of their own. Attempts are a map by minute, of which a batch reads the
-    minutes that its rows look back to and writes those that it adds to, whatever the length of the log. With ``ages``, one
+    minutes that its rows look back to and writes those that it adds to and a later row can look back to, whatever the
+    length of the log. With ``ages``, one
     timer a card stands at the next sweep that finds something too old; it drops that, and no more.
     """
 
@@ -78,69 +92,84 @@ class Decider(StatefulProcessor):
         self.newest = handle.getValueState("newest", "t long")
         self.attempts = handle.getMapState("attempts", "minute long", _ROWS)
 
-    def _load(self, times: list[int]) -> Card:
-        card = Card()
-        if self.spend.exists():
-            card.day, card.spent = self.spend.get()
-        if self.location.exists():
-            card.lat, card.lon, card.seen, card.place = self.location.get()
-        if self.newest.exists():
-            card.attempts.newest = self.newest.get()[0]
+    def _load(self, times: list[int]) -> tuple[Card, set[int], list[tuple]]:
+        """The card as it was left, the minutes of attempts that are kept, and the attempts that ``times`` look back to. A card that was never seen costs one
+        question, whatever its rows."""
+        card, newest = Card(), _stored(self.newest)
+        if newest is None:
+            return card, set(), []
+        card.attempts.newest = newest[0]
+        spend, location = _stored(self.spend), _stored(self.location)
+        if spend is not None:
+            card.day, card.spent = spend
+        if location is not None:
+            card.lat, card.lon, card.seen, card.place = location
+        known = {k[0] for k in self.attempts.keys()}  # noqa: SIM118
         wanted = {b for t in times if not card.attempts.late(t) for b in range((t - TESTING_MS) // BUCKET_MS, t // BUCKET_MS + 1)}
-        for b in sorted(wanted):
-            if self.attempts.containsKey((b,)):
-                for row in zip(*self.attempts.getValue((b,)), strict=True):
-                    card.attempts.log(*row)
-        return card
+        log = sorted((row for b in wanted & known for row in zip(*self.attempts.getValue((b,)), strict=True)), key=lambda row: row[0])
+        return card, known, log
 
-    def _keep(self, card: Card, more: dict[int, list]) -> None:
+    def _keep(self, card: Card, before: int | None, known: set[int], more: dict[int, list]) -> set[int]:
+        """Writes what changed; returns the minutes of attempts that are kept now. What no later row can look back to, and
+        no age holds longer, isn't kept: it goes here, before a sweep would find it."""
         if card.day is not None:
             self.spend.update((card.day, card.spent))
         if card.seen is not None:
             self.location.update((card.lat, card.lon, card.seen, card.place))
-        before = self.newest.get()[0] if self.newest.exists() else None
         if card.attempts.newest is not None and card.attempts.newest != before:
             self.newest.update((card.attempts.newest,))
-            if self.ages is None:
-                # no sweep comes: what no row can look back to goes here
-                low = (card.attempts.newest - ATTEMPT_TTL_MS - TESTING_MS) // BUCKET_MS
-                more = {b: rows for b, rows in more.items() if b >= low}
-                for k in [k[0] for k in self.attempts.keys() if k[0] < low] if before is not None else ():  # noqa: SIM118
-                    self.attempts.removeKey((k,))
+        if card.attempts.newest is not None:
+            held = ATTEMPT_TTL_MS + TESTING_MS if self.ages is None else max(ATTEMPT_TTL_MS + TESTING_MS, self.ages.attempts_ms)
+            low = (card.attempts.newest - held) // BUCKET_MS
+            more = {b: rows for b, rows in more.items() if b >= low}
+            for b in [b for b in known if b < low]:
+                self.attempts.removeKey((b,))
+                known.discard(b)
         for b, rows in more.items():
-            old = self.attempts.getValue((b,)) if self.attempts.containsKey((b,)) else ([], [], [])
+            old = self.attempts.getValue((b,)) if b in known else ([], [], [])
             self.attempts.updateValue((b,), tuple([*o, *n] for o, n in zip(old, zip(*rows, strict=True), strict=True)))
+        return known | more.keys()
 
-    def _set_timer(self) -> None:
+    def _set_timer(self, seen: int | None, day: int | None, minutes: set[int], timers: list[int]) -> None:
         """One timer a card, at its next due sweep."""
-        seen = self.location.get()[2] if self.location.exists() else None
-        day = self.spend.get()[0] if self.spend.exists() else None
-        oldest = min((k[0] * BUCKET_MS for k in self.attempts.keys()), default=None)  # noqa: SIM118
-        due = self.ages.due(seen, day, oldest)
-        for at in list(self.handle.listTimers()):
+        due = self.ages.due(seen, day, min(minutes) * BUCKET_MS if minutes else None)
+        for at in timers:
             if at != due:
                 self.handle.deleteTimer(at)
-        if due is not None:
+        if due is not None and due not in timers:
             self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         feed = pd.concat(list(rows), ignore_index=True)
-        seq = [_order(x) for x in feed["seq"].tolist()]
-        ids = feed["txn_id"].tolist()
-        feed = feed.iloc[sorted(range(len(ids)), key=lambda i: (seq[i], ids[i]))]
+        keys = list(zip(*([(x is not None, x) for x in _plain(feed[c])] for c in feed.columns if c.startswith(_ORDER) or c == "txn_id"), strict=True))
+        feed = feed.iloc[sorted(range(len(keys)), key=keys.__getitem__)]
         fields = ("t", "amount_minor", "merchant_id", "currency", "lat", "lon", "has_profile", "status", "daily_limit", "tier", "known", "country", "category")
         columns = [_plain(feed[c]) for c in fields]
-        card = self._load([int(t) for t in columns[0] if t is not None])
+        times = [int(t) for t in columns[0] if t is not None]
+        card, minutes, log = self._load(times)
+        before = card.attempts.newest
+        # rows in order of time are counted as batches count them, others by the ordered log
+        sliding = all(a <= b for a, b in pairwise(times if before is None else [before, *times]))
+        recent = deque(row[0] for row in log) if sliding else None
+        for row in log:
+            card.small.add(*row) if sliding else card.attempts.log(*row)
         made, more = [], {}
         for t, amount, merchant, currency, lat, lon, has, status, limit, tier, known, country, category in zip(*columns, strict=True):
             t, amount, merchant = _whole(t), _whole(amount), str(merchant)
             if t is not None and not card.attempts.late(t):
                 more.setdefault(t // BUCKET_MS, []).append((t, amount, merchant))
-            verdict, score, hits = step(card, Row(t, amount, merchant, currency, lat, lon, bool(has), status, _whole(limit), tier, bool(known), country, category), self.policy)
+            attempts = None
+            if sliding and t is not None:
+                card.attempts.newest = t
+                recent.append(t)
+                while recent[0] < t - VELOCITY_MS:
+                    recent.popleft()
+                attempts = len(recent)
+            verdict, score, hits = step(card, Row(t, amount, merchant, currency, lat, lon, bool(has), status, _whole(limit), tier, bool(known), country, category, attempts), self.policy)
             made.append((verdict, score, [{"rule": a, "score": b, "detail": c} for a, b, c in hits]))
-        self._keep(card, more)
+        minutes = self._keep(card, before, minutes, more)
         if self.ages is not None:
-            self._set_timer()
+            self._set_timer(card.seen, card.day, minutes, [] if before is None else list(self.handle.listTimers()))
         out = feed[["txn_id", "merchant_id", "t", "amount_minor", "labelled_fraud", *([self.kept] if self.kept else [])]].reset_index(drop=True)
         out.insert(1, "card_id", key[0])
         for name, values in zip(("decision", "score", "reasons"), zip(*made, strict=True), strict=True):
@@ -152,14 +181,19 @@ class Decider(StatefulProcessor):
         """A sweep, of this card alone: the last one that is due by now, which finds all that those before it would."""
         now = timerValues.getCurrentProcessingTimeInMs() if self.wall else timerValues.getCurrentWatermarkInMs()
         now = max(expiredTimerInfo.getExpiryTimeInMs(), now // self.ages.every_ms * self.ages.every_ms)
-        if self.location.exists() and self.location.get()[2] < now - self.ages.location_ms:
+        location, spend = _stored(self.location), _stored(self.spend)
+        seen, day = None if location is None else location[2], None if spend is None else spend[0]
+        if seen is not None and seen < now - self.ages.location_ms:
             self.location.clear()
-        if self.spend.exists() and self.spend.get()[0] < now // DAY_MS - self.ages.spend_days:
+            seen = None
+        if day is not None and day < now // DAY_MS - self.ages.spend_days:
             self.spend.clear()
-        for k in [k[0] for k in self.attempts.keys()]:  # noqa: SIM118
-            if (k + 1) * BUCKET_MS <= now - self.ages.attempts_ms:
-                self.attempts.removeKey((k,))
-        self._set_timer()
+            day = None
+        minutes = {k[0] for k in self.attempts.keys()}  # noqa: SIM118
+        old = {b for b in minutes if (b + 1) * BUCKET_MS <= now - self.ages.attempts_ms}
+        for b in old:
+            self.attempts.removeKey((b,))
+        self._set_timer(seen, day, minutes - old, list(self.handle.listTimers()))
         yield from ()
 
     def close(self) -> None:
@@ -189,7 +223,7 @@ def decide_stream(enriched: DataFrame, policy: Policy = DEFAULT, order: str = "s
     elif ages is not None:
         mode = "processingTime"
     decider = Decider(policy, schema.fieldNames(), ages, kept, mode == "processingTime")
-    return rows.groupBy("card_id").transformWithStateInPandas(decider, schema, "append", mode, **more)
+    return _ordered(rows).groupBy("card_id").transformWithStateInPandas(decider, schema, "append", mode, **more)
 
 
 def live_state(spark: SparkSession, checkpoint: str, name: str = "spend", operator: int = 0, batch: int | None = None) -> DataFrame:

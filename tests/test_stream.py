@@ -272,3 +272,63 @@ def test_limits_stay_in_the_state_of_profiles(spark, tmp_path, state_store):
         run(profiles.profile_changes(*live).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")))
         got = {(r["card_id"], r["daily_limit_minor"], r["risk_tier"]) for r in profiles.current(spark.read.parquet(str(tmp_path / "out"))).collect()}
         assert got == {("k", 7, customers[0][2]), ("l", None, customers[0][2]), ("m", big, customers[0][2])}
+
+
+class Store:
+    """State of one card in memory; counts what a step asks of it."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.asked = {}, {}, set(), 0
+
+    def _ask(self, answer):
+        self.asked += 1
+        return answer
+
+    def getValueState(self, name, schema):
+        kind = type("Value", (), {"exists": lambda _: self._ask(name in self.values), "get": lambda _: self._ask(self.values.get(name)), "update": lambda _, v: self._ask(self.values.update({name: v})), "clear": lambda _: self._ask(self.values.pop(name, None))})
+        return kind()
+
+    def getMapState(self, name, key, value):
+        own = self.maps.setdefault(name, {})
+        kind = type("Map", (), {"containsKey": lambda _, k: self._ask(k in own), "getValue": lambda _, k: self._ask(own[k]), "updateValue": lambda _, k, v: self._ask(own.update({k: v})), "removeKey": lambda _, k: self._ask(own.pop(k, None)), "keys": lambda _: self._ask(list(own))})
+        return kind()
+
+    def listTimers(self):
+        return self._ask(list(self.timers))
+
+    def registerTimer(self, at):
+        self._ask(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._ask(self.timers.discard(at))
+
+
+@pytest.mark.parametrize("ages", [None, stream.Ages(60_000, 0, 60_000, 60_000)])
+def test_a_card_asks_its_state_a_few_times(ages):
+    """A month of bursts costs a new card no question a minute; cut into batches it gets the same verdicts."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(5)
+    rows = sorted((d * DAY + r.randrange(360_000), i) for d in range(30) for i in range(d * 20, d * 20 + 20))
+    feed = pd.DataFrame([(t, i, i, t, r.choice((100, 150, 5000)), f"s{i % 5}", "EUR", 10.0, 10.0, True, "ACTIVE", 90_000, "LOW", True, "DE", None, None) for t, i in rows])
+    feed.columns = ["order_0", "order_1", "txn_id", "t", "amount_minor", "merchant_id", "currency", "lat", "lon", "has_profile", "status", "daily_limit", "tier", "known", "country", "category", "labelled_fraud"]
+    feed["seq"] = list(zip(feed["order_0"], feed["order_1"], strict=True))
+    names = ["txn_id", "card_id", "decision", "score", "reasons"]
+
+    def verdicts(parts):
+        store, out = Store(), []
+        decider = stream.Decider(stream.DEFAULT, names, ages)
+        decider.init(store)
+        for part in parts:
+            store.asked = 0
+            out += [f for f in decider.handleInputRows(("k",), iter([part.sample(frac=1, random_state=1)]), None)]
+            yield store.asked
+        yield pd.concat(out)[["txn_id", "decision", "score"]].values.tolist(), {k: store.values[k] for k in ("spend", "location", "newest")}, store.maps["attempts"].keys() if ages is None else None
+
+    asked, whole = verdicts([feed])
+    assert asked <= 20
+    *_, cut = verdicts([feed[:211], feed[211:215], feed[215:400], feed[400:]])
+    assert cut == whole
+    assert any(score for _, _, score in whole[0])
